@@ -85,7 +85,7 @@ WITH keyed AS (
 ), pages2 AS (
   SELECT page_id, digest, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
     page_id * 7919 % 2592000 AS fetched, 'day-' || (page_id % 9)::VARCHAR AS modified FROM parts
-), asof AS (
+), earlier AS (
   SELECT r.page_id, r.url_key, r.modified, r.digest, f.page_id AS full_id, f.digest AS full_digest, f.modified AS full_modified,
     row_number() OVER (PARTITION BY r.page_id ORDER BY f.fetched DESC, f.page_id DESC) AS rn
   FROM pages2 r JOIN pages2 f ON f.url_key = r.url_key AND f.fetched < r.fetched + 86400
@@ -95,7 +95,7 @@ WITH keyed AS (
       WHEN page_id % 7 = 0 THEN CASE WHEN modified = full_modified THEN 'resolved' ELSE 'mismatch' END
       WHEN page_id % 3 = 0 THEN CASE WHEN 'new-' || digest = full_digest THEN 'resolved' ELSE 'mismatch' END
       WHEN digest = full_digest THEN 'resolved' ELSE 'mismatch' END AS outcome
-  FROM asof WHERE rn = 1
+  FROM earlier WHERE rn = 1
 )
 SELECT page_id, url_key, outcome, CASE WHEN outcome <> 'mismatch' THEN full_id END AS refers_to,
   CASE WHEN outcome <> 'mismatch' THEN 'cache-control=max-age=900;content-type=text/html;etag=' ||
