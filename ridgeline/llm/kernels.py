@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
@@ -202,6 +202,14 @@ def starts_of_characters(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def sums_by_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The sum of values[bounds[d]:bounds[d+1]] for each d."""
     total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
@@ -209,17 +217,18 @@ def sums_by_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def map_texts(columns: list[str], text: str, work: Callable, schema: pa.Schema) -> Callable:
+def map_texts(columns: list[str], text: str, work: Callable, schema: pa.Schema, most: int = BLOCK_BYTES) -> Callable:
     """A function for ``mapInArrow``.
 
     ``work(bytes, offsets, batch)`` gets blocks of documents with the matching rows of the batch and
     returns the block's output columns in the order of ``schema`` after the columns that are passed through.
+    ``most``: bytes in a block.
     """
 
     def task(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            for first, end, block, own in blocks(data, offsets):
+            for first, end, block, own in blocks(data, offsets, most):
                 rows = batch.slice(first, end - first)
                 made = work(block, own, rows)
                 kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]

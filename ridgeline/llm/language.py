@@ -29,6 +29,9 @@ ROUNDS, SMOOTHING = 3, 0.05
 #: Prediction for texts without a letter.
 UNDETERMINED = "und"
 
+#: Bytes of text whose distinct words are scored together.
+WORDS_BYTES = 1 << 20
+
 _TABLE_BITS, _PROBES = 19, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -252,4 +255,4 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("id", K.arrow_type(documents, id_col)), ("lang_pred", pa.string()), ("score", pa.float64())])
     held = documents.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(K.map_texts(["id"], "text", lambda data, offsets, _: held.value.predict(data, offsets), schema), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(K.map_texts(["id"], "text", lambda data, offsets, _: held.value.predict(data, offsets), schema, WORDS_BYTES), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
