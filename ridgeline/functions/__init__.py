@@ -1 +1,24 @@
-"""Column and DataFrame functions."""
+"""Column functions, and their registration for SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from .geo import polyline_decode
+
+_SQL_FUNCTIONS = """
+CREATE OR REPLACE TEMPORARY FUNCTION haversine_m(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE
+RETURN 2 * 6371008.8D * atan2(
+  sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)),
+  sqrt(1 - (pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))));
+CREATE OR REPLACE TEMPORARY FUNCTION bearing_degrees(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE
+RETURN pmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)),
+  cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360, 360D)
+"""
+
+
+def register(spark: SparkSession) -> None:
+    """Make haversine_m, bearing_degrees and polyline_decode callable from SQL in this session."""
+    for statement in _SQL_FUNCTIONS.split(";"):
+        spark.sql(statement)
+    spark.udf.register("polyline_decode", polyline_decode)

@@ -1 +1 @@
-"""Operators on tracks, points and portfolios."""
+"""Operators: functions from DataFrames to DataFrames, without actions unless they say so."""

@@ -1,4 +1,222 @@
-"""Queries over the driver's tables, with equivalent SQL."""
+"""Queries over the driver's tables, with equivalent SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each query reads whole tables through a view of ``adapters`` and applies operators as a user would.  Doubles are
+rounded to four decimals, finer than the inputs, for comparison.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import heart_rate_edges
+from ..functions import geo, scalars
+from ..operators import heart_rate, imports, points, portfolio, progress, routes, segments, sensors, summary
+from .adapters import features, view
+from .library_sql import LIBRARY
+from .points_sql import POINTS
+
+AS_OF = "2001-08-01"
+#: The zones of a maximum heart rate of 190.
+EDGES = heart_rate_edges("maximum", 190)
+
+
+def _plain(rows: DataFrame, *columns: str, decimals: int = 4) -> DataFrame:
+    """The columns asked for (all if none), doubles rounded, instants as milliseconds, dates as text."""
+    rows = rows.select(*columns) if columns else rows
+    out = []
+    for field in rows.schema.fields:
+        kind, c = field.dataType.simpleString(), F.col(field.name)
+        if kind == "double":
+            out.append(F.round(c, decimals).alias(field.name))
+        elif kind == "timestamp":
+            out.append(F.unix_millis(c).alias(field.name[:-3] + "_ms"))
+        elif kind == "date":
+            out.append(c.cast("string").alias(field.name))
+        else:
+            out.append(c)
+    return rows.select(*out)
+
+
+def _derived(spark: SparkSession, folder: str) -> DataFrame:
+    return points.derive_points(view(spark, folder, "points"))
+
+
+def _prepared(spark: SparkSession, folder: str) -> DataFrame:
+    return heart_rate.with_heart_rate(_derived(spark, folder))
+
+
+def _timeline(spark: SparkSession, folder: str) -> DataFrame:
+    return heart_rate.spans(_prepared(spark, folder).withColumn("hr_cadence_lock", F.lit(False)))
+
+
+def _tracks(f: Callable[[DataFrame], DataFrame], *columns: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: _plain(f(view(spark, folder, "tracks")), *columns, **options)
+
+
+def _of_points(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: _plain(f(_derived(spark, folder)), *columns)
+
+
+def _of_spans(f: Callable[[DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: _plain(f(_timeline(spark, folder)), *columns)
+
+
+def _of_sensors(f: Callable[[DataFrame, DataFrame], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        derived = _derived(spark, folder)
+        return _plain(f(derived, sensors.sensor_spans(derived)), *columns)
+
+    return query
+
+
+def _attempts(tracks: DataFrame) -> DataFrame:
+    return portfolio.complete(tracks).where("started_at IS NOT NULL")
+
+
+def _portfolio_summary(spark, folder):
+    return _plain(portfolio.portfolio_summary(view(spark, folder, "tracks"), view(spark, folder, "cells")))
+
+
+def _counters(spark, folder):
+    return imports.archive_counters(view(spark, folder, "archives"), view(spark, folder, "items")).drop("inserted_at")
+
+
+def _batches(spark, folder):
+    counted = _counters(spark, folder)
+    batches = counted.select("batch_id").distinct().withColumn("status", F.lit("processing"))
+    return imports.batch_rollup(batches, counted)
+
+
+def _recent_archives(spark, folder):
+    return imports.recent_archives(view(spark, folder, "archives"), view(spark, folder, "items")).select("archive_id", F.size("skipped").cast("bigint").alias("n_skipped"))
+
+
+def _new_recordings(spark, folder):
+    known = spark.read.parquet(f"{folder}/orders.parquet").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("sha256"))
+    return imports.new_recordings(view(spark, folder, "recordings"), known).select("sha256", "path")
+
+
+def _segment_summary(spark, folder):
+    derived = _derived(spark, folder)
+    return _plain(segments.segment_summary(derived, derived))
+
+
+def _hr_summary(spark, folder):
+    prepared = _prepared(spark, folder).withColumn("hr_cadence_lock", F.lit(False))
+    return _plain(heart_rate.heart_rate_summary(prepared, heart_rate.spans(prepared)), "track_id", "sample_count", "minimum_bpm", "maximum_bpm", "peak_position", "covered_s", "moving_covered_s", "average_bpm", "moving_average_bpm", "coverage_percent")
+
+
+def _hr_sectors(spark, folder):
+    derived = _derived(spark, folder)
+    totals = derived.groupBy("track_id").agg(F.max("cumulative_m").alias("distance_m"))
+    return _plain(heart_rate.sectors(heart_rate.spans(heart_rate.with_heart_rate(derived).withColumn("hr_cadence_lock", F.lit(False))), totals))
+
+
+def _cadence_lock(spark, folder):
+    return _plain(heart_rate.lock_summary(heart_rate.prepare_heart_rate(_derived(spark, folder).withColumn("heart_rate_bpm", F.when(F.col("position").between(10, 45), F.col("cadence_rpm") + 1).otherwise(F.col("heart_rate_bpm"))))))
+
+
+def _renderings(spark, folder):
+    rows = summary.renderings(heart_rate.with_heart_rate(_derived(spark, folder)))
+    return rows.select("track_id", "level", "point_count", "encoded_polyline", F.size("series").alias("n_series"))
+
+
+def _route_matches(spark, folder):
+    return _plain(routes.matches(features(spark, folder)), "left_id", "right_id", "similarity", "median_distance_m", "p90_distance_m", "alignment")
+
+
+def _route_groups(spark, folder):
+    pairs = routes.matches(features(spark, folder))
+    return _plain(routes.memberships(routes.groups(pairs), pairs))
+
+
+def _weekly_load(spark, folder):
+    timeline = _timeline(spark, folder)
+    tracks = _derived(spark, folder).groupBy("track_id").agg(F.date_add(F.min("recorded_at").cast("date"), (F.col("track_id") % 60).cast("int")).cast("timestamp").alias("started_at"))
+    return _plain(heart_rate.weekly_overview(tracks, heart_rate.histogram(timeline), EDGES, "2024-04-01"))
+
+
+def _geo(spark, folder):
+    rows = spark.read.parquet(f"{folder}/customer.parquet")
+    ends = ((F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") % 180).cast("double"), F.col("c_nationkey").cast("double"), F.col("c_nationkey") * F.lit(2.0))
+    return _plain(rows.select("c_custkey", geo.haversine(*ends).alias("distance_m"), geo.bearing(*ends).alias("bearing_degrees")))
+
+
+def _activity_ids(spark, folder):
+    return spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", scalars.activity_id(F.col("p_type")).alias("activity_type"))
+
+
+def _lower(s: DataFrame) -> DataFrame:
+    return s.drop("band_order", "label")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "speed_history": _tracks(portfolio.speed_history),
+    "speed_history_year": _tracks(lambda t: portfolio.speed_history(t, "5km", "12m", AS_OF)),
+    "records": _tracks(portfolio.records),
+    "leaders": _tracks(portfolio.leaders),
+    "recent_delta": _tracks(lambda t: portfolio.recent_delta(t, "5km")),
+    "list_tracks": _tracks(portfolio.list_tracks, "track_id", "name", "status", "started_at"),
+    "search_processing": _tracks(lambda t: portfolio.list_tracks(t, "processing", "ide% 1"), "track_id", "name", "status", "started_at"),
+    "compare_tracks": _tracks(lambda t: portfolio.compare_payload(portfolio.compare_tracks(t, [7, 3, 1, 5, 2]))),
+    "latest_track": _tracks(portfolio.latest_complete, "track_id", "started_at"),
+    "portfolio_summary": lambda spark, folder: _portfolio_summary(spark, folder).withColumnsRenamed({"earliest_ms": "earliest_ms", "latest_ms": "latest_ms"}),
+    "monthly_totals": _tracks(portfolio.monthly_totals),
+    "share_summary": _tracks(lambda t: portfolio.share_summary(t, "1998-03-01", "1998-04-01")),
+    "share_activity": _tracks(portfolio.share_activity),
+    "heatmap": lambda spark, folder: portfolio.heatmap(view(spark, folder, "cells")),
+    "explore_insights": lambda spark, folder: portfolio.explore_insights(portfolio.heatmap(view(spark, folder, "cells"), limit=1 << 30, by_cell=True)),
+    "longest_tracks": _tracks(portfolio.longest_tracks, "track_id", "distance_m"),
+    "stale_analyses": _tracks(portfolio.stale_analyses, "track_id"),
+    "weekly_volume": _tracks(lambda t: progress.weekly_volume(portfolio.complete(t), AS_OF)),
+    "volume_delta": _tracks(lambda t: progress.volume_delta(progress.weekly_volume(portfolio.complete(t), AS_OF))),
+    "effort_trends": _tracks(lambda t: progress.effort_trends(portfolio.complete(t), {"1 km": "best_1km_speed_mps", "5 km": "best_5km_speed_mps"})),
+    "weekly_streak": _tracks(lambda t: progress.weekly_streak(portfolio.complete(t))),
+    "recap_year": _tracks(lambda t: portfolio.recap_rhythm(t, "year", "1998-06-15")),
+    "recap_all_time": _tracks(portfolio.all_time_rhythm),
+    "import_counters": _counters,
+    "import_batches": _batches,
+    "recent_archives": _recent_archives,
+    "new_recordings": _new_recordings,
+    "route_trends": _tracks(lambda t: progress.trends(_attempts(t)).drop("signal")),
+    "route_history": _tracks(lambda t: portfolio.route_history(_attempts(t))),
+    "route_matches": _route_matches,
+    "route_groups": _route_groups,
+    "points_derived": _of_points(lambda d: d, "track_id", "position", "valid", "gps_warmup", "derived_speed_mps", "delta_m", "delta_ms", "cumulative_m", "moving_ms", "grade_percent", "distance_source", "speed_source", "gain_m", "loss_m", "speed_mps"),
+    "kilometre_splits": _of_points(segments.kilometre_splits),
+    "best_efforts": _of_points(segments.best_efforts),
+    "stops": _of_points(segments.stops),
+    "climbs": _of_points(segments.climbs),
+    "segment_summary": _segment_summary,
+    "track_summary": _of_points(summary.track_summary, "track_id", "point_count", "segment_count", "distance_m", "elapsed_s", "moving_s", "stopped_s", "avg_speed_mps", "elevation_gain_m", "elevation_loss_m", "min_elevation_m", "max_elevation_m", "quality_score", "invalid_spike_points", "gps_warmup_points", "displacement_m", "skip_reason"),
+    "peak_speeds": _of_points(lambda d: summary.peak_speeds(d).drop("confidence_reasons")),
+    "median_sample_seconds": _of_points(summary.median_sample_seconds),
+    "route_cells": _of_points(summary.route_cells),
+    "downsampled": lambda spark, folder: summary.downsample(_prepared(spark, folder), 20).select("track_id", "position", "hr_break"),
+    "renderings": _renderings,
+    "hr_summary": _hr_summary,
+    "hr_histogram": _of_spans(heart_rate.histogram),
+    "hr_zones": _of_spans(lambda t: heart_rate.zones(heart_rate.histogram(t), EDGES)),
+    "hr_load": _of_spans(lambda t: heart_rate.training_load(heart_rate.histogram(t), EDGES)),
+    "hr_distribution": _of_spans(lambda t: heart_rate.distribution(heart_rate.histogram(t))),
+    "hr_cumulative": _of_spans(lambda t: heart_rate.cumulative_curve(heart_rate.histogram(t))),
+    "hr_sectors": _hr_sectors,
+    "hr_selection": _of_spans(lambda t: heart_rate.selection(t, 63.0, 240.5)),
+    "hr_duration_curve": _of_spans(heart_rate.duration_curve),
+    "hr_drift": _of_spans(heart_rate.drift),
+    "hr_cadence_lock": _cadence_lock,
+    "hr_weekly_load": _weekly_load,
+    "cadence_summary": _of_sensors(sensors.cadence_summary, "track_id", "sample_count", "maximum_rpm", "covered_s", "moving_s", "pedaling_s", "coasting_s", "average_rpm", "moving_average_rpm", "revolutions", "coasting_percent"),
+    "cadence_histogram": _of_sensors(lambda d, s: sensors.cadence_histogram(s)),
+    "terrain": _of_sensors(lambda d, s: _lower(sensors.terrain(s))),
+    "development": _of_sensors(lambda d, s: sensors.development(s)),
+    "speed_sensor": _of_sensors(sensors.speed_sensor_summary, "track_id", "covered_s", "moving_s", "distance_source", "distance_m", "gps_distance_m", "median_difference_kmh", "gps_gap_s"),
+    "pedaling_overview": _of_sensors(lambda d, s: sensors.pedaling_overview(sensors.cadence_summary(d, s))),
+    "geo_functions": _geo,
+    "activity_ids": _activity_ids,
+}
+
+ORACLES: dict[str, str] = {**LIBRARY, **POINTS}
