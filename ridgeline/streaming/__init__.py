@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""New recordings as streams."""
