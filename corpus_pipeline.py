@@ -65,7 +65,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The stages train a model and hash texts, which SQL can't express; tests/llm compares run() with a plain version.
+#: The stages train a model and hash texts, which SQL can't express; tests/llm tests the operators against plain versions, run() itself only for whole and single rows.
 ORACLE_SQL = None
 
 
