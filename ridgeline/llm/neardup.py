@@ -16,8 +16,8 @@ from .storage import Scratch
 SHINGLE, PERCENT = 5, 80
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Rounds after the first in which the groups that share a bucket are compared with each other.
-ROUNDS = 3
+#: Rounds in a row without a new link after which the groups that share a bucket are no longer compared with each other.
+QUIET_ROUNDS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +119,15 @@ def _bridges(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return drawn.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, quiet_rounds: int = QUIET_ROUNDS) -> DataFrame:
     """``id_col, n_shingles, component_id, kept``, a row for each document.
 
     Documents whose sets of word shingles have a Jaccard similarity of at least ``percent`` / 100 are linked;
     a component is what links connect, named by its smallest id, which is the one kept.  Equal sets are one
     class and only the class's smallest id is compared, so exact copies cost a row each.  Every link is
     confirmed on the whole sets.  Candidate edges are stars: each bucket links its centre with its other ids,
-    then, in ``rounds`` further rounds, one id of its largest group with one of each other group; the edges
-    grow with the buckets' ids, never with their pairs.
+    then, round by round, one id of its largest group with one of each other group, until ``quiet_rounds``
+    rounds in a row give no link; the edges grow with the buckets' ids, never with their pairs.
 
     Null and empty texts have no shingles and are linked with nothing.  Rows with the same id count as one
     document whose texts may each give links.  Rows without an id are not linked and are kept.  ``id_col``
@@ -145,13 +145,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     tried = scratch.write(_stars(members), "candidates")
     links = scratch.write(_confirmed(tried, sets, percent), "links")
     labels = components(links, scratch)
-    for turn in range(rounds):
+    turn = quiet = 0
+    while quiet < quiet_rounds:
         fresh = scratch.write(_bridges(members, labels, turn).join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.limit(1).count() == 0:
             break
         more = scratch.write(_confirmed(fresh, sets, percent), "links")
         tried = tried.union(fresh)
+        turn, quiet = turn + 1, quiet + 1
         if more.limit(1).count():
+            quiet = 0
             links = links.union(more)
             labels = components(links, scratch)
     grouped = classes.join(labels, classes["first"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
