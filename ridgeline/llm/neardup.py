@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: one-permutation signatures, banded buckets, star-shaped candidate edges, exact confirmation."""
+"""MinHash near-duplicates: one-permutation signatures, banded buckets, star-shaped candidate edges, all pairs of groups left, exact confirmation."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .graph import components
 from .minhash import band_keys, signatures
+from .pairs import cross_pairs, sketches
 from .storage import Scratch
 
 #: Words in a shingle and the similarity (percent) from which documents are linked.
 SHINGLE, PERCENT = 5, 80
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Rounds in a row without a new link after which the groups that share a bucket are no longer compared with each other.
+#: Rounds in a row without a new link after which the groups that share a bucket are compared pair by pair.
 QUIET_ROUNDS = 3
 
 
@@ -69,15 +70,16 @@ def _sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
-    """``id, set`` of documents(id, text)."""
+    """``id, set, cells`` (the set's sketch) of documents(id, text)."""
     kind = dict(documents.dtypes)["id"]
-    schema = pa.schema([("id", K.arrow_type(documents, "id")), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", K.arrow_type(documents, "id")), ("set", pa.list_(pa.int64())), ("cells", pa.binary())])
 
     def work(data, offsets, batch):
         of, hashes = shingle_sets(data, offsets, size)
-        return (pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(offsets))).astype(np.int32)), pa.array(hashes.view(np.int64))),)
+        listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(offsets))).astype(np.int32)), pa.array(hashes.view(np.int64)))
+        return listed, sketches(of, hashes, len(offsets) - 1)
 
-    return documents.mapInArrow(K.map_texts(["id"], "text", work, schema), f"id {kind}, set array<bigint>")
+    return documents.mapInArrow(K.map_texts(["id"], "text", work, schema), f"id {kind}, set array<bigint>, cells binary")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +129,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     class and only the class's smallest id is compared, so exact copies cost a row each.  Every link is
     confirmed on the whole sets.  Candidate edges are stars: each bucket links its centre with its other ids,
     then, round by round, one id of its largest group with one of each other group, until ``quiet_rounds``
-    rounds in a row give no link; the edges grow with the buckets' ids, never with their pairs.
+    rounds in a row give no link.  Then all pairs of different groups that still share a bucket are compared,
+    but for those that a bound on what they have in common rules out, so the links don't depend on the rounds.
 
     Null and empty texts have no shingles and are linked with nothing.  Rows with the same id count as one
     document whose texts may each give links.  Rows without an id are not linked and are kept.  ``id_col``
@@ -157,6 +160,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             quiet = 0
             links = links.union(more)
             labels = components(links, scratch)
+    last = cross_pairs(members.select("key", "id"), labels, sets.select("id", F.size("set").alias("size"), "cells"), percent)
+    more = scratch.write(_confirmed(scratch.write(last.join(tried, ["a", "b"], "left_anti"), "candidates"), sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more), scratch)
     grouped = classes.join(labels, classes["first"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
     grouped = scratch.write(grouped, "grouped")
     out = signed.select("id", "n", "f1", "f2").join(grouped, ["f1", "f2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))

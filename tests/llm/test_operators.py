@@ -68,6 +68,22 @@ def test_near_duplicates_of_large_groups(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, shingle=4).collect()} == plain.near_duplicate_components(texts, 4)
 
 
+def test_near_duplicates_beside_a_large_group(spark):
+    rng = random.Random(8)
+    words = sentence(rng, 133).split()
+    texts = {i: " ".join(words[:k] + ["zz"] + words[k + 1 :]) for i, k in enumerate(range(0, 132, 2))}  # one large group
+    for i in range(60):  # pairs of excerpts, 0.82 to each other, 0.77 and less to the group
+        own = list(words)
+        for k in rng.sample(range(133), 4):
+            own[k] = f"w{i}x{k}"
+        first = rng.randrange(0, 20)
+        texts[1000 + 2 * i], texts[1001 + 2 * i] = " ".join(own[first : first + 103]), " ".join(own[first + 10 : first + 113])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    want = plain.near_duplicate_components(texts, 4)
+    for rounds in (neardup.QUIET_ROUNDS, 0):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, shingle=4, quiet_rounds=rounds).collect()} == want
+
+
 def test_rules(documents, texts):
     for row in rules.quality_rules(documents).collect():
         n_words, word_chars, n_symbols, n_dup, n_repeat, failed = plain.rule_row(texts[row.doc_id])
