@@ -26,6 +26,8 @@ LONGEST_PIECE = 16
 MOST_LANGUAGES, SAMPLE_DOCUMENTS, SAMPLE_TOTAL = 256, 1_500, 12_000
 #: Rounds of expectation maximisation, and the count that every piece gets beforehand.
 ROUNDS, SMOOTHING = 3, 0.05
+#: Longer words (unspaced scripts, encoded data) are learnt from in stretches of at most this many bytes.
+LEARNT_BYTES = 512
 #: Prediction for texts without a letter.
 UNDETERMINED = "und"
 
@@ -113,14 +115,14 @@ def lattices(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndar
 def forward(lattice: Lattice, probability: np.ndarray) -> np.ndarray:
     """Log-probability of each word of the lattice in each language; ``probability`` is pieces x languages.
 
-    Each position's values are divided by the last position's largest, so that words of any length keep in
-    range; the divisors' logs are added up.
+    Each language's values are divided by its last position's, so that words of any length keep in range in
+    every language; the divisors' logs are added up.
     """
     n, languages = len(lattice.members), probability.shape[1]
     width = int(lattice.lengths.max())
     longest = max(lattice.places)
     window = {0: np.ones((n, languages))}
-    scale, out = np.zeros(n), np.zeros((n, languages))
+    scale, out = np.zeros((n, languages)), np.zeros((n, languages))
     for j in range(1, width + 1):
         now = np.zeros((n, languages))
         for k in range(1, min(longest, j) + 1):
@@ -129,42 +131,64 @@ def forward(lattice: Lattice, probability: np.ndarray) -> np.ndarray:
             if len(some):
                 now[some] += window[j - k][some] * probability[piece[some]]
         if j % 16 == 0:
-            top = now.max(axis=1)
+            top = now.copy()
             for values in (now, *(window[i] for i in window)):
-                values /= top[:, None]
+                values /= top
             scale += np.log(top)
         window[j] = now
         window.pop(j - longest, None)
         done = np.flatnonzero(lattice.lengths == j)
         if len(done):
-            out[done] = np.log(now[done]) + scale[done, None]
+            out[done] = np.log(now[done]) + scale[done]
     return out
 
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    top = np.max(terms, axis=0)
+    base = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.exp(np.array(terms) - base).sum(axis=0))
+
+
 def expected_counts(lattice: Lattice, weight: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over the lattice's words (at most 64 bytes each), each word ``weight`` times."""
+    """Expected uses of each piece over the lattice's words, each word ``weight`` times; in logs, as words may be long."""
     n, width, longest = len(lattice.members), int(lattice.lengths.max()), max(lattice.places)
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1
+    logs = np.r_[np.log(probability), -np.inf]  # the last for no piece (-1)
+    alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+    alpha[0] = 0
     for j in range(1, width + 1):
-        for k in range(1, min(longest, j) + 1):
-            piece = lattice.places[k][:, j - k]
-            alpha[j] += np.where(piece >= 0, alpha[j - k] * probability[piece], 0)
-    beta[lattice.lengths, np.arange(n)] = 1
+        alpha[j] = _log_sum([alpha[j - k] + logs[lattice.places[k][:, j - k]] for k in range(1, min(longest, j) + 1)])
+    beta[lattice.lengths, np.arange(n)] = 0
     for i in range(width - 1, -1, -1):
-        for k in range(1, min(longest, width - i) + 1):
-            piece = lattice.places[k][:, i]
-            beta[i] += np.where(piece >= 0, beta[i + k] * probability[piece], 0)
+        after = _log_sum([beta[i + k] + logs[lattice.places[k][:, i]] for k in range(1, min(longest, width - i) + 1)])
+        beta[i] = np.where(lattice.lengths == i, 0, after)
     total = alpha[lattice.lengths, np.arange(n)]
     out = np.zeros(len(probability))
     for k, pieces in lattice.places.items():
         for i in range(width - k + 1):
             piece = pieces[:, i]
-            share = np.where(piece >= 0, alpha[i] * probability[piece] * beta[i + k] / total * weight, 0)
+            share = np.exp(alpha[i] + logs[piece] + beta[i + k] - total) * weight
             out += np.bincount(np.maximum(piece, 0), weights=share, minlength=len(out))
     return out
 
 
+def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, start, end): words of over ``most`` bytes cut into stretches that begin with a character."""
+    of, a, b = [np.arange(len(starts))], [starts], [ends.copy()]
+    for w in np.flatnonzero(ends - starts > most).tolist():
+        cuts = [int(starts[w])]
+        while ends[w] - cuts[-1] > most:
+            cut = cuts[-1] + most
+            while cut > cuts[-1] + most - 4 and data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            cuts.append(cut)
+        b[0][w] = cuts[1]
+        of.append(np.full(len(cuts) - 1, w))
+        a.append(np.array(cuts[1:]))
+        b.append(np.array([*cuts[2:], ends[w]]))
+    return np.concatenate(of), np.concatenate(a), np.concatenate(b)
+
+
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray]:
     """A block's words, the first place of each distinct one, and each word's number among these."""
     words = K.Words(data, offsets, K.NOT_SPACE, K.EXACT)
@@ -186,7 +210,8 @@ class Model:
         own = np.zeros((len(first), len(self.languages)))
         for lattice in lattices(self.pieces, data, words.starts[first], words.ends[first]):
             own[lattice.members] = forward(lattice, self.probability)
-        return np.stack([K.sums_by_document(own[inverse, g], words.bounds) for g in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(offsets) - 1, 0))
+        of, n = words.documents(), len(offsets) - 1
+        return np.stack([np.bincount(of, weights=own[inverse, g], minlength=n) for g in range(len(self.languages))], axis=1) if self.languages else np.zeros((n, 0))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its posterior probability under equal priors (ties: the first by name)."""
@@ -219,12 +244,12 @@ def train(samples: dict[str, list[str]], pieces: Pieces, rounds: int = ROUNDS, s
         data, offsets = np.frombuffer(b" ".join(raw), dtype=np.uint8), None
         offsets = np.array([0, len(data)])
         words, first, inverse = distinct_words(data, offsets)
-        short = np.flatnonzero(words.ends[first] - words.starts[first] < 64)
-        weight = np.bincount(inverse, minlength=len(first)).astype(np.float64)[short]
+        word, starts, ends = _stretches(data, words.starts[first], words.ends[first], LEARNT_BYTES)
+        weight = np.bincount(inverse, minlength=len(first)).astype(np.float64)[word]
         own = np.full(len(pieces.pieces), 1.0 / len(pieces.pieces))
         for _ in range(rounds):
             counts = np.full(len(own), smoothing)
-            for lattice in lattices(pieces, data, words.starts[first[short]], words.ends[first[short]]):
+            for lattice in lattices(pieces, data, starts, ends):
                 counts += expected_counts(lattice, weight[lattice.members], own)
             own = counts / counts.sum()
         probability[:, g] = own

@@ -134,6 +134,19 @@ def test_quality_and_language_on_held_out_texts(spark):
     assert {r.doc_id: r.lang_pred for r in language.identify(asked, held).collect()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
 
 
+def test_language_of_unspaced_texts_and_after_long_words():
+    rng = random.Random(7)
+    han = lambda s: "".join(rng.choice(s) for _ in range(60))
+    samples = {"a": [han("的一是不了人我在有他") for _ in range(20)], "b": [han("這中大來上國個到說們") for _ in range(20)], "en": ["the house and the garden"] * 20}
+    model = language.train(samples, language.Pieces.load())
+    texts = [han("的一是不了人我在有他"), han("這中大來上國個到說們"), "的" * 3000, "這" * 3000, "z" * 3000, "the garden and the house", han("的一是不了人我在有他")]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+    assert np.isfinite(model.log_likelihoods(data, offsets)).all()
+    found, scores = model.predict(data, offsets)
+    assert found[:4] == ["a", "b", "a", "b"] and found[5:] == ["en", "a"] and np.isfinite(scores).all()
+
+
 def test_packing(spark, documents, texts):
     lengths, counts = np.array([1, 2, 3, 10, 11, 50]), np.array([5, 1, 1, 7, 2, 1])
     ends, padding = packing.optimal_boundaries(lengths, counts, 3)
