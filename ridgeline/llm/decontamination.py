@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,74 +15,89 @@ from .storage import Scratch
 
 #: Consecutive words in a window.
 WINDOW = 10
-#: The benchmark is broadcast as a hash set; beyond this many characters of text it is split and scanned part by part.
-BROADCAST_CHARS = 64_000_000
+#: The benchmark's windows are broadcast as a hash set; one of more bytes than this is dealt into parts that are
+#: built and scanned one after the other.
+PART_BYTES = 64_000_000
 #: One bit per slot of the filter that a window's hash passes before it is looked up.
 FILTER_BITS = 22
 
 
-class BenchmarkIndex:
-    """The windows of some benchmark items: sorted hashes, with the words and the items of each."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.window = window
-        sizes: dict[int, dict[int, dict]] = {}
-        for item, text in items:
-            words = K.words_of(text or "", K.ALNUM_OR_WIDE, K.FOLDED)
-            raw = [bytes(words.data[a:b]).lower() for a, b in zip(words.starts, words.ends)]
-            size = min(window, len(raw))
-            for i in range(len(raw) - size + 1 if raw else 0):
-                entry = sizes.setdefault(size, {}).setdefault(K.window_hash(words.hashes[i : i + size]), {})
-                entry.setdefault(tuple(raw[i : i + size]), set()).add(str(item))
-        self.sizes = {size: (np.array(sorted(entries), dtype=np.uint64), [entries[h] for h in sorted(entries)]) for size, entries in sizes.items()}
-        self.filters = {}
-        for size, (hashes, _) in self.sizes.items():
+def _normalised(words: K.Words, first: int, size: int) -> bytes:
+    """The words from ``first`` on, A-Z lowered, with a space between."""
+    return b" ".join(words.data[words.starts[k] : words.ends[k]].tobytes() for k in range(first, first + size)).lower()
+
+
+class WindowSet:
+    """A hash set of windows: their sorted hashes by number of words, and for each its words and an item it occurs in."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("size", "ascending"), ("hash", "ascending")]).combine_chunks()
+        sizes, hashes = rows.column("size").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+        self.words, self.items, self.sizes = rows.column("words").combine_chunks(), rows.column("item").combine_chunks(), {}
+        for size in np.unique(sizes).tolist():
+            low, high = np.searchsorted(sizes, [size, size + 1]).tolist()
+            own = np.sort(hashes[low:high])
+            order = low + np.argsort(hashes[low:high], kind="stable")
             slots = np.zeros(1 << FILTER_BITS, dtype=bool)
-            slots[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.filters[size] = slots
+            slots[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.sizes[size] = (own, order, slots)
 
     def hits(self, words: K.Words) -> list[tuple[int, int, set[str]]]:
         """(first word, end, items) of every verified occurrence in a block of documents."""
         out = []
-        for size, (hashes, entries) in self.sizes.items():
+        for size, (hashes, order, slots) in self.sizes.items():
             first, values = words.windows(size)
-            maybe = np.flatnonzero(self.filters[size][(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            at = np.searchsorted(hashes, values[maybe])
-            at[at == len(hashes)] = 0
-            same = hashes[at] == values[maybe]
-            for i, j in zip(first[maybe[same]].tolist(), at[same].tolist()):
-                own = tuple(bytes(words.data[words.starts[k] : words.ends[k]]).lower() for k in range(i, i + size))
-                items = entries[j].get(own)
+            maybe = np.flatnonzero(slots[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            low, high = np.searchsorted(hashes, values[maybe], "left"), np.searchsorted(hashes, values[maybe], "right")
+            some = high > low
+            for i, a, b in zip(first[maybe[some]].tolist(), low[some].tolist(), high[some].tolist()):
+                own = _normalised(words, i, size)
+                items = {self.items[k].as_py() for k in order[a:b].tolist() if self.words[k].as_py() == own}
                 if items:
                     out.append((i, i + size, items))
         return out
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[BenchmarkIndex]:
-    """The benchmark's windows, in parts of at most BROADCAST_CHARS."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    parts, part, held = [], [], 0
-    for row in rows.toLocalIterator():
-        if part and held + len(row.text) > BROADCAST_CHARS:
-            parts.append(BenchmarkIndex(part, window))
-            part, held = [], 0
-        part.append((row.item, row.text))
-        held += len(row.text)
-    return parts + [BenchmarkIndex(part, window)] if part else parts
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``size, hash, words binary, item``: the distinct windows of each item; an item of fewer words is one window."""
+    schema = pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
+
+    def task(batches):
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(1))
+            for first, end, block, own in K.blocks(data, offsets):
+                words = K.Words(block, own, K.ALNUM_OR_WIDE, K.FOLDED)
+                sizes = np.minimum(words.counts, window)
+                for size in np.unique(sizes[sizes > 0]).tolist():
+                    places, hashes = words.windows(size)
+                    of = words.documents()[places]
+                    fits = sizes[of] == size
+                    texts = [_normalised(words, i, size) for i in places[fits].tolist()]
+                    columns = [pa.array(np.full(len(texts), size, np.int32)), pa.array(hashes[fits].view(np.int64)), pa.array(texts, pa.binary()), batch.column(0).take(pa.array(of[fits] + first))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    return rows.mapInArrow(task, "size int, hash bigint, words binary, item string").distinct()
 
-def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+
+def _parts(windows: DataFrame, part_bytes: int) -> tuple[int, Callable[[int], WindowSet]]:
+    """The number of parts that hold about ``part_bytes`` each, and a function that fetches one of them."""
+    total = windows.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 24), F.lit(0)).alias("n")).first().n
+    parts = -(-total // part_bytes)
+    return parts, lambda p: WindowSet(windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(parts)) == p).toArrow())
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Verified occurrences of benchmark windows in whole documents.
 
     Returns ``id_col, n_words, n_hit, items, spans``: the words of the document, those inside any
     occurrence, the items (distinct, sorted as strings) and the hit ranges as byte offsets
     ``array<struct<start,end>>`` of the UTF-8 text, merged where they touch.  Null and empty texts have no
     words.  Items with fewer words than a window form one window of their own; items without words never
-    hit.  Repeated item rows count once, repeated documents give a row each.  Memory: one part of the
-    benchmark of at most BROADCAST_CHARS characters at a time; a benchmark of several parts is scanned part
-    by part, the hits so far travelling with the documents.
+    hit.  Repeated item rows count once, rows without an item_id don't count, repeated documents give a row each.
+
+    The driver holds and broadcasts one part of about ``part_bytes`` of windows at a time; with several parts, the
+    documents are written between parts with the hits so far.
     """
     kind = dict(documents.dtypes)[id_col]
     state = "items array<string>, ranges array<bigint>"
@@ -88,17 +105,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     id_type = K.arrow_type(documents, id_col)
     found = pa.schema([("id", id_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     carried = pa.schema([("id", id_type), ("text", pa.string()), ("items", pa.list_(pa.string())), ("ranges", pa.list_(pa.int64()))])
-    parts = _indexes(benchmark, item_col, item_text_col, window)
-    scratch = None
-    for part in parts[:-1]:
-        scratch = scratch or Scratch(documents.sparkSession, "decontamination")
-        rows = scratch.write(rows.mapInArrow(K.map_texts(["id", "text"], "text", _scan(_broadcast(documents, part), True), carried), f"id {kind}, text string, {state}"), "part")
-    last = _scan(_broadcast(documents, parts[-1] if parts else None), False)
+    scratch = Scratch(documents.sparkSession, "decontamination")
+    parts, part = _parts(scratch.write(benchmark_windows(benchmark, item_col, item_text_col, window), "windows"), part_bytes)
+    for p in range(parts - 1):
+        done, rows = rows, scratch.write(rows.mapInArrow(K.map_texts(["id", "text"], "text", _scan(_broadcast(documents, part(p)), True), carried), f"id {kind}, text string, {state}"), "part")
+        scratch.drop(done)
+    last = _scan(_broadcast(documents, part(parts - 1) if parts else None), False)
+    scratch.keep(*[rows] * (parts > 1))
     ddl = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
     return rows.mapInArrow(K.map_texts(["id"], "text", last, found), ddl).withColumnRenamed("id", id_col)
 
 
-def _broadcast(documents: DataFrame, index: BenchmarkIndex | None):
+def _broadcast(documents: DataFrame, index: WindowSet | None):
     held = documents.sparkSession.sparkContext.broadcast(index)
     return lambda: held.value
 
@@ -138,17 +156,22 @@ def _scan(index_of, carry: bool):
     return work
 
 
-def remove_spans(documents: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_share: float = 0.5) -> DataFrame:
-    """Documents without their contaminated spans.
+def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", drop_share: float = 0.5, window: int = WINDOW) -> DataFrame:
+    """Documents without their contaminated spans, all columns kept.
 
     A document with more than ``drop_share`` of its words hit is dropped; from others the hit spans are cut
-    out.  ``found`` is the result of ``contamination``; all columns of the documents stay.  Rows that share
-    an id share its spans.
+    out.  Cuts are keyed by id and text, so rows with the same id and different texts each get their own.
+    Null texts and rows without an id are judged like all others.
     """
-    hits = found.where("n_hit > 0").groupBy(F.col(id_col).alias("_hit_id")).agg(F.first("n_words").alias("_words"), F.first("n_hit").alias("_hit"), F.first("spans").alias("_spans"))
-    joined = documents.join(hits, documents[id_col] == F.col("_hit_id"), "left")
-    kept = joined.where(F.col("_hit").isNull() | (F.col("_hit") <= drop_share * F.col("_words")))
-    return kept.withColumn(text_col, F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("_spans")))).drop("_hit_id", "_words", "_hit", "_spans")
+    key, n_words, n_hit, spans = K.unused(documents, "hit_key", "hit_words", "hit_count", "hit_spans")
+    of = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    found = contamination(documents.select(of.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", item_col, item_text_col, window)
+    hits = found.where("n_hit > 0").groupBy("key").agg(*[F.first(c).alias(new) for c, new in (("n_words", n_words), ("n_hit", n_hit), ("spans", spans))]).withColumnRenamed("key", key)
+    joined = documents.join(hits, of == F.col(key), "left")
+    kept = joined.where(F.col(n_hit).isNull() | (F.col(n_hit) <= drop_share * F.col(n_words)))
+    hit = F.col(n_hit).isNotNull()
+    cut = _cut(F.when(hit, F.col(text_col)), F.col(spans))  # texts without hits don't leave the JVM
+    return kept.withColumn(text_col, F.when(hit, cut).otherwise(F.col(text_col))).drop(key, n_words, n_hit, spans)
 
 
 def _cut(text, spans):
@@ -157,11 +180,14 @@ def _cut(text, spans):
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, lists):
-            raw, kept, at = (t or "").encode("utf-8", "surrogatepass"), [], 0
+            if t is None:
+                out.append(None)
+                continue
+            raw, kept, at = t.encode("utf-8", "surrogatepass"), [], 0
             for span in own if own is not None else ():
                 kept.append(raw[at : span["start"]])
                 at = span["end"]
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(cut, "string")(text, spans)

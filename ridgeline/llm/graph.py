@@ -18,15 +18,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.write(both, "edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    held = labels = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         offered = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("_to")).agg(F.min("component").alias("_offer"))
         hooked = labels.join(offered, F.col("id") == F.col("_to"), "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_offer", "component")).alias("_label"))
         above = labels.select(F.col("id").alias("_label"), F.col("component").alias("_above"))
         jumped = hooked.join(above, "_label", "left").select("id", F.least("_label", F.coalesce("_above", "_label")).alias("component"), "_old")
         new = scratch.write(jumped, "labels")
-        moved = new.where("component != _old").limit(1).count()
-        scratch.drop(labels)
-        labels = new.select("id", "component")
+        moved = not new.where("component != _old").isEmpty()
+        scratch.drop(held)
+        held, labels = new, new.select("id", "component")
         if not moved:
+            scratch.drop(both)
             return labels

@@ -1,10 +1,11 @@
 """License scans: phrases in place, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text.  A template matches a block when the block holds at least ``THRESHOLD`` of
-the template's distinct words.  Template words are ordered by how many blocks of the whole corpus hold them,
-rarest first; then a block can only match a template if it holds one of the template's first
-``size - needed + 1`` words (prefix filter), has enough words itself (length filter), and if the words left
-from that place on can still reach what is needed (positional filter).  What passes is verified exactly.
+The blocks of a text are its windows of ``STRETCH`` times as many consecutive words as the template has, across
+line breaks.  A template matches a block that holds at least ``THRESHOLD`` of the template's distinct words.
+Template words are ordered by how often the whole corpus holds them, rarest first; then a block can only match
+if it holds one of the template's first ``size - needed + 1`` words (prefix filter), so only blocks around such a
+word are looked at, and of these only where enough template words lie near (length filter) of which enough
+come later in the order than that word (positional filter).  What passes is verified exactly.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TEMPLATES = {
 }
 #: The share of a template's words that a block must hold.
 THRESHOLD = 0.8
+#: Words in a block for each word of the template.
+STRETCH = 1.5
 
 
 def _words(text: str) -> list[str]:
@@ -55,28 +58,30 @@ class Vocabulary:
         self.hashes = np.array([h for h, _ in pairs], dtype=np.uint64)
         self.words = [w for _, w in pairs]
         self.templates = {label: sorted({self.words.index(w) for w in _words(t)}) for label, t in templates.items()}
+        self.sizes = {label: len(_words(t)) for label, t in templates.items()}
+        self.lengths = np.array([len(w.encode()) for w in self.words], dtype=np.int64)
+        self.letters = np.zeros((len(words), max(self.lengths, default=0)), dtype=np.uint8)
+        for i, w in enumerate(self.words):
+            self.letters[i, : self.lengths[i]] = list(w.encode())
         self.slots = np.zeros(1 << 16, dtype=bool)
         self.slots[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
     def find(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word, vocabulary number) of the words whose 64-bit hash is in the vocabulary."""
+        """(word, vocabulary number) of the words in the vocabulary: looked up by hash, then compared byte by byte."""
         maybe = np.flatnonzero(self.slots[(words.hashes >> np.uint64(48)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, words.hashes[maybe]), len(self.hashes) - 1)
-        same = self.hashes[at] == words.hashes[maybe]
-        return maybe[same], at[same]
-
-
-def _blocks_of(data, offsets, words, vocabulary):
-    """Vocabulary words by block (line): distinct (block, number) pairs, each block's document, first and last word."""
-    at, number = vocabulary.find(words)
-    newlines = np.flatnonzero(data == 10)
-    line = np.searchsorted(newlines, words.starts[at]) + words.documents()[at] if len(at) else at
-    return at, number, line
-
-
-def block_frequencies(documents: DataFrame, text_col: str, vocabulary: Vocabulary) -> np.ndarray:
-    """For each vocabulary word, the blocks of all documents that hold it."""
-    schema = pa.schema([("number", pa.int64()), ("blocks", pa.int64())])
+        starts, lengths = words.starts[maybe], words.ends[maybe] - words.starts[maybe]
+        same = np.flatnonzero((self.hashes[at] == words.hashes[maybe]) & (lengths == self.lengths[at]))
+        column = np.arange(self.letters.shape[1])
+        held = words.data[np.minimum(starts[same, None] + column, len(words.data) - 1)] if len(same) else np.zeros((0, len(column)), np.uint8)
+        held = np.where((held >= 65) & (held <= 90), held + 32, held)
+        equal = ((held == self.letters[at[same]]) | (column >= lengths[same, None])).all(axis=1)
+        return maybe[same[equal]], at[same[equal]]
+
+
+def word_frequencies(documents: DataFrame, text_col: str, vocabulary: Vocabulary) -> np.ndarray:
+    """How often all documents together hold each vocabulary word."""
+    schema = pa.schema([("number", pa.int64()), ("times", pa.int64())])
     held = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
@@ -84,48 +89,56 @@ def block_frequencies(documents: DataFrame, text_col: str, vocabulary: Vocabular
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(0))
             for _, _, block, own in K.blocks(data, offsets):
-                words = K.Words(block, own, K.ALNUM_OR_WIDE, K.FOLDED)
-                _, number, line = _blocks_of(block, own, words, held.value)
-                total += np.bincount(np.unique(line * len(total) + number) % len(total), minlength=len(total))
+                _, number = held.value.find(K.Words(block, own, K.ALNUM_OR_WIDE, K.FOLDED))
+                total += np.bincount(number, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total, pa.int64())], schema=schema)
 
-    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(count, "number bigint, blocks bigint").groupBy("number").agg(F.sum("blocks").alias("blocks"))
+    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(count, "number bigint, times bigint").groupBy("number").agg(F.sum("times").alias("times"))
     out = np.zeros(len(vocabulary.words), dtype=np.int64)
     for r in rows.collect():  # a row for each vocabulary word
-        out[r.number] = r.blocks
+        out[r.number] = r.times
     return out
 
 
 class PrefixIndex:
-    """The templates' prefixes under the global order of words."""
+    """The templates' words under the global order, with what a match needs."""
 
-    def __init__(self, vocabulary: Vocabulary, frequencies: np.ndarray, threshold: float = THRESHOLD):
-        order = np.lexsort((np.arange(len(frequencies)), frequencies))
-        self.rank = np.empty(len(order), dtype=np.int64)
-        self.rank[order] = np.arange(len(order))
-        self.sets, self.needed, self.prefixes = {}, {}, {}
+    def __init__(self, vocabulary: Vocabulary, frequencies: np.ndarray, threshold: float = THRESHOLD, stretch: float = STRETCH):
+        rank = np.empty(len(frequencies), dtype=np.int64)
+        rank[np.lexsort((np.arange(len(frequencies)), frequencies))] = np.arange(len(frequencies))
+        self.templates = []
         for label, numbers in vocabulary.templates.items():
-            ranks = sorted(self.rank[numbers].tolist())
-            need = math.ceil(threshold * len(ranks) - 1e-9)
-            self.sets[label], self.needed[label] = ranks, need
-            for place, r in enumerate(ranks[: len(ranks) - need + 1]):
-                self.prefixes.setdefault(r, []).append((label, place))
-        self.least = min(self.needed.values(), default=1)
-
-    def matches(self, held: list[int]) -> dict[str, float]:
-        """Containment of the templates that a block with these vocabulary ranks (ascending, distinct) matches."""
-        out, tried, own = {}, set(), set(held)
-        for i, r in enumerate(held):
-            for label, place in self.prefixes.get(r, ()):
-                ranks, need = self.sets[label], self.needed[label]
-                if label in tried or len(held) < need:
-                    continue
-                tried.add(label)  # held in rank order: this is the first common word, so nothing before it can count
-                if 1 + min(len(held) - i - 1, len(ranks) - place - 1) < need:
+            place = np.full(len(rank), -1, dtype=np.int64)  # of each word in the template's order
+            place[sorted(numbers, key=lambda n: rank[n])] = np.arange(len(numbers))
+            need = math.ceil(threshold * len(numbers) - 1e-9)
+            self.templates.append((label, place, len(numbers), need, math.ceil(stretch * vocabulary.sizes[label] - 1e-9)))
+
+    def matches(self, at: np.ndarray, number: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, float]]:
+        """(word, label, containment) of each template's best block (ties: the first) in each document that it matches.
+
+        ``at``, ``number``: the vocabulary words of some documents, ascending by place; ``bounds``: the documents' first words.
+        """
+        out = []
+        for label, place, size, need, width in self.templates:
+            own = place[number]
+            held = np.flatnonzero(own >= 0)
+            own, words = own[held], at[held]
+            rare = np.flatnonzero(own < size - need + 1)
+            of = np.searchsorted(bounds, words[rare], "right") - 1
+            low = np.searchsorted(words, np.maximum(words[rare] - width + 1, bounds[of]))
+            high = np.searchsorted(words, np.minimum(words[rare] + width, bounds[of + 1]))
+            best: dict[int, tuple[float, int]] = {}
+            tried: set[int] = set()
+            for q, d, a, b in zip(rare.tolist(), of.tolist(), low.tolist(), high.tolist()):
+                if b - a < need or len(set(own[a:b][own[a:b] >= own[q]].tolist())) < need:  # blocks with a rarer word are met at that word
                     continue
-                common = sum(x in own for x in ranks)
-                if common >= need:
-                    out[label] = common / len(ranks)
+                for s in range(a, q + 1):
+                    if s not in tried:
+                        tried.add(s)
+                        common = len(set(own[s : s + int(np.searchsorted(words[s:b], words[s] + width))].tolist()))
+                        if common >= need:
+                            best[d] = max(best.get(d, (0.0, 0)), (common / size, -int(words[s])))
+            out += [(-w, label, containment) for containment, w in best.values()]
         return out
 
 
@@ -134,16 +147,17 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Returns ``id_col, n_words, n_base, first_word, last_word, base_labels, template_labels, matches, score``:
     all places of phrases, the smallest and largest start (in words from 0, null without a place), distinct
-    sorted labels, the matching blocks ``array<struct<label,line,containment>>`` and the best containment (1
-    for a phrase; 0 without any match).  Null and empty texts have no words.
+    sorted labels, the best block of each matching template ``array<struct<label,word,containment>>`` (``word``: its
+    first word of the template, in words from 0) and the best containment (1 for a phrase; 0 without any match).
+    Null and empty texts have no words; repeated rows each get theirs.
     """
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     vocabulary = Vocabulary({**templates, **{f"phrase {p}": p for p in phrases}})
     vocabulary.templates = {k: v for k, v in vocabulary.templates.items() if k in templates}
-    index = PrefixIndex(vocabulary, block_frequencies(documents, text_col, vocabulary), threshold)
+    index = PrefixIndex(vocabulary, word_frequencies(documents, text_col, vocabulary), threshold)
     sequences = [([vocabulary.words.index(w) for w in _words(p)], label) for p, label in phrases.items()]
     kind = dict(documents.dtypes)[id_col]
-    match = pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())])
+    match = pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())])
     schema = pa.schema([("id", K.arrow_type(documents, id_col)), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())), ("template_labels", pa.list_(pa.string())), ("matches", pa.list_(match)), ("score", pa.float64())])
     shared = documents.sparkSession.sparkContext.broadcast((vocabulary, index, sequences))
 
@@ -151,7 +165,7 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         vocabulary, index, sequences = shared.value
         words = K.Words(data, offsets, K.ALNUM_OR_WIDE, K.FOLDED)
         n = len(offsets) - 1
-        at, number, line = _blocks_of(data, offsets, words, vocabulary)
+        at, number = vocabulary.find(words)
         of = words.documents()
         codes = np.full(len(words.hashes), -1, dtype=np.int64)
         codes[at] = number
@@ -166,19 +180,12 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                 places[of[i]].append(i - int(words.bounds[of[i]]))
                 base[of[i]].add(label)
         matches: list[list[dict]] = [[] for _ in range(n)]
-        pairs = np.unique(line * len(index.rank) + index.rank[number]) if len(at) else np.zeros(0, np.int64)
-        lines, ranks = pairs // max(1, len(index.rank)), pairs % max(1, len(index.rank))
-        cuts = np.flatnonzero(np.diff(lines)) + 1
-        first_line = np.searchsorted(np.flatnonzero(data == 10), offsets[:-1]) + np.arange(n)
-        for i, j in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(lines)].tolist()):
-            if j - i < index.least:
-                continue
-            for label, containment in index.matches(ranks[i:j].tolist()).items():
-                d = int(np.searchsorted(first_line, lines[i], "right")) - 1
-                matches[d].append({"label": label, "line": int(lines[i] - first_line[d]), "containment": containment})
+        for word, label, containment in index.matches(at, number, words.bounds):
+            d = int(np.searchsorted(words.bounds, word, "right")) - 1
+            matches[d].append({"label": label, "word": word - int(words.bounds[d]), "containment": containment})
         score = [max([1.0] * bool(places[d]) + [m["containment"] for m in matches[d]], default=0.0) for d in range(n)]
         return words.counts, [len(x) for x in places], [min(x, default=None) for x in places], [max(x, default=None) for x in places], [sorted(x) for x in base], [sorted({m["label"] for m in x}) for x in matches], matches, score
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ddl = f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, template_labels array<string>, matches array<struct<label:string,line:bigint,containment:double>>, score double"
+    ddl = f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, template_labels array<string>, matches array<struct<label:string,word:bigint,containment:double>>, score double"
     return rows.mapInArrow(K.map_texts(["id"], "text", work, schema), ddl).withColumnRenamed("id", id_col)

@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import components
 from .minhash import band_keys, signatures
+from .pairs import sketches
+from .search import connected
 from .storage import Scratch
 
 #: Characters in a shingle and the similarity (percent) from which lines are linked.
 SHINGLE, PERCENT = 8, 80
-#: 12 bands of 4 bins: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^12 = 0.002.
-BANDS, ROWS = 12, 4
-#: Lines of fewer characters (without white space at the ends) say too little to be copies; they all stay.
-LEAST_CHARS = 32
+#: 12 bands of 3 bins: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^3)^12 = 0.0002.
+BANDS, ROWS = 12, 3
+#: Lines of fewer characters (without white space at the ends) all stay.
+LEAST_CHARS = 1
 #: Slots (a power of two) of a task's table of classes that it has already given keys for.
 SEEN_BITS = 18
+#: A bucket of more than this share of all rows is hot: its rows are dealt out instead of streaming through one task.
+HOT_SHARE = 1 / 2048
+#: One row in this many, by hash, is counted to find the hot buckets.
+HOT_SAMPLE = 64
 
 
 class Lines:
@@ -51,7 +57,7 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = values[wide]
     for k, factor in ((1, np.uint64(0x9E3779B97F4A7C15)), (2, np.uint64(0xBF58476D1CE4E5B9)), (3, np.uint64(0x94D049BB133111EB))):  # continuation bytes count into their character's value
         at = np.minimum(wide + k, len(data) - 1)
-        own = own + np.where((wide + k < len(data)) & ~heads[at] & (before[at] == before[wide]), values[at] * factor, np.uint64(0))
+        own = own + np.where((wide + k < len(data)) & ~heads[at] & (before[at] == before[wide] + 1), values[at] * factor, np.uint64(0))
     values[wide] = K.mix(own)
     return values[heads], before
 
@@ -78,34 +84,35 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int)
     return of, hashes
 
 
-def _occurrences(documents: DataFrame, least: int) -> DataFrame:
-    """``cls, id, line``: the class (hash) of every line that is long enough."""
-    schema = pa.schema([("cls", pa.int64()), ("id", pa.int64()), ("line", pa.int32())])
+def _occurrences(rows: DataFrame, least: int) -> DataFrame:
+    """``cls, id, digest, line``: the class (hash) of every line that is long enough."""
+    schema = pa.schema([("cls", pa.int64()), ("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int32())])
 
     def task(batches):
         for batch in batches:
-            data, offsets = K.text_buffers(batch.column(1))
-            ids = batch.column(0)
+            data, offsets = K.text_buffers(batch.column(2))
             for first, end, block, own in K.blocks(data, offsets):
                 lines = Lines(block, own, least)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.classes), ids.take(pa.array(lines.of + first)), pa.array(lines.numbers.astype(np.int32))], schema=schema)
+                at = pa.array(lines.of + first)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.classes), batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.numbers.astype(np.int32))], schema=schema)
 
-    return documents.mapInArrow(task, "cls bigint, id bigint, line int")
+    return rows.select("id", "digest", "text").mapInArrow(task, "cls bigint, id bigint, digest bigint, line int")
 
 
-def _bands(documents: DataFrame, least: int, size: int) -> DataFrame:
+def _bands(rows: DataFrame, least: int, size: int) -> DataFrame:
     """``key, cls``: the band keys of the lines, of which a task leaves out most that it has seen before.
 
     A table of fixed size holds the last class of each slot, so a line that is everywhere gives few rows per task.
+    A line shorter than a shingle has no keys: only an equal line, which is of its class, has its set.
     """
     schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
 
     def task(batches):
         last = np.zeros(1 << SEEN_BITS, dtype=np.int64)
         for batch in batches:
-            data, offsets = K.text_buffers(batch.column(1))
+            data, offsets = K.text_buffers(batch.column(0))
             for _, _, block, own in K.blocks(data, offsets):
-                lines = Lines(block, own, least)
+                lines = Lines(block, own, max(least, size))
                 slot = lines.classes & ((1 << SEEN_BITS) - 1)
                 new = np.flatnonzero(last[slot] != lines.classes)
                 last[slot[new]] = lines.classes[new]
@@ -113,48 +120,101 @@ def _bands(documents: DataFrame, least: int, size: int) -> DataFrame:
                 keys = band_keys(signatures(of, hashes, len(new), BANDS * ROWS), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(lines.classes[new], BANDS))], schema=schema)
 
-    return documents.mapInArrow(task, "key bigint, cls bigint")
+    return rows.select("text").mapInArrow(task, "key bigint, cls bigint")
 
 
-def _candidates(bands: DataFrame) -> DataFrame:
-    """Edges within each bucket: its first class with each other one, and each class with the one before.
+def _shared(bands: DataFrame) -> DataFrame:
+    """``key, cls``: the distinct rows of the buckets that hold two classes or more.
 
-    Rows arrive sorted by bucket, so a bucket of any size streams through in constant memory and gives at
-    most two edges a row.
+    Rows arrive sorted by bucket, so a bucket of any size streams through in constant memory.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
 
     def task(batches):
-        key = centre = before = None
+        held = np.zeros((2, 0), dtype=np.int64)  # the last row so far, and whether it was given out
+        given = False
         for batch in batches:
-            keys, classes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
+            own = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            if not own.shape[1]:
                 continue
-            if key is not None:  # the bucket that the last batch ended in goes on
-                keys, classes = np.r_[key, key, keys], np.r_[centre, before, classes]
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = keys[1:] != keys[:-1]
-            opened = np.flatnonzero(new)
-            centres = classes[np.repeat(opened, np.diff(np.r_[opened, len(keys)]))]
-            star = np.stack([centres, classes])[:, classes != centres]
-            chain = np.stack([classes[:-1], classes[1:]])[:, ~new[1:] & (classes[:-1] != classes[1:]) & (classes[:-1] != centres[:-1])]
-            pairs = np.sort(np.concatenate([star, chain], axis=1), axis=0)
-            key, centre, before = keys[-1], centres[-1], classes[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+            rows = np.concatenate([held, own], axis=1)
+            new = np.ones(rows.shape[1], dtype=bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            rows = rows[:, new]
+            same = rows[0, 1:] == rows[0, :-1]
+            shared = np.r_[False, same] | np.r_[same, False]
+            was = given and held.shape[1] > 0
+            given = bool(shared[-1]) or (was and rows.shape[1] == 1)
+            shared[0] &= not was
+            held = rows[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, shared]), pa.array(rows[1, shared])], schema=schema)
+
+    return bands.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(task, "key bigint, cls bigint")
+
+
+def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, n, id`` of the buckets that n >= 2 classes share.
+
+    Hot buckets, which a hashed sample of rows names (at most 1 / HOT_SHARE of them), are left to grouped
+    distinct rows, which spread over all tasks; the others stream.  Which way a bucket goes doesn't change
+    its rows.
+    """
+    sample = bands.where(F.pmod("cls", F.lit(HOT_SAMPLE)) == 0)
+    least = HOT_SHARE * sample.count()
+    hot = [r.key for r in sample.groupBy("key").count().where(F.col("count") > F.greatest(F.lit(least), F.lit(HOT_SAMPLE))).select("key").collect()]
+    found = _shared(bands.where(~F.col("key").isin(hot)) if hot else bands)
+    if hot:
+        found = found.union(bands.where(F.col("key").isin(hot)).distinct())
+    found = scratch.write(found, "shared")
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return scratch.write(found.join(counts, "key").select("key", "n", F.col("cls").alias("id")), "members")
+
+
+def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id`` (the class), ``text`` of the wanted(cls, id, digest, line) lines, from rows(id, digest, text).
+
+    A document's wanted lines are gathered beside its text, so a row is bounded by a document.
+    """
+    listed = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("line", "cls")).alias("lines"))
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+
+    def task(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            wanted, bounds = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].tolist()
+            numbers, found = wanted.field("line").to_pylist(), []
+            for text, i, j in zip(batch.column(0), bounds, bounds[1:]):
+                parts = text.as_py().split("\n")
+                found += [parts[k] for k in numbers[i:j]]
+            yield pa.RecordBatch.from_arrays([wanted.field("cls"), pa.array(found, pa.string())], schema=schema)
+
+    return rows.join(listed, ["id", "digest"]).select("text", "lines").mapInArrow(task, "id bigint, text string").dropDuplicates(["id"])
+
+
+def _line_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``id, size, cells``: the size and sketch of each line's set of shingles."""
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("cells", pa.binary())])
+
+    def work(data, offsets, batch):
+        lines, n = Lines(data, offsets, 0), len(offsets) - 1
+        of, hashes = shingles(data, lines.starts, lines.ends, size)
+        of, hashes = distinct_by_owner(lines.of[of], hashes)
+        return np.bincount(of, minlength=n), sketches(of, hashes, n)
 
-    return bands.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(task, "a bigint, b bigint").distinct()
+    return texts.mapInArrow(K.map_texts(["id"], "text", work, schema), "id bigint, size bigint, cells binary")
 
 
-def _line_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cls, text`` of the wanted(cls, id, line) lines, from documents(id, text)."""
-    listed = wanted.groupBy("id").agg(F.collect_list(F.struct("line", "cls")).alias("lines"))
-    taken = documents.join(listed, "id").select(F.split("text", "\n").alias("all"), F.explode("lines").alias("w"))
-    return taken.select("w.cls", F.col("all")[F.col("w.line")].alias("text")).where("text is not null")
+def distinct_by_owner(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    return of[new], hashes[new]
 
 
 def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The edges(a, b) whose lines' whole shingle sets reach the similarity."""
-    left, right = (texts.select(F.col("cls").alias(end), F.col("text").alias(f"text_{end}")) for end in "ab")
+    left, right = (texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")) for end in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def keyed(column):
@@ -180,45 +240,68 @@ def _confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, least: int = LEAST_CHARS) -> DataFrame:
-    """``id, removed array<int>``: per document id, the numbers (from 0) of the lines that repeat a kept one.
-
-    Lines (split at ``\\n``) of at least ``least`` characters are compared without white space at their ends
-    and with A-Z lowered.  Equal lines are one class; classes are linked if their sets of ``shingle``-character
-    shingles have a Jaccard similarity of at least ``percent`` / 100, confirmed on the whole lines.  Of each
-    connected component the line with the smallest (id, number) stays.  Null and empty texts have no lines.
-    Rows with the same id share their lines' fate; rows without an id are neither kept lines nor removed from.
-    ``id_col`` is an integer column.
+    """``id, digest, removed array<int>``: per document, the numbers (from 0) of the lines that repeat a kept one.
+
+    A document is an id and a text, whose xxhash64 is the digest.  Lines (split at ``\\n``) of at least ``least``
+    characters are compared without ASCII white space at their ends and with A-Z lowered.  Equal lines are one
+    class; classes are linked if their sets of ``shingle``-character shingles have a Jaccard similarity of at
+    least ``percent`` / 100, confirmed on the whole lines; a line shorter than a shingle is only linked with equal
+    ones.  Every two classes that share a band are compared or ruled out by a bound (``search.connected``).  Of
+    each connected component the line with the smallest (id, digest, number) stays.
+
+    Null and empty texts have no lines.  Rows with the same id and text are one document and share its cuts;
+    rows with the same id and different texts are documents of their own.  Rows without an id are neither kept
+    lines nor removed from.  ``id_col`` is an integer column.
     """
     scratch = Scratch(documents.sparkSession, "linededup")
-    rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    bands = scratch.write(_bands(rows, least, shingle), "bands")
+    members = _members(bands, scratch)
+    scratch.drop(bands)
     lines = scratch.write(_occurrences(rows, least), "lines")
-    edges = scratch.write(_candidates(_bands(rows, least, shingle)), "candidates")
-    ends = edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).distinct()
-    classes = scratch.write(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    wanted = classes.join(ends, "cls", "left_semi").select("cls", "first.id", "first.line")
-    texts = scratch.write(_line_texts(rows, wanted).dropDuplicates(["cls"]), "texts")
-    links = scratch.write(_confirmed(edges, texts, shingle, percent), "links")
-    labels = components(links, scratch)
+    classes = scratch.write(lines.groupBy("cls").agg(F.min(F.struct("id", "digest", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    wanted = classes.join(members.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").select("cls", "first.*")
+    texts = scratch.write(_line_texts(rows, wanted), "texts")
+    labels = connected(members, _line_sets(texts, shingle), lambda edges: _confirmed(edges, texts, shingle, percent), scratch, percent)
     united = classes.join(labels.withColumnRenamed("id", "cls"), "cls")
     keepers = united.groupBy("component").agg(F.min("first").alias("keeper"))
     linked = united.join(keepers, "component").select("cls", "keeper")
     alone = classes.where("n > 1").join(labels.select(F.col("id").alias("cls")), "cls", "left_anti").select("cls", F.col("first").alias("keeper"))
     repeated = scratch.write(linked.union(alone), "repeated")
-    gone = lines.join(repeated, "cls").where(F.struct("id", "line") != F.col("keeper"))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = lines.join(repeated, "cls").where(F.struct("id", "digest", "line") != F.col("keeper"))
+    found = scratch.write(gone.groupBy("id", "digest").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    scratch.keep(found)
+    return found
 
 
 def drop_repeated_lines(documents: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without their repeated lines, all columns kept, with ``n_lines`` and ``n_removed`` added.
 
-    A document all of whose lines with ink were removed keeps an empty text.  Null texts stay null, with 0 lines.
+    ``removed`` is the result of ``repeated_lines``.  A document all of whose lines with ink were removed keeps
+    an empty text.  Null texts stay null, with 0 lines.  Where the documents have columns of these names, they
+    stay and the added names get an underscore.
     """
-    found = removed.select(F.col("id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    joined = documents.join(found, F.col(id_col) == F.col("_gone_id"), "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    left = F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).when(F.trim(left) == "", F.lit("")).otherwise(left)
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("bigint"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")})
-    counted = counted.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)).cast("bigint"))
-    return counted.withColumn(text_col, text).drop("_gone_id", "_gone")
+    gone_id, digest, gone, total, cut = K.unused(documents, "gone_id", "gone_digest", "gone", "n_lines", "n_removed")
+    found = removed.select(F.col("id").alias(gone_id), F.col("digest").alias(digest), F.col("removed").alias(gone))
+    joined = documents.join(found, (F.col(id_col) == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(digest)), "left")
+    n_lines = F.coalesce(F.length(F.col(text_col)) - F.length(F.translate(F.col(text_col), "\n", "")) + 1, F.lit(0)).cast("bigint")
+    counted = joined.withColumns({total: n_lines, cut: F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("bigint")})
+    hit = F.col(gone).isNotNull()
+    left = _without(F.when(hit, F.col(text_col)), F.col(gone))  # texts without cuts don't leave the JVM
+    return counted.withColumn(text_col, F.when(hit, left).otherwise(F.col(text_col))).drop(gone_id, digest, gone)
+
+
+def _without(text, numbers):
+    """The texts without the lines of these numbers; empty if no ink is left."""
+
+    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        def one(text, own):
+            if text is None:
+                return None
+            gone = set(own.tolist())
+            left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+            return left if left.strip(" \t\n\v\f\r") else ""
+
+        return pd.Series([one(t, own) for t, own in zip(texts, lists)], dtype=object)
+
+    return F.pandas_udf(cut, "string")(text, numbers)

@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import components
 from .minhash import band_keys, signatures
-from .pairs import cross_pairs, sketches
+from .pairs import sketches
+from .search import QUIET_ROUNDS, connected
 from .storage import Scratch
 
 #: Words in a shingle and the similarity (percent) from which documents are linked.
 SHINGLE, PERCENT = 5, 80
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Rounds in a row without a new link after which the groups that share a bucket are compared pair by pair.
-QUIET_ROUNDS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,28 +95,14 @@ def _members(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(rows.join(shared, "key"), "members")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Edges from each bucket's centre to its other ids.
-
-    The centre is the id that meets most others over all its buckets (ties: the smallest), which in a group
-    of variants of one text is the text that they vary, so that most of the group is similar to it.
-    """
-    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    weighted = members.join(weights, "id")
-    centres = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("centre"))
-    return members.join(centres, "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-
-def _bridges(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Edges between the groups that share a bucket: from one id of its largest group to one of each other group.
-
-    The ids are drawn by a hash of bucket and turn, so the buckets that two groups share, and later turns,
-    try different ones.  A bucket gives at most as many edges as it holds groups.
-    """
-    grouped = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    drawn = grouped.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id")).alias("d")).select("key", "component", "n", F.col("d.id").alias("id"))
-    hubs = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "component", "id")).alias("hub")).where("groups > 1").select("key", F.col("hub.id").alias("hub"))
-    return drawn.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+def _same_id(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links between the classes of ids that have texts of several classes; None without such ids."""
+    of = F.struct("f1", "f2", "n")
+    several = scratch.write(signed.groupBy("id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low != high").select("id"), "several")
+    if several.isEmpty():
+        return None
+    held = signed.join(several, "id").join(classes, ["f1", "f2", "n"]).select("id", "first").distinct()
+    return scratch.write(held.join(held.groupBy("id").agg(F.min("first").alias("a")), "id").where("a != first").select("a", F.col("first").alias("b")).distinct(), "links")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, quiet_rounds: int = QUIET_ROUNDS) -> DataFrame:
@@ -127,10 +111,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Documents whose sets of word shingles have a Jaccard similarity of at least ``percent`` / 100 are linked;
     a component is what links connect, named by its smallest id, which is the one kept.  Equal sets are one
     class and only the class's smallest id is compared, so exact copies cost a row each.  Every link is
-    confirmed on the whole sets.  Candidate edges are stars: each bucket links its centre with its other ids,
-    then, round by round, one id of its largest group with one of each other group, until ``quiet_rounds``
-    rounds in a row give no link.  Then all pairs of different groups that still share a bucket are compared,
-    but for those that a bound on what they have in common rules out, so the links don't depend on the rounds.
+    confirmed on the whole sets; candidates are searched as ``search.connected`` says, so each pair that shares a
+    bucket is linked if it is similar enough, whatever the other members of the bucket are.
 
     Null and empty texts have no shingles and are linked with nothing.  Rows with the same id count as one
     document whose texts may each give links.  Rows without an id are not linked and are kept.  ``id_col``
@@ -145,26 +127,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = classes.select(F.col("first").alias("id"), "f1", "f2", "n")
     members = _members(inner.select("id", "f1", "f2", "n", "keys").join(firsts, ["id", "f1", "f2", "n"], "left_semi").select("id", "keys").distinct(), scratch)
     sets = scratch.write(_sets(rows.join(members.select("id").distinct(), "id", "left_semi"), shingle).distinct(), "sets")
-    tried = scratch.write(_stars(members), "candidates")
-    links = scratch.write(_confirmed(tried, sets, percent), "links")
-    labels = components(links, scratch)
-    turn = quiet = 0
-    while quiet < quiet_rounds:
-        fresh = scratch.write(_bridges(members, labels, turn).join(tried, ["a", "b"], "left_anti"), "candidates")
-        if fresh.limit(1).count() == 0:
-            break
-        more = scratch.write(_confirmed(fresh, sets, percent), "links")
-        tried = tried.union(fresh)
-        turn, quiet = turn + 1, quiet + 1
-        if more.limit(1).count():
-            quiet = 0
-            links = links.union(more)
-            labels = components(links, scratch)
-    last = cross_pairs(members.select("key", "id"), labels, sets.select("id", F.size("set").alias("size"), "cells"), percent)
-    more = scratch.write(_confirmed(scratch.write(last.join(tried, ["a", "b"], "left_anti"), "candidates"), sets, percent), "links")
-    if more.limit(1).count():
-        labels = components(links.union(more), scratch)
+    labels = connected(members, sets.select("id", F.size("set").alias("size"), "cells"), lambda edges: _confirmed(edges, sets, percent), scratch, percent, quiet_rounds, _same_id(inner, classes, scratch))
     grouped = classes.join(labels, classes["first"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
     grouped = scratch.write(grouped, "grouped")
+    scratch.keep(signed, grouped)
     out = signed.select("id", "n", "f1", "f2").join(grouped, ["f1", "f2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

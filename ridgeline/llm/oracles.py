@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from . import rules
+from .licenses import PHRASES, STRETCH, TEMPLATES, THRESHOLD
 
 #: Lower-cased words of digits, letters and characters beyond ASCII.
 _WORDS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -51,19 +52,21 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 def _licenses() -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES.items())
-    line = _WORDS.format(text="line")
     return f"""
 WITH phrases(phrase, label) AS (VALUES {phrases}
-), templates(label, words) AS (SELECT label, list_distinct(string_split(t, ' ')) FROM (VALUES {templates}) v(label, t)
+), templates(label, words, width) AS (SELECT label, list_distinct(string_split(t, ' ')), ceil({STRETCH} * len(string_split(t, ' ')) - 1e-9) FROM (VALUES {templates}) v(label, t)
 ), docs AS (SELECT doc_id, {_FOLD.format(text="text")} AS t, {_PLAIN} AS w FROM documents
 ), places AS (
   SELECT doc_id, label, i - 1 AS word
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs WHERE regexp_matches(t, 'license|cc')) JOIN phrases ON array_to_string(list_slice(w, i, i + len(string_split(phrase, ' ')) - 1), ' ') = phrase
 ), base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
-), lines AS (SELECT doc_id, list_distinct({line}) AS words FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+), wanted AS (SELECT label, unnest(words) AS word FROM templates
+), held AS (SELECT doc_id, label, i, h.word FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM docs) h JOIN wanted USING (word)
+), blocks AS (
+  SELECT a.doc_id, a.label, a.i, count(DISTINCT b.word) AS common FROM held a JOIN templates USING (label) JOIN held b ON b.doc_id = a.doc_id AND b.label = a.label AND b.i >= a.i AND b.i < a.i + width
+  GROUP BY a.doc_id, a.label, a.i
 ), matched AS (
-  SELECT doc_id, label, len(list_intersect(templates.words, lines.words)) / len(templates.words) AS containment
-  FROM lines JOIN templates ON list_has_any(lines.words, templates.words) AND len(list_intersect(templates.words, lines.words)) >= ceil({THRESHOLD} * len(templates.words) - 1e-9)
+  SELECT doc_id, label, max(common / len(words)) AS containment FROM blocks JOIN templates USING (label) WHERE common >= ceil({THRESHOLD} * len(words) - 1e-9) GROUP BY doc_id, label
 ), learnt AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS containment FROM matched GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
@@ -103,4 +106,47 @@ SELECT page_id, url_key, outcome, CASE WHEN outcome <> 'mismatch' THEN full_id E
 FROM judged
 """
 
-ORACLES = {"op3_neardup": NEARDUP, "op5_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_warc": WARC}
+
+def _rules() -> str:
+    values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {top} * {steps} // {bottom} AS value FROM counted WHERE NOT base_failed AND {bottom} > 0" for m, (top, bottom, steps, *_) in rules.MEASURES.items())
+    fences, broken = [], []
+    for m, (_, _, steps, least, limit) in rules.MEASURES.items():
+        q1, q3 = (f"max(CASE WHEN measure = '{m}' THEN {q} END) / {float(steps)}" for q in ("q1", "q3"))
+        width = f"{rules.FENCE} * greatest(({q3}) - ({q1}), {least})"
+        above = width if limit is None else f"least({width}, ({limit} - ({q3})) * {rules.REACH})"
+        fences.append(f"({q1}) - ({width}) AS low_{m}, ({q3}) + ({above}) AS high_{m}")
+        top, bottom = rules.MEASURES[m][:2]
+        below = f" OR {top} / {bottom} < low_{m}" if m == "mean_word" else ""
+        broken.append(f"CASE WHEN {bottom} > 0 AND ({top} / {bottom} > high_{m}{below}) THEN '{m}' END")
+    return f"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs)
+), twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 4) g(k) GROUP BY doc_id
+), lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < {rules.MIN_WORDS} OR 100 * coalesce(n, 0) > {rules.MAX_REPEAT_PERCENT} * len(w) AS base_failed
+  FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)
+), vals AS ({values}
+), spared AS (SELECT *, greatest(length(bin(value)) - {rules.CELL_BITS}, 0)::BIGINT AS spare FROM vals
+), own AS (SELECT lang, source, measure, (value >> spare) << spare AS cell, count(*) AS n FROM spared GROUP BY ALL
+), by_lang AS (SELECT lang, measure, cell, sum(n)::HUGEINT AS m FROM own GROUP BY ALL
+), every AS (SELECT DISTINCT lang, source, measure FROM own
+), weighed AS (
+  SELECT e.lang, e.source, e.measure, b.cell, coalesce(o.n, 0)::HUGEINT * (sum(b.m) OVER (PARTITION BY e.lang, e.source, e.measure))::HUGEINT + {rules.PRIOR} * b.m AS weight
+  FROM every e JOIN by_lang b ON e.lang IS NOT DISTINCT FROM b.lang AND e.measure = b.measure
+  LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM e.lang AND o.source IS NOT DISTINCT FROM e.source AND o.measure = e.measure AND o.cell = b.cell
+), summed AS (
+  SELECT lang, source, measure, cell, (sum(weight) OVER (PARTITION BY lang, source, measure ORDER BY cell ROWS UNBOUNDED PRECEDING))::HUGEINT AS upto, (sum(weight) OVER (PARTITION BY lang, source, measure))::HUGEINT AS total FROM weighed
+), quartiles AS (SELECT lang, source, measure, min(CASE WHEN upto * 4 >= total THEN cell END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN cell END) AS q3 FROM summed GROUP BY ALL
+), fences AS (SELECT lang, source, {", ".join(fences)} FROM quartiles GROUP BY lang, source
+), judged AS (
+  SELECT c.*, array_to_string(list_filter([{", ".join(broken)}], lambda x: x IS NOT NULL), ',') AS failed_rules
+  FROM counted c LEFT JOIN fences f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM judged
+"""
+
+
+ORACLES = {"op3_neardup": NEARDUP, "op4_rules": _rules(), "op5_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_warc": WARC}

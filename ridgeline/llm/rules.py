@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -15,13 +15,21 @@ MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: Fixed value: the symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
 
-#: Measures that a threshold is learnt for, with the least spread (in the measure's unit) that its fence
-#: allows for, so that a group whose documents are all alike doesn't reject ordinary variation.
-MEASURES = {"symbol_share": 0.02, "repeat_share": 0.10, "dup_line_share": 0.25, "mean_word": 1.0}
-#: A document fails beyond quartile +- FENCE * max(interquartile range, least spread) of its group.
-FENCE = 4.0
-#: Groups with fewer documents take their language's fences.
-LEAST_GROUP = 30
+#: Measures that a threshold is learnt for: numerator, denominator, sketch steps per unit, the least spread (in the
+#: measure's unit) that a fence allows for, and the limit of what can still pass the base rules (None: none).
+MEASURES = {
+    "symbol_share": ("n_symbols", "word_chars", 4096, 0.02, 1.0),
+    "repeat_share": ("n_repeat_words", "n_words", 4096, 0.04, MAX_REPEAT_PERCENT / 100),
+    "dup_line_share": ("n_dup_lines", "n_lines", 4096, 0.10, 1.0),
+    "mean_word": ("word_chars", "n_words", 256, 1.0, None),
+}
+#: A document fails beyond quartile +- FENCE * max(interquartile range, least spread) of its group, and at the
+#: latest at REACH of the way from the quartile to the limit, so each rule can reject something in each group.
+FENCE, REACH = 4.0, 0.75
+#: A group's sketch counts as much more by this many documents, spread as those of its language are.
+PRIOR = 30
+#: Bits of a sketch cell's value: cells are at most 2 ** -(CELL_BITS - 1) of their value wide.
+CELL_BITS = 9
 
 
 def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -87,39 +95,60 @@ def _repeated(words: K.Words) -> np.ndarray:
 
 def with_measures(stats: DataFrame) -> DataFrame:
     """The scale-free measures of MEASURES; null where a text has no words."""
-    share = lambda top, bottom: F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom))
-    return stats.withColumns({"symbol_share": share("n_symbols", "word_chars"), "repeat_share": share("n_repeat_words", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"), "mean_word": share("word_chars", "n_words")})
+    return stats.withColumns({m: F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)) for m, (top, bottom, *_) in MEASURES.items()})
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
 
 
+def sketches(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """``*groups, measure, cell, n``: quantile sketches, the documents of each group by cell of each measure.
+
+    Cells are fixed and counts are whole numbers, so sketches built map-side merge to the same result in any
+    order.  A group has at most a few thousand cells, whatever its size.  Documents that fail the base rules don't count.
+    """
+    values = [F.struct(F.lit(m).alias("measure"), F.expr(f"({top} * {steps}L) div {bottom}").alias("value")) for m, (top, bottom, steps, *_) in MEASURES.items()]
+    rows = measured.where(~base_failed()).select(*groups, F.inline(F.array(*values))).where("value is not null")
+    spare = f"CAST(greatest(length(bin(value)) - {CELL_BITS}, 0) AS INT)"
+    return rows.groupBy(*groups, "measure", F.expr(f"shiftleft(shiftright(value, {spare}), {spare})").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def thresholds(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Quartile fences of each group of documents that pass the base rules.
+    """``*groups, low_*, high_*``: the fences of each group with documents that pass the base rules.
 
-    A KLL sketch of each measure is built map-side per (language, source) and merged after the shuffle, so a
-    group of any size is a row of fixed size per task.  The sketches of a language are merged once more for
-    the groups with fewer than LEAST_GROUP documents, which take their language's fences.  Null languages and
-    sources are groups of their own.
+    Quartiles come from the group's sketch, to which PRIOR documents spread as its language's (the first of
+    ``groups``) are added: small groups lean on their language, large ones don't, without a switch of size.
+    All in whole numbers, so the same rows give the same fences.  Null languages and sources are groups.
     """
-    inner = measured.where(~base_failed())
-    sketches = inner.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"kll_sketch_agg_double({m})").alias(f"s_{m}") for m in MEASURES])
-    by_lang = sketches.groupBy(F.col(groups[0]).alias("_lang")).agg(*[F.expr(f"kll_merge_agg_double(s_{m})").alias(f"l_{m}") for m in MEASURES])
-    joined = sketches.join(by_lang, F.col(groups[0]).eqNullSafe(F.col("_lang")), "left")
-    out = [F.col(g) for g in groups]
-    for m, least in MEASURES.items():
-        own = F.when(F.col("n") >= LEAST_GROUP, F.col(f"s_{m}")).otherwise(F.col(f"l_{m}"))
-        low, high = (F.call_function("kll_sketch_get_quantile_double", own, F.lit(q)) for q in (0.25, 0.75))
+    own = sketches(measured, groups)
+    top = F.struct(F.col(groups[0]))  # a struct, so that null equals null
+    by_lang = own.groupBy(top.alias("_lang"), "measure", "cell").agg(F.sum("n").alias("m"))
+    sums = by_lang.groupBy("_lang", "measure").agg(F.sum("m").alias("total"))
+    every = own.select(F.struct(*groups).alias("_group"), top.alias("_lang"), "measure").distinct()
+    spread = every.join(by_lang, ["_lang", "measure"]).join(sums, ["_lang", "measure"])
+    held = spread.join(own.select(F.struct(*groups).alias("_group"), "measure", "cell", "n"), ["_group", "measure", "cell"], "left")
+    wide = lambda c: c.cast("decimal(38,0)")
+    # decimals keep the products of counts exact
+    rows = held.withColumn("weight", wide(wide(F.coalesce("n", F.lit(0))) * F.col("total")) + wide(F.lit(PRIOR) * wide(F.col("m"))))
+    w = Window.partitionBy("_group", "measure")  # a row for each cell of a sketch
+    rows = rows.withColumns({"upto": F.sum("weight").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("weight").over(w)})
+    at = lambda quarters: F.min(F.when(F.col("upto") * 4 >= F.col("all") * quarters, F.col("cell")))
+    quartiles = rows.groupBy("_group", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
+    wanted = quartiles.groupBy("_group").agg(*[F.max(F.when(F.col("measure") == m, F.struct("q1", "q3"))).alias(m) for m in MEASURES])
+    out = []
+    for m, (_, _, steps, least, limit) in MEASURES.items():
+        low, high = (F.col(f"{m}.{q}") / F.lit(float(steps)) for q in ("q1", "q3"))
         width = F.lit(FENCE) * F.greatest(high - low, F.lit(least))
-        out += [(low - width).alias(f"low_{m}"), (high + width).alias(f"high_{m}")]
-    return joined.select(*out)
+        above = width if limit is None else F.least(width, (F.lit(limit) - high) * REACH)
+        out += [(low - width).alias(f"low_{m}"), (high + above).alias(f"high_{m}")]
+    return wanted.select("_group.*", *out)
 
 
 def verdicts(measured: DataFrame, fences: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Adds ``base_failed``, ``failed_rules`` (names of the adaptive rules that a document breaks) and ``kept``.
 
-    A document whose group has no fences (all of the group failed the base rules) passes the adaptive rules.
+    A document without words has no measures and breaks no adaptive rule.
     """
     right = fences.select(*[F.col(g).alias(f"_{g}") for g in groups], *[c for c in fences.columns if c not in groups])
     on = [measured[g].eqNullSafe(right[f"_{g}"]) for g in groups]
@@ -132,5 +161,6 @@ def verdicts(measured: DataFrame, fences: DataFrame, groups: tuple[str, ...] = (
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Statistics, base verdict, adaptive verdict and ``kept`` of every document; repeated rows each get theirs."""
-    measured = Scratch(documents.sparkSession, "rules").write(with_measures(statistics(documents, id_col, text_col, groups)), "measured")
-    return verdicts(measured, thresholds(measured, groups), groups)
+    scratch = Scratch(documents.sparkSession, "rules")
+    measured = scratch.write(with_measures(statistics(documents, id_col, text_col, groups)), "measured")
+    return verdicts(measured, scratch.write(thresholds(measured, groups), "fences"), groups)

@@ -79,3 +79,45 @@ def hits_row(text: str | None, items: list[tuple[str, str]], size: int = 10) ->
                 hit |= set(range(i, i + k))
                 found.add(item)
     return len(words), len(hit), sorted(found)
+
+
+def line_fates(rows: list[tuple[int | None, str | None]], size: int = 8, percent: int = 80) -> list[str | None]:
+    """Each row's text without repeated lines: every pair of different lines of the corpus is compared.
+
+    Of each component the line of the smallest (id, order of the row's text among the texts of its id, number) stays;
+    here rows of one id must have one text each.
+    """
+    strip = lambda x: fold(x.strip(" \t\n\v\f\r"))
+    first: dict[str, tuple[int, int]] = {}
+    for i, text in rows:
+        if i is not None and text is not None:
+            for k, line in enumerate(text.split("\n")):
+                if strip(line):
+                    first[strip(line)] = min((i, k), first.get(strip(line), (i, k)))
+    sets = {x: {x[k : k + size] for k in range(max(1, len(x) - size + 1))} for x in first}
+    parent = {x: x for x in first}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b]) if a < b else 0
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                parent[root(a)] = root(b)
+    keeper: dict[str, tuple[int, int]] = {}
+    for x, at in first.items():
+        keeper[root(x)] = min(at, keeper.get(root(x), at))
+
+    def fate(i, text):
+        if i is None or text is None:
+            return text
+        lines = text.split("\n")
+        left = [line for k, line in enumerate(lines) if not strip(line) or keeper[root(strip(line))] == (i, k)]
+        if len(left) == len(lines):
+            return text
+        return "\n".join(left) if strip("\n".join(left)) else ""
+
+    return [fate(i, text) for i, text in rows]
