@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontamination, linededup, neardup, packing, quality
-from ridgeline.llm.storage import Scratch
+from ridgeline.llm.storage import Scratch, discarded
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -47,8 +47,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out; a document that is mostly benchmark text, or has nothing else, goes."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = decontamination.remove_spans(docs, found)
+    clean = decontamination.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _as_documents(clean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
@@ -70,8 +69,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; an empty table of documents gives none.
+
+    Stages accept nulls in any column, empty and long texts, repeated rows and further columns, which all stages
+    but the last pass on.  A stage's tables are deleted when the next one's rows are written.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        before = docs
+        with discarded():
+            docs = scratch.write(stage(spark, before, sf_dir), name)
+        scratch.drop(before)
     return docs
