@@ -165,6 +165,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return out
 
 
+def span_hashes_any(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of spans of a block in any order, which may overlap."""
+    sums = prefix_sums(data, values)
+    _, down = powers(len(data) + 1)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 class Words:
     """The words of a block of documents: spans, hashes and each document's range of words."""
 

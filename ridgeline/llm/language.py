@@ -8,6 +8,7 @@ expectation maximisation (forward-backward) on the word counts of a bounded samp
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import within_bytes
 
 #: A sentencepiece model file whose pieces are the vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces of more bytes than this are not used.
-LONGEST_PIECE = 16
-#: Bounds of the training sample: languages, expected documents of each language and of all together.
-MOST_LANGUAGES, SAMPLE_DOCUMENTS, SAMPLE_TOTAL = 256, 1_500, 12_000
+#: Bounds of the training sample: expected documents of each language and of all together, and bytes of their texts.
+SAMPLE_DOCUMENTS, SAMPLE_TOTAL, SAMPLE_BYTES = 1_500, 12_000, 64_000_000
 #: Rounds of expectation maximisation, and the count that every piece gets beforehand.
 ROUNDS, SMOOTHING = 3, 0.05
 #: Longer words (unspaced scripts, encoded data) are learnt from in stretches of at most this many bytes.
@@ -31,8 +31,8 @@ LEARNT_BYTES = 512
 #: Prediction for texts without a letter.
 UNDETERMINED = "und"
 
-#: Bytes of text whose distinct words are scored together.
-WORDS_BYTES = 1 << 20
+#: Bytes of text whose distinct words are scored together, and of a task's table of words that it has scored.
+WORDS_BYTES, CACHE_BYTES = 1 << 20, 1 << 24
 
 _TABLE_BITS, _PROBES = 19, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -45,8 +45,8 @@ class Pieces:
     """
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= LONGEST_PIECE} | {bytes([b]) for b in range(256)})
-        self.longest = max(map(len, self.pieces))
+        self.pieces = sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
+        self.lengths = sorted({len(p) for p in self.pieces})
         size = 1 << _TABLE_BITS
         self.slot_hash, self.slot_piece = np.zeros(size + _PROBES, dtype=np.uint64), np.full(size + _PROBES, -1, dtype=np.int32)
         self.probes = 1
@@ -65,6 +65,8 @@ class Pieces:
     def load(cls, path: str = VOCABULARY) -> Pieces:
         import sentencepiece
 
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no vocabulary at {path}: give the path of a sentencepiece model")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
         return cls([model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not special(i)])
@@ -105,9 +107,10 @@ def lattices(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndar
         rows[:, 1:] = np.where(inside, data[np.minimum(starts[members][:, None] + column[None, :], len(data) - 1)], 0) if width > 1 else 32
         values = K.EXACT[rows]
         sums, places = values, {1: pieces.find(values.ravel()).reshape(values.shape)}
-        for k in range(2, min(pieces.longest, width) + 1):
+        for k in range(2, min(pieces.lengths[-1], width) + 1):
             sums = sums[:, :-1] * _STEP + values[:, k - 1 :]
-            places[k] = pieces.find(sums.ravel()).reshape(sums.shape)
+            if k in pieces.lengths:
+                places[k] = pieces.find(sums.ravel()).reshape(sums.shape)
         yield Lattice(members, lengths[members], places)
         i = j
 
@@ -125,8 +128,10 @@ def forward(lattice: Lattice, probability: np.ndarray) -> np.ndarray:
     scale, out = np.zeros((n, languages)), np.zeros((n, languages))
     for j in range(1, width + 1):
         now = np.zeros((n, languages))
-        for k in range(1, min(longest, j) + 1):
-            piece = lattice.places[k][:, j - k]
+        for k, pieces in lattice.places.items():
+            if k > j:
+                continue
+            piece = pieces[:, j - k]
             some = np.flatnonzero(piece >= 0)
             if len(some):
                 now[some] += window[j - k][some] * probability[piece[some]]
@@ -152,15 +157,15 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
 
 def expected_counts(lattice: Lattice, weight: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over the lattice's words, each word ``weight`` times; in logs, as words may be long."""
-    n, width, longest = len(lattice.members), int(lattice.lengths.max()), max(lattice.places)
+    n, width = len(lattice.members), int(lattice.lengths.max())
     logs = np.r_[np.log(probability), -np.inf]  # the last for no piece (-1)
     alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
     alpha[0] = 0
     for j in range(1, width + 1):
-        alpha[j] = _log_sum([alpha[j - k] + logs[lattice.places[k][:, j - k]] for k in range(1, min(longest, j) + 1)])
+        alpha[j] = _log_sum([alpha[j - k] + logs[pieces[:, j - k]] for k, pieces in lattice.places.items() if k <= j])
     beta[lattice.lengths, np.arange(n)] = 0
     for i in range(width - 1, -1, -1):
-        after = _log_sum([beta[i + k] + logs[lattice.places[k][:, i]] for k in range(1, min(longest, width - i) + 1)])
+        after = _log_sum([beta[i + k] + logs[pieces[:, i]] for k, pieces in lattice.places.items() if k <= width - i])
         beta[i] = np.where(lattice.lengths == i, 0, after)
     total = alpha[lattice.lengths, np.arange(n)]
     out = np.zeros(len(probability))
@@ -207,12 +212,24 @@ class Model:
     def log_likelihoods(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """documents x languages for a block."""
         words, first, inverse = distinct_words(data, offsets)
-        own = np.zeros((len(first), len(self.languages)))
-        for lattice in lattices(self.pieces, data, words.starts[first], words.ends[first]):
-            own[lattice.members] = forward(lattice, self.probability)
+        own = self._of_words(words, first)
         of, n = words.documents(), len(offsets) - 1
         return np.stack([np.bincount(of, weights=own[inverse, g], minlength=n) for g in range(len(self.languages))], axis=1) if self.languages else np.zeros((n, 0))
 
+    def _of_words(self, words: K.Words, first: np.ndarray) -> np.ndarray:
+        """words x languages; a table of fixed size holds the last word of each slot, so common words are scored once a task."""
+        if not hasattr(self, "_words"):
+            slots = 1 << max(4, int(np.log2(CACHE_BYTES / (8 + 8 * max(1, len(self.languages))))))
+            self._words, self._scores = np.zeros(slots, dtype=np.uint64), np.zeros((slots, len(self.languages)))
+        hashes = words.hashes[first]
+        slot = (hashes & np.uint64(len(self._words) - 1)).astype(np.int64)
+        out = self._scores[slot]
+        new = np.flatnonzero(self._words[slot] != hashes)
+        for lattice in lattices(self.pieces, words.data, words.starts[first[new]], words.ends[first[new]]):
+            out[new[lattice.members]] = forward(lattice, self.probability)
+        self._words[slot[new]], self._scores[slot[new]] = hashes[new], out[new]
+        return out
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its posterior probability under equal priors (ties: the first by name)."""
         n = len(offsets) - 1
@@ -256,20 +273,18 @@ def train(samples: dict[str, list[str]], pieces: Pieces, rounds: int = ROUNDS, s
     return Model(languages, pieces, probability)
 
 
-def training_texts(documents: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
-    """Texts of each language from the eligible rows with a language: an expected ``most`` rows each, chosen by id hash.
-
-    More than MOST_LANGUAGES languages: the commonest ones are learnt (ties by name).
-    """
+def training_texts(documents: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Texts of each language from the eligible rows with a language: an expected ``most`` rows each, chosen by id hash,
+    and of these as many, by hash of the text, as ``most_bytes`` hold."""
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(eligible)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return {}
-    most = min(most, SAMPLE_TOTAL // len(counts))
+    most = max(1, min(most, SAMPLE_TOTAL // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, most / n))])
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 24)) < F.try_element_at(share, "lang") * (1 << 24)).select("lang", "text")
     out: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.text)):
+    for r in sorted(within_bytes(chosen, "text", most_bytes), key=lambda r: (r.lang, r.text)):
         out.setdefault(r.lang, []).append(r.text)
     return out
 

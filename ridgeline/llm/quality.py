@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import within_bytes
 
 #: Character n-gram lengths, buckets (a power of two), vector size.
 NGRAMS, BUCKET_BITS, DIMENSIONS = (3, 4, 5), 18, 16
-#: The bound of the training sample, passes over it, learning rate (falls linearly to zero), seed.
-SAMPLE_DOCUMENTS, EPOCHS, RATE, SEED = 4_000, 6, 0.5, 11
+#: The bounds of the training sample: documents, and bytes of their texts.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 4_000, 64_000_000
+#: Passes over the sample, learning rate (falls linearly to zero), seed.
+EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Scores from this value on predict label 1.
 THRESHOLD = 0.7
 
@@ -114,11 +117,12 @@ def train(documents: list[tuple[str, int]], epochs: int = EPOCHS, rate: float =
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_DOCUMENTS) -> list[tuple[str, int]]:
+def training_rows(documents: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
     """At most ``most`` labelled documents: those of smallest id hash among the eligible labelled ids.
 
     The ids are chosen from the label table alone and broadcast (``most`` ids), so documents are not
-    shuffled.  An id with contradicting labels, or with a null one, is left out.
+    shuffled.  An id with contradicting labels, or with a null one, is left out, and so are texts that
+    ``most_bytes`` no longer hold (taken by hash of the text).
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null")
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("top"), F.count(F.lit(1)).alias("n"), F.count("label").alias("known")).where("label = top and n = known and label in (0, 1)")
@@ -127,15 +131,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, eligible: Column, id_
     small = documents.sparkSession.createDataFrame([(k, v) for k, v in sorted(ids.items())], chosen.schema)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").where("text is not null")
     rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # an id's repeated rows count once
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: r.id)]
+    return [(r.text, r.label) for r in sorted(within_bytes(rows, "text", most_bytes), key=lambda r: r.id)]
 
 
-def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, *keep, score`` of every whole text; null and empty texts get the score of the bias alone."""
+def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """``id_col, *keep, score_col`` of every whole text; null and empty texts get the score of the bias alone."""
     dtypes = dict(documents.dtypes)
     passed = [id_col, *keep]
     rows = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(passed)], F.col(text_col).alias("text"))
     schema = pa.schema([(f"c{i}", K.arrow_type(documents, c)) for i, c in enumerate(passed)] + [("score", pa.float64())])
     held = documents.sparkSession.sparkContext.broadcast(model)
     made = rows.mapInArrow(K.map_texts([f"c{i}" for i in range(len(passed))], "text", lambda data, offsets, _: (held.value.scores(data, offsets),), schema), ", ".join([f"c{i} {dtypes[c]}" for i, c in enumerate(passed)] + ["score double"]))
-    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], "score")
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], F.col("score").alias(score_col))

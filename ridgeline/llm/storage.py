@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting that deletes an execution's shuffle files as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -97,3 +98,19 @@ def discarded() -> Iterator[None]:
         _open[:] = [x for x in _open if x is not held]
         for scratch in held:
             scratch.close()
+
+
+def within_bytes(rows: DataFrame, text: str, most: int) -> list[Row]:
+    """Of a sample of a bounded number of rows, those whose texts ``most`` bytes hold together, taken by hash of the
+    text; rows that no longer fit are left out, so the driver holds no more than that however long texts are."""
+    h = "text_hash"
+    scratch = Scratch(rows.sparkSession, "sample")
+    held = scratch.write(rows.withColumn(h, F.xxhash64(text)), "sample")
+    chosen, total = [], 0
+    for r in sorted(held.groupBy(h).agg(F.sum(F.octet_length(text)).alias("n")).collect()):
+        if total + r.n <= most:
+            chosen.append(r[h])
+            total += r.n
+    found = held.where(F.col(h).isin(chosen)).collect()
+    scratch.close()
+    return found

@@ -15,8 +15,6 @@ from .storage import Scratch
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't name a resource.
 TRACKING = ("ref", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "sessionid")
-#: Length of the time slices in which a URL's records are looked at together.
-SLICE_SECONDS = 86_400
 
 HEADERS = "array<struct<name:string,value:string>>"
 
@@ -52,7 +50,25 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.array_sort(F.transform(F.concat(kept, allowed), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value"))))
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def _latest_earlier(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """``url_key, us, response``: for each URL and time with records, the latest full response of an earlier time.
+
+    Times are dealt out by ranges of (URL, time), so that a busy URL is spread over as many tasks as it needs;
+    within a range a window looks back, and what ranges hand on is the last response of each URL that lies in
+    several of them, at most two rows a range.
+    """
+    times = records.groupBy("url_key", "us").agg(F.max("full").alias("full"))
+    times = scratch.write(times.repartitionByRange("url_key", "us").withColumn("part", F.spark_partition_id()), "times")
+    spread = times.groupBy("url_key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("url_key")
+    lasts = times.join(spread, "url_key").groupBy("url_key", "part").agg(F.max(F.when(F.col("full").isNotNull(), F.struct("us", "full"))).alias("last"))
+    by_url = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("url_key", "part", F.last("last.full", ignorenulls=True).over(by_url).alias("carried"))
+    earlier = Window.partitionBy("part", "url_key").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
+    found = times.withColumn("own", F.last("full", ignorenulls=True).over(earlier)).join(carried, ["url_key", "part"], "left")
+    return found.select("url_key", "us", F.coalesce("own", "carried").alias("response")).where("response is not null")
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """``record_id, url_key, outcome, refers_to, headers`` for each revisit of ``records``.
 
     Records have ``record_id, url, warc_date (timestamp), warc_type ('response' or 'revisit'), status, headers``
@@ -61,24 +77,19 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     entity tag (weak comparison) equals the revisit's or, where either has none, its Last-Modified does.  Outcomes:
     ``resolved``; ``unverified`` (no validator on both sides: resolved nonetheless); ``mismatch`` and ``missing``
     (no earlier response), both without a response: ``refers_to`` is null and the headers are the revisit's own.
-    Revisits without URL or date are ``missing``.
-
-    Slices bound what one task sees of a URL: the last response of each slice is found by a grouped maximum,
-    carried to later slices over one row a slice, and only records of the same slice are ordered together.
+    Revisits without URL or date are ``missing``; responses without are no one's; repeated rows each get theirs.
     """
     scratch = Scratch(records.sparkSession, "warc")
     us = F.unix_micros(F.col("warc_date"))
     rows = records.select(F.col("record_id"), canonical_url(F.col("url")).alias("url_key"), us.alias("us"), F.col("warc_type").alias("kind"), "status", F.col("headers").cast(HEADERS).alias("headers"))
-    rows = rows.withColumn("slice", F.floor(F.col("us") / (slice_seconds * 1_000_000)))
-    full = F.when((F.col("kind") == "response") & (F.col("status") == 200) & F.col("us").isNotNull(), F.struct("us", "record_id", "headers"))
+    full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("record_id", "headers"))
     rows = scratch.write(rows.withColumn("full", full).where((F.col("kind") == "revisit") | F.col("full").isNotNull()), "records")
-    last = rows.where("full is not null and url_key is not null").groupBy("url_key", "slice").agg(F.max("full").alias("last"))
-    spans = rows.where("kind = 'revisit'").select("url_key", "slice").distinct().join(last, ["url_key", "slice"], "full")
-    by_url = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = scratch.write(spans.select("url_key", "slice", F.last("last", ignorenulls=True).over(by_url).alias("carried")), "carried")
-    earlier = Window.partitionBy("url_key", "slice").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("own", F.max("full").over(earlier)).where("kind = 'revisit'").join(carried.where("carried is not null"), ["url_key", "slice"], "left")
-    found = found.withColumn("response", F.when(F.col("url_key").isNotNull() & F.col("us").isNotNull(), F.coalesce("own", "carried")))
+    known = F.col("url_key").isNotNull() & F.col("us").isNotNull()
+    answers = scratch.write(_latest_earlier(rows.where(known), scratch), "answers")
+    scratch.keep(rows, answers)
+    asked = rows.where("kind = 'revisit'").select("record_id", "url_key", "us", "headers")
+    dated = asked.where(known).join(answers, ["url_key", "us"], "left")
+    found = dated.unionByName(asked.where(~known), allowMissingColumns=True)  # rows without a key would all meet in one task of the join
     tags = [_validator(header(h, "etag")) for h in (F.col("headers"), F.col("response.headers"))]
     dates = [header(h, "last-modified") for h in (F.col("headers"), F.col("response.headers"))]
     both = lambda pair: pair[0].isNotNull() & pair[1].isNotNull()

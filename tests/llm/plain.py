@@ -94,7 +94,7 @@ def line_fates(rows: list[tuple[int | None, str | None]], size: int = 8, percent
             for k, line in enumerate(text.split("\n")):
                 if strip(line):
                     first[strip(line)] = min((i, k), first.get(strip(line), (i, k)))
-    sets = {x: {x[k : k + size] for k in range(max(1, len(x) - size + 1))} for x in first}
+    sets = {x: {x[k : k + size] for k in range(max(1, len(x) - size + 1))} if len(x) >= size else {(x,)} for x in first}
     parent = {x: x for x in first}
 
     def root(x):
@@ -102,10 +102,14 @@ def line_fates(rows: list[tuple[int | None, str | None]], size: int = 8, percent
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            common = len(sets[a] & sets[b]) if a < b else 0
-            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+    order = sorted(sets, key=lambda x: len(sets[x]))
+    for j, b in enumerate(order):  # a smaller set of less than 0.8 of the size can't be similar enough
+        for i in range(j - 1, -1, -1):
+            a = order[i]
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 parent[root(a)] = root(b)
     keeper: dict[str, tuple[int, int]] = {}
     for x, at in first.items():
@@ -121,3 +125,69 @@ def line_fates(rows: list[tuple[int | None, str | None]], size: int = 8, percent
         return "\n".join(left) if strip("\n".join(left)) else ""
 
     return [fate(i, text) for i, text in rows]
+
+
+def rule_fences(rows: list[tuple], measures: dict, prior: int, fence: float, reach: float, bits: int) -> dict:
+    """(lang, source) -> measure -> (low, high) from rows (lang, source, counts by name) that pass the base rules."""
+    cell = lambda v: v >> max(v.bit_length() - bits, 0) << max(v.bit_length() - bits, 0)
+    own: dict = {}
+    for lang, source, counts in rows:
+        for m, (top, bottom, steps, *_) in measures.items():
+            if counts[bottom] > 0:
+                own.setdefault((lang, source, m), Counter())[cell(counts[top] * steps // counts[bottom])] += 1
+    out: dict = {}
+    for (lang, source, m), held in own.items():
+        of_lang = sum((c for (other, _, k), c in own.items() if (other, k) == (lang, m)), Counter())
+        total = sum(of_lang.values())
+        weight = {c: held[c] * total + prior * n for c, n in of_lang.items()}
+        _, _, steps, least, limit = measures[m]
+
+        def quantile(quarters, weight=weight, steps=steps):
+            upto = 0
+            for c in sorted(weight):
+                upto += weight[c]
+                if upto * 4 >= sum(weight.values()) * quarters:
+                    return c / steps
+
+        low, high = quantile(1), quantile(3)
+        width = fence * max(high - low, least)
+        out.setdefault((lang, source), {})[m] = (low - width, high + (width if limit is None else min(width, (limit - high) * reach)))
+    return out
+
+
+def template_matches(text: str | None, templates: dict[str, str], threshold: float, stretch: float) -> dict[str, tuple[int, float]]:
+    """label -> (first word, containment) of the best window of each template; every window that starts with one of its words is tried."""
+    import math
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text or ""))
+    out: dict = {}
+    for label, template in templates.items():
+        own = set(template.split())
+        width = math.ceil(stretch * len(template.split()) - 1e-9)
+        for i, w in enumerate(words):
+            common = len(own & set(words[i : i + width])) if w in own else 0
+            if common and common >= math.ceil(threshold * len(own) - 1e-9) and common / len(own) > out.get(label, (0, 0.0))[1]:
+                out[label] = (i, common / len(own))
+    return out
+
+
+def without_hits(text: str | None, items: list[tuple[str, str]], size: int = 10, drop_share: float = 0.5) -> tuple[bool, str | None]:
+    """(kept, text without the spans of words that lie in windows of the items)."""
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text or ""))]
+    words = [fold(text)[a:b] for a, b in places] if text else []
+    hit = set()
+    for _, own in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(own or ""))
+        k = min(size, len(w))
+        windows = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for i in range(len(words) - k + 1):
+            if windows and tuple(words[i : i + k]) in windows:
+                hit |= set(range(i, i + k))
+    if not hit:
+        return True, text
+    out, at = [], 0
+    for i in sorted(hit):
+        a = places[i][0] if i - 1 not in hit else places[i - 1][1]  # what lies between two hit words goes too
+        out.append(text[at:a] if a > at else "")
+        at = places[i][1]
+    return len(hit) <= drop_share * len(words), "".join(out) + text[at:]
