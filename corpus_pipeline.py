@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontamination, linededup, neardup, packing, quality
+from ridgeline.llm.kernels import unused
 from ridgeline.llm.storage import Scratch, discarded
 
 
@@ -30,7 +31,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     inked = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if len({label for _, label in sample}) < 2:
         return inked
-    return quality.score_documents(inked, quality.train(sample), keep=tuple(c for c in docs.columns if c != "doc_id"), text_col="text").where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs, "score")
+    scored = quality.score_documents(inked, quality.train(sample), keep=tuple(c for c in docs.columns if c != "doc_id"), score_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id.
+
+    Rows without an id stay, and rows of one id stay or go together.
+    """
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
