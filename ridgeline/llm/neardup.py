@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .minhash import band_keys, signatures
 from .pairs import sketches
-from .search import QUIET_ROUNDS, connected
+from .search import WORTHWHILE, connected
 from .storage import Scratch
 
 #: Words in a shingle and the similarity (percent) from which documents are linked.
@@ -105,7 +105,7 @@ def _same_id(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFra
     return scratch.write(held.join(held.groupBy("id").agg(F.min("first").alias("a")), "id").where("a != first").select("a", F.col("first").alias("b")).distinct(), "links")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, quiet_rounds: int = QUIET_ROUNDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, worthwhile: float = WORTHWHILE) -> DataFrame:
     """``id_col, n_shingles, component_id, kept``, a row for each document.
 
     Documents whose sets of word shingles have a Jaccard similarity of at least ``percent`` / 100 are linked;
@@ -127,7 +127,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = classes.select(F.col("first").alias("id"), "f1", "f2", "n")
     members = _members(inner.select("id", "f1", "f2", "n", "keys").join(firsts, ["id", "f1", "f2", "n"], "left_semi").select("id", "keys").distinct(), scratch)
     sets = scratch.write(_sets(rows.join(members.select("id").distinct(), "id", "left_semi"), shingle).distinct(), "sets")
-    labels = connected(members, sets.select("id", F.size("set").alias("size"), "cells"), lambda edges: _confirmed(edges, sets, percent), scratch, percent, quiet_rounds, _same_id(inner, classes, scratch))
+    labels = connected(members, sets.select("id", F.size("set").alias("size"), "cells"), lambda edges: _confirmed(edges, sets, percent), scratch, percent, worthwhile, _same_id(inner, classes, scratch))
     grouped = classes.join(labels, classes["first"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
     grouped = scratch.write(grouped, "grouped")
     scratch.keep(signed, grouped)

@@ -38,15 +38,14 @@ def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarra
     return out
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(grouped: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of all pairs of different groups that share a bucket and that the bound doesn't rule out.
 
-    ``members(key, id)``, ``labels(id, component)``, ``sketched(id, size, cells)``.  Of a bucket only ids outside
+    ``grouped(key, id, component)``, ``sketched(id, size, cells)``.  Of a bucket only ids outside
     its largest group meet all of its ids, in squares of about CHUNK by CHUNK that are dealt out apart, so no
     task takes a bucket as a whole; pairs that are ruled out never become rows.  Buckets of two ids are left to
     the caller.
     """
-    grouped = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     counted = grouped.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counted.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "component")).alias("top")).where("groups > 1 and n > 2")
     mixed = mixed.select("key", "top.component", F.ceil(F.col("n") / CHUNK).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.n")) / CHUNK).cast("int").alias("high")).withColumnRenamed("component", "largest")

@@ -111,8 +111,8 @@ def test_near_duplicates_beside_a_large_group(spark):
         texts[1000 + 2 * i], texts[1001 + 2 * i] = " ".join(own[first : first + 103]), " ".join(own[first + 10 : first + 113])
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
     want = plain.near_duplicate_components(texts, 4)
-    for rounds in (neardup.QUIET_ROUNDS, 0):
-        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, shingle=4, quiet_rounds=rounds).collect()} == want
+    for worthwhile in (0.0, 1.0):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, shingle=4, worthwhile=worthwhile).collect()} == want
 
 
 def test_near_duplicate_links_over_a_similar_background(spark):
