@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .minhash import band_keys, signatures
-from .pairs import sketches
 from .search import connected
 from .storage import Scratch
 
@@ -192,14 +191,15 @@ def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _line_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``id, size, cells``: the size and sketch of each line's set of shingles."""
+    """``id, size, cells``: each line's set of shingles."""
     schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("cells", pa.binary())])
 
     def work(data, offsets, batch):
         lines, n = Lines(data, offsets, 0), len(offsets) - 1
         of, hashes = shingles(data, lines.starts, lines.ends, size)
         of, hashes = distinct_by_owner(lines.of[of], hashes)
-        return np.bincount(of, minlength=n), sketches(of, hashes, n)
+        bounds = np.searchsorted(of, np.arange(n + 1))
+        return np.diff(bounds), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes)])
 
     return texts.mapInArrow(K.map_texts(["id"], "text", work, schema), "id bigint, size bigint, cells binary")
 
@@ -262,7 +262,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = scratch.write(lines.groupBy("cls").agg(F.min(F.struct("id", "digest", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     wanted = classes.join(members.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").select("cls", "first.*")
     texts = scratch.write(_line_texts(rows, wanted), "texts")
-    labels = connected(members, _line_sets(texts, shingle), lambda edges: _confirmed(edges, texts, shingle, percent), scratch, percent)
+    labels = connected(members, lambda ids: _line_sets(texts.join(ids, "id", "left_semi"), shingle), lambda edges: _confirmed(edges, texts, shingle, percent), scratch, percent, exact=True)
     united = classes.join(labels.withColumnRenamed("id", "cls"), "cls")
     keepers = united.groupBy("component").agg(F.min("first").alias("keeper"))
     linked = united.join(keepers, "component").select("cls", "keeper")
@@ -284,7 +284,7 @@ def drop_repeated_lines(documents: DataFrame, removed: DataFrame, id_col: str =
     gone_id, digest, gone, total, cut = K.unused(documents, "gone_id", "gone_digest", "gone", "n_lines", "n_removed")
     found = removed.select(F.col("id").alias(gone_id), F.col("digest").alias(digest), F.col("removed").alias(gone))
     joined = documents.join(found, (F.col(id_col) == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(digest)), "left")
-    n_lines = F.coalesce(F.length(F.col(text_col)) - F.length(F.translate(F.col(text_col), "\n", "")) + 1, F.lit(0)).cast("bigint")
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("bigint")
     counted = joined.withColumns({total: n_lines, cut: F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("bigint")})
     hit = F.col(gone).isNotNull()
     left = _without(F.when(hit, F.col(text_col)), F.col(gone))  # texts without cuts don't leave the JVM

@@ -127,7 +127,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = classes.select(F.col("first").alias("id"), "f1", "f2", "n")
     members = _members(inner.select("id", "f1", "f2", "n", "keys").join(firsts, ["id", "f1", "f2", "n"], "left_semi").select("id", "keys").distinct(), scratch)
     sets = scratch.write(_sets(rows.join(members.select("id").distinct(), "id", "left_semi"), shingle).distinct(), "sets")
-    labels = connected(members, sets.select("id", F.size("set").alias("size"), "cells"), lambda edges: _confirmed(edges, sets, percent), scratch, percent, worthwhile, _same_id(inner, classes, scratch))
+    labels = connected(members, lambda ids: sets.join(ids, "id", "left_semi").select("id", F.size("set").alias("size"), "cells"), lambda edges: _confirmed(edges, sets, percent), scratch, percent, worthwhile, _same_id(inner, classes, scratch))
     grouped = classes.join(labels, classes["first"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
     grouped = scratch.write(grouped, "grouped")
     scratch.keep(signed, grouped)

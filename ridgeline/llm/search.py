@@ -29,10 +29,11 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``key, id, component`` of the buckets of three ids or more that are not all in one component yet; in smaller
-    buckets the star has compared all there is."""
+    buckets the star has compared all there is.  Of buckets that hold the same ids one is kept."""
     grouped = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low != high")
-    return grouped.join(open_.select("key"), "key", "left_semi")
+    prints = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"h{salt}") for salt in (1, 2)]
+    still = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *prints).where("n > 2 and low != high")
+    return grouped.join(still.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def _bridges(grouped: DataFrame, turn: int) -> DataFrame:
@@ -57,10 +58,11 @@ def _united(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(kept.union(fresh), "labels")
 
 
-def connected(members: DataFrame, sketched: DataFrame, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, worthwhile: float = WORTHWHILE, known: DataFrame | None = None) -> DataFrame:
+def connected(members: DataFrame, sketched: Callable[[DataFrame], DataFrame], confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, worthwhile: float = WORTHWHILE, known: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """``id, component`` of the ids that confirmed links connect.
 
-    ``members(key, n, id)``: the ids of each bucket of n >= 2 ids; ``sketched(id, size, cells)``: see ``pairs``;
+    ``members(key, n, id)``: the ids of each bucket of n >= 2 ids; ``sketched(ids(id))``: their ``id, size, cells``, see
+    ``pairs``, as is ``exact``;
     ``confirmed(edges(a, b))``: the edges that are links; ``known(a, b)``: links given beforehand.  Candidate
     edges are stars: each bucket links its centre with its other ids; then, round by round, one id of its largest
     group with one of each other group, while the share ``worthwhile`` of a round's edges are links.  These rounds
@@ -82,6 +84,7 @@ def connected(members: DataFrame, sketched: DataFrame, confirmed: Callable[[Data
             scratch.drop(before)
         if found <= worthwhile * asked:
             break
-    last = scratch.write(cross_pairs(grouped, sketched, percent).join(tried, ["a", "b"], "left_anti"), "candidates")
+    held = scratch.write(sketched(grouped.select("id").distinct()), "sketches")
+    last = scratch.write(cross_pairs(grouped, held, percent, exact).join(tried, ["a", "b"], "left_anti"), "candidates")
     more = scratch.write(confirmed(last), "links")
     return labels if more.isEmpty() else _united(labels, more, scratch)
