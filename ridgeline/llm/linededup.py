@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .minhash import band_keys, signatures
+from .pairs import sketches
 from .search import connected
 from .storage import Scratch
 
@@ -23,6 +24,8 @@ LEAST_CHARS = 1
 SEEN_BITS = 18
 #: A bucket of more than this share of all rows is hot: its rows are dealt out instead of streaming through one task.
 HOT_SHARE = 1 / 2048
+#: Cells of a line's sketch: 2 ** SKETCH_BITS.
+SKETCH_BITS = 9
 #: One row in this many, by hash, is counted to find the hot buckets.
 HOT_SAMPLE = 64
 
@@ -38,13 +41,18 @@ class Lines:
         starts, ends = inked[a[some]], inked[b[some] - 1] + 1
         heads = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(K.starts_of_characters(data), out=heads[1:])
-        long = heads[ends] - heads[starts] >= least
-        self.starts, self.ends = starts[long], ends[long]
+        self.lengths = heads[ends] - heads[starts]
+        long = self.lengths >= least
+        self.starts, self.ends, self.lengths = starts[long], ends[long], self.lengths[long]
         self.of = np.searchsorted(offsets, self.starts, "right") - 1
         newlines = np.flatnonzero(data == 10)
         self.numbers = np.searchsorted(newlines, self.starts) - np.searchsorted(newlines, offsets[:-1])[self.of]
         self.classes = K.span_hashes(data, self.starts, self.ends, K.FOLDED).view(np.int64)
 
+    def at_least(self, size: int) -> np.ndarray:
+        """Which lines have as many characters."""
+        return self.lengths >= size
+
 
 def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A value for each character (A-Z lowered), and for each byte, and the end, the number of characters before it."""
@@ -83,43 +91,32 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int)
     return of, hashes
 
 
-def _occurrences(rows: DataFrame, least: int) -> DataFrame:
-    """``cls, id, digest, line``: the class (hash) of every line that is long enough."""
-    schema = pa.schema([("cls", pa.int64()), ("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int32())])
-
-    def task(batches):
-        for batch in batches:
-            data, offsets = K.text_buffers(batch.column(2))
-            for first, end, block, own in K.blocks(data, offsets):
-                lines = Lines(block, own, least)
-                at = pa.array(lines.of + first)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.classes), batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.numbers.astype(np.int32))], schema=schema)
-
-    return rows.select("id", "digest", "text").mapInArrow(task, "cls bigint, id bigint, digest bigint, line int")
-
+def _scan(rows: DataFrame, least: int, size: int) -> DataFrame:
+    """``cls, id, digest, line, keys``: every line that is long enough with its class (hash), and its class's band keys
+    where the task hasn't given them before.
 
-def _bands(rows: DataFrame, least: int, size: int) -> DataFrame:
-    """``key, cls``: the band keys of the lines, of which a task leaves out most that it has seen before.
-
-    A table of fixed size holds the last class of each slot, so a line that is everywhere gives few rows per task.
+    A table of fixed size holds the last class of each slot, so a line that is everywhere gives few keys per task.
     A line shorter than a shingle has no keys: only an equal line, which is of its class, has its set.
     """
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+    schema = pa.schema([("cls", pa.int64()), ("id", pa.int64()), ("digest", pa.int64()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def task(batches):
         last = np.zeros(1 << SEEN_BITS, dtype=np.int64)
         for batch in batches:
-            data, offsets = K.text_buffers(batch.column(0))
-            for _, _, block, own in K.blocks(data, offsets):
-                lines = Lines(block, own, max(least, size))
+            data, offsets = K.text_buffers(batch.column(2))
+            for first, end, block, own in K.blocks(data, offsets):
+                lines = Lines(block, own, least)
                 slot = lines.classes & ((1 << SEEN_BITS) - 1)
-                new = np.flatnonzero(last[slot] != lines.classes)
+                fresh = (last[slot] != lines.classes) & lines.at_least(size)
+                new = np.flatnonzero(fresh)
                 last[slot[new]] = lines.classes[new]
                 of, hashes = shingles(block, lines.starts[new], lines.ends[new], size)
                 keys = band_keys(signatures(of, hashes, len(new), BANDS * ROWS), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(lines.classes[new], BANDS))], schema=schema)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(fresh * BANDS)].astype(np.int32)), pa.array(keys.ravel()))
+                at = pa.array(lines.of + first)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.classes), batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.numbers.astype(np.int32)), listed], schema=schema)
 
-    return rows.select("text").mapInArrow(task, "key bigint, cls bigint")
+    return rows.select("id", "digest", "text").mapInArrow(task, "cls bigint, id bigint, digest bigint, line int, keys array<bigint>")
 
 
 def _shared(bands: DataFrame) -> DataFrame:
@@ -158,9 +155,9 @@ def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
     distinct rows, which spread over all tasks; the others stream.  Which way a bucket goes doesn't change
     its rows.
     """
-    sample = bands.where(F.pmod("cls", F.lit(HOT_SAMPLE)) == 0)
-    least = HOT_SHARE * sample.count()
-    hot = [r.key for r in sample.groupBy("key").count().where(F.col("count") > F.greatest(F.lit(least), F.lit(HOT_SAMPLE))).select("key").collect()]
+    sample = scratch.write(bands.where(F.pmod("cls", F.lit(HOT_SAMPLE)) == 0).groupBy("key").count(), "sample")
+    least = max(HOT_SHARE * (sample.agg(F.sum("count")).first()[0] or 0), HOT_SAMPLE)
+    hot = [r.key for r in sample.where(F.col("count") > least).select("key").collect()]
     found = _shared(bands.where(~F.col("key").isin(hot)) if hot else bands)
     if hot:
         found = found.union(bands.where(F.col("key").isin(hot)).distinct())
@@ -191,15 +188,14 @@ def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _line_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``id, size, cells``: each line's set of shingles."""
+    """``id, size, cells``: the size and sketch of each line's set of shingles."""
     schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("cells", pa.binary())])
 
     def work(data, offsets, batch):
         lines, n = Lines(data, offsets, 0), len(offsets) - 1
         of, hashes = shingles(data, lines.starts, lines.ends, size)
         of, hashes = distinct_by_owner(lines.of[of], hashes)
-        bounds = np.searchsorted(of, np.arange(n + 1))
-        return np.diff(bounds), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes)])
+        return np.bincount(of, minlength=n), sketches(of, hashes, n, SKETCH_BITS)
 
     return texts.mapInArrow(K.map_texts(["id"], "text", work, schema), "id bigint, size bigint, cells binary")
 
@@ -255,14 +251,12 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(documents.sparkSession, "linededup")
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    bands = scratch.write(_bands(rows, least, shingle), "bands")
-    members = _members(bands, scratch)
-    scratch.drop(bands)
-    lines = scratch.write(_occurrences(rows, least), "lines")
+    lines = scratch.write(_scan(rows, least, shingle), "lines")
+    members = _members(lines.select(F.explode("keys").alias("key"), "cls"), scratch)
     classes = scratch.write(lines.groupBy("cls").agg(F.min(F.struct("id", "digest", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     wanted = classes.join(members.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").select("cls", "first.*")
     texts = scratch.write(_line_texts(rows, wanted), "texts")
-    labels = connected(members, lambda ids: _line_sets(texts.join(ids, "id", "left_semi"), shingle), lambda edges: _confirmed(edges, texts, shingle, percent), scratch, percent, exact=True)
+    labels = connected(members, lambda ids: _line_sets(texts.join(ids, "id", "left_semi"), shingle), lambda edges: _confirmed(edges, texts, shingle, percent), scratch, percent)
     united = classes.join(labels.withColumnRenamed("id", "cls"), "cls")
     keepers = united.groupBy("component").agg(F.min("first").alias("keeper"))
     linked = united.join(keepers, "component").select("cls", "keeper")

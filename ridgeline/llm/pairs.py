@@ -1,8 +1,7 @@
 """Exact end of a search over buckets: every pair of two groups that share a bucket is tried or ruled out.
 
-Large sets are sketched by how many of their hashes fall into each of CELLS cells.  Two sets have no more in common
-than the sum of the smaller counts, cell by cell; a pair whose bound stays below the similarity can't be a link.
-Small sets are compared as they are.
+A set is sketched by how many of its hashes fall into each of some cells.  Two sets have no more in common than
+the sum of the smaller counts, cell by cell; a pair whose bound stays below the similarity can't be a link.
 """
 
 from __future__ import annotations
@@ -12,24 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a sketch, a byte each; a full byte counts as any number.
-CELLS = 128
+#: Bits of a cell's number: 2 ** CELL_BITS cells, a byte each; a full byte counts as any number.
+CELL_BITS = 7
 #: Ids of a bucket that a task compares at a time with as many others, and cells compared at once.
 CHUNK, AT_ONCE = 512, 1 << 21
 
 
-def sketches(of: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+def sketches(of: np.ndarray, hashes: np.ndarray, n: int, bits: int = CELL_BITS) -> pa.Array:
     """The sketches (binary) of n sets whose distinct elements are ``hashes`` with owners ``of``."""
-    counts = np.bincount(of * CELLS + (hashes >> np.uint64(57)).astype(np.int64), minlength=n * CELLS)
+    cells = 1 << bits
+    counts = np.bincount(of * cells + (hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=n * cells)
     data = np.minimum(counts, 255).astype(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * CELLS), pa.py_buffer(data)])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * cells), pa.py_buffer(data)])
 
 
 def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, percent: int) -> np.ndarray:
     """x by y: whether sets with these sketches and sizes can reach the similarity."""
     out = np.empty((len(x), len(y)), dtype=bool)
     full_x, full_y = (x == 255).any(axis=1), (y == 255).any(axis=1)
-    step = max(1, AT_ONCE // (CELLS * max(1, len(y))))
+    step = max(1, AT_ONCE // max(1, y.size))
     for i in range(0, len(x), step):
         common = np.minimum(x[i : i + step, None, :], y[None, :, :]).sum(axis=2, dtype=np.int32).astype(np.int64)
         total = size_x[i : i + step, None] + size_y[None, :]
@@ -39,38 +39,9 @@ def possible(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarra
     return out
 
 
-#: Columns of the matrices that count what sets have in common.
-COLUMNS = 1 << 12
-
-
-def in_common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """x by y: how many elements the sets (distinct 64-bit hashes) share."""
-    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), list(map(len, s)))) for s in (x, y)]
-    columns = np.intersect1d(*(np.unique(h) for h, _ in sides), assume_unique=True)
-    out = np.zeros((len(x), len(y)), dtype=np.float32)
-    placed = []
-    for h, row in sides:
-        at = np.searchsorted(columns, h)
-        at[at == len(columns)] = 0
-        both = np.flatnonzero(columns[at] == h) if len(columns) else at[:0]
-        placed.append((row[both], at[both]))
-    for low in range(0, len(columns), COLUMNS):
-        parts = []
-        for (row, at), n in zip(placed, out.shape):
-            own = (at >= low) & (at < low + COLUMNS)
-            part = np.zeros((n, min(COLUMNS, len(columns) - low)), dtype=np.float32)
-            part[row[own], at[own] - low] = 1
-            parts.append(part)
-        out += parts[0] @ parts[1].T
-    return out.astype(np.int64)
-
-
-def cross_pairs(grouped: DataFrame, sketched: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+def cross_pairs(grouped: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of all pairs of different groups that share a bucket and that the bound doesn't rule out.
 
-    With ``exact``, ``cells`` are the sets themselves (64-bit hashes); then only pairs that are links are given,
-    and of those between the same two groups, in a square, one.
-
     ``grouped(key, id, component)``, ``sketched(id, size, cells)``.  Of a bucket only ids outside
     its largest group meet all of its ids, in squares of about CHUNK by CHUNK that are dealt out apart, so no
     task takes a bucket as a whole; pairs that are ruled out never become rows.  Buckets of two ids are left to
@@ -92,23 +63,14 @@ def cross_pairs(grouped: DataFrame, sketched: DataFrame, percent: int, exact: bo
         side, ids, groups, sizes = (table.column(c).to_numpy() for c in ("side", "id", "component", "size"))
         cells = table.column("cells").combine_chunks()
         cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells
-        starts = np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset : cells.offset + len(cells) + 1]
-        data = np.frombuffer(cells.buffers()[2], dtype=np.uint8)
-        sets = [data[i:j].view(np.uint64) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())] if exact else data[starts[0] : starts[-1]].reshape(-1, CELLS)
+        start, end = np.frombuffer(cells.buffers()[1], dtype=np.int32)[[cells.offset, cells.offset + len(cells)]]
+        sketch = np.frombuffer(cells.buffers()[2], dtype=np.uint8)[start:end].reshape(len(cells), -1)
         out = [np.zeros((2, 0), np.int64)]
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             m = i + int(np.searchsorted(side[i:j], 1))
-            if not i < m < j:
-                continue
-            if exact:
-                common = in_common(sets[i:m], sets[m:j])
-                total = sizes[i:m, None] + sizes[None, m:j] - common
-                p, q = np.nonzero((100 * common >= percent * total) & (groups[i:m, None] != groups[None, m:j]))
-                _, one = np.unique(np.sort(np.stack([groups[i:m][p], groups[m:j][q]]), axis=0), axis=1, return_index=True)
-                p, q = p[one], q[one]
-            else:
-                p, q = np.nonzero(possible(sets[i:m], sets[m:j], sizes[i:m], sizes[m:j], percent) & (groups[i:m, None] != groups[None, m:j]))
-            out.append(np.sort(np.stack([ids[i:m][p], ids[m:j][q]]), axis=0))
+            if i < m < j:
+                p, q = np.nonzero(possible(sketch[i:m], sketch[m:j], sizes[i:m], sizes[m:j], percent) & (groups[i:m, None] != groups[None, m:j]))
+                out.append(np.sort(np.stack([ids[i:m][p], ids[m:j][q]]), axis=0))
         found = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=schema)
 

@@ -58,11 +58,11 @@ def _united(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(kept.union(fresh), "labels")
 
 
-def connected(members: DataFrame, sketched: Callable[[DataFrame], DataFrame], confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, worthwhile: float = WORTHWHILE, known: DataFrame | None = None, exact: bool = False) -> DataFrame:
+def connected(members: DataFrame, sketched: Callable[[DataFrame], DataFrame], confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, worthwhile: float = WORTHWHILE, known: DataFrame | None = None) -> DataFrame:
     """``id, component`` of the ids that confirmed links connect.
 
     ``members(key, n, id)``: the ids of each bucket of n >= 2 ids; ``sketched(ids(id))``: their ``id, size, cells``, see
-    ``pairs``, as is ``exact``;
+    ``pairs``;
     ``confirmed(edges(a, b))``: the edges that are links; ``known(a, b)``: links given beforehand.  Candidate
     edges are stars: each bucket links its centre with its other ids; then, round by round, one id of its largest
     group with one of each other group, while the share ``worthwhile`` of a round's edges are links.  These rounds
@@ -85,6 +85,6 @@ def connected(members: DataFrame, sketched: Callable[[DataFrame], DataFrame], co
         if found <= worthwhile * asked:
             break
     held = scratch.write(sketched(grouped.select("id").distinct()), "sketches")
-    last = scratch.write(cross_pairs(grouped, held, percent, exact).join(tried, ["a", "b"], "left_anti"), "candidates")
+    last = scratch.write(cross_pairs(grouped, held, percent).join(tried, ["a", "b"], "left_anti"), "candidates")
     more = scratch.write(confirmed(last), "links")
     return labels if more.isEmpty() else _united(labels, more, scratch)
