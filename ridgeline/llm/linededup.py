@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .minhash import band_keys, signatures
 from .pairs import sketches
-from .search import connected
+from .search import connected, distinct_buckets
 from .storage import Scratch
 
 #: Characters in a shingle and the similarity (percent) from which lines are linked.
@@ -149,7 +149,7 @@ def _shared(bands: DataFrame) -> DataFrame:
 
 
 def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, n, id`` of the buckets that n >= 2 classes share.
+    """``key, n, id`` of the different buckets that n >= 2 classes share.
 
     Hot buckets, which a hashed sample of rows names (at most 1 / HOT_SHARE of them), are left to grouped
     distinct rows, which spread over all tasks; the others stream.  Which way a bucket goes doesn't change
@@ -161,9 +161,8 @@ def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
     found = _shared(bands.where(~F.col("key").isin(hot)) if hot else bands)
     if hot:
         found = found.union(bands.where(F.col("key").isin(hot)).distinct())
-    found = scratch.write(found, "shared")
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return scratch.write(found.join(counts, "key").select("key", "n", F.col("cls").alias("id")), "members")
+    found = scratch.write(found.select("key", F.col("cls").alias("id")), "shared")
+    return scratch.write(found.join(distinct_buckets(found), "key").select("key", "n", "id"), "members")
 
 
 def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:

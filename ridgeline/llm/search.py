@@ -15,6 +15,16 @@ from .storage import Scratch
 WORTHWHILE = 0.2
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``key, n`` of the buckets of rows(key, id) with n >= 2 rows; of buckets that hold the same ids one.
+
+    Two sets of ids count as the same if their sizes and two sums of 31-bit hashes agree.
+    """
+    prints = [F.sum(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 31))).alias(f"h{salt}") for salt in (1, 2)]
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *prints).where("n > 1")
+    return shared.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Edges from each bucket's centre to its other ids.
 
@@ -29,11 +39,10 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``key, id, component`` of the buckets of three ids or more that are not all in one component yet; in smaller
-    buckets the star has compared all there is.  Of buckets that hold the same ids one is kept."""
+    buckets the star has compared all there is."""
     grouped = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    prints = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"h{salt}") for salt in (1, 2)]
-    still = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *prints).where("n > 2 and low != high")
-    return grouped.join(still.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    still = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low != high")
+    return grouped.join(still.select("key"), "key", "left_semi")
 
 
 def _bridges(grouped: DataFrame, turn: int) -> DataFrame:
