@@ -199,23 +199,39 @@ def _best_window(start: np.ndarray, end: np.ndarray, h0: np.ndarray, h1: np.ndar
 def duration_curve(timeline: DataFrame) -> DataFrame:
     """``track_id, duration_s, average_bpm, start_s, end_s``: the highest mean over each duration within one run, null if none is long enough.
 
-    Runs are dealt out singly; a recording's length bounds a run.
+    Runs shorter than the shortest duration are left out before they are dealt out, sorted; a recording bounds a run.
     """
 
-    def of_run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_ms")
-        args = [pdf[c].to_numpy(float) for c in ("start_ms", "end_ms")]
+    kind = dict(timeline.dtypes)["track_id"]
+    columns = ["start_ms", "end_ms", "h0", "h1"]
+
+    def of_runs(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            number = (held.track_id.ne(held.track_id.shift()) | held.run.ne(held.run.shift())).cumsum()
+            last = number.to_numpy() == (number.iloc[-1] if len(number) else 0)  # may go on in the next frame
+            yield best_of(held[~last], number[~last])
+            held = held[last]
+        if held is not None:
+            yield best_of(held, pd.Series(0, index=held.index))
+
+    def best_of(rows, number):
         found = []
-        for d in C.HR_DURATIONS_S:
-            best = _best_window(args[0] / 1000, args[1] / 1000, pdf.h0.to_numpy(float), pdf.h1.to_numpy(float), float(d))
-            if best:
-                found.append((key[0], d, *best))
+        for _, own in rows.groupby(number, sort=False):
+            start, end, h0, h1 = (own[c].to_numpy(float) for c in columns)
+            for d in C.HR_DURATIONS_S:
+                best = _best_window(start / 1000, end / 1000, h0, h1, float(d))
+                if best:
+                    found.append((own.track_id.iloc[0], d, *best))
         return pd.DataFrame(found, columns=["track_id", "duration_s", "average_bpm", "start_s"])
 
-    tracks = timeline.where("hr_ok").select("track_id").distinct()
-    runs = _with_runs(timeline.where("hr_ok")).select("track_id", "run", "start_ms", "end_ms", "h0", "h1")
-    kind = dict(timeline.dtypes)["track_id"]
-    best = runs.groupBy("track_id", "run").applyInPandas(of_run, f"track_id {kind}, duration_s int, average_bpm double, start_s double")
+    usable = timeline.where("hr_ok")
+    tracks = usable.select("track_id").distinct()
+    whole = Window.partitionBy("track_id", "run")
+    runs = _with_runs(usable).withColumn("_took", F.max("end_ms").over(whole) - F.min("start_ms").over(whole))
+    long = runs.where(F.col("_took") >= min(C.HR_DURATIONS_S) * 1000).select("track_id", "run", *columns)
+    best = long.repartition("track_id", "run").sortWithinPartitions("track_id", "run", "start_ms").mapInPandas(of_runs, f"track_id {kind}, duration_s int, average_bpm double, start_s double")
     top = best.groupBy("track_id", "duration_s").agg(F.min(F.struct((-F.col("average_bpm")).alias("below"), "start_s")).alias("top"))
     wanted = tracks.select("track_id", F.explode(F.array(*map(F.lit, C.HR_DURATIONS_S))).alias("duration_s"))
     return wanted.join(top, ["track_id", "duration_s"], "left").select("track_id", "duration_s", (-F.col("top.below")).alias("average_bpm"), F.col("top.start_s").alias("start_s"), (F.col("top.start_s") + F.col("duration_s")).alias("end_s"))
@@ -224,10 +240,11 @@ def duration_curve(timeline: DataFrame) -> DataFrame:
 def sectors(timeline: DataFrame, totals: DataFrame) -> DataFrame:
     """64 sectors of equal distance: ``track_id, index, moving_s, eligible_s, average_bpm, speed_kmh, start_s, end_s``.
 
-    ``totals`` has ``track_id, distance_m``; tracks without distance have no sectors.
+    ``totals`` has ``track_id, distance_m``; tracks without distance have no sectors.  A span lies in the sector of
+    its middle, to 1e-9 of a sector, so that middles on a boundary don't depend on the last bit of a running sum.
     """
     rows = timeline.where(F.col("moving") & (F.col("start_ms") >= C.HR_WARMUP_MS)).join(totals.where("distance_m > 0").select("track_id", "distance_m"), "track_id")
-    index = F.least(F.floor((F.col("d0") + F.col("d1")) / 2 / F.col("distance_m") * C.SECTORS), F.lit(C.SECTORS - 1)).cast("int")
+    index = F.least(F.floor(F.round((F.col("d0") + F.col("d1")) / 2 / F.col("distance_m") * C.SECTORS, 9)), F.lit(C.SECTORS - 1)).cast("int")
     fits = F.col("eligible")
     return rows.groupBy("track_id", index.alias("index")).agg(
         (F.sum("dt_ms") / 1000.0).alias("moving_s"),

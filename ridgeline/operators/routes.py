@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 import numpy as np
@@ -136,6 +137,9 @@ def scored_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
         ranks = _ranks(_apart(F.col("left_samples"), turned))
         return F.struct(ranks[0].alias("median"), ranks[1].alias("p90"), shift.alias("shift"))
 
+    # of any samples, too many apart by more than the 90th percentile may be rule an unrotated pair out
+    far = [F.when(haversine(F.col("left_samples")[i]["lat"], F.col("left_samples")[i]["lon"], F.col("right_samples")[i]["lat"], F.col("right_samples")[i]["lon"]) > C.MATCH_P90_M, 1).otherwise(0) for i in range(0, n, 5)]
+    rows = rows.where(F.col("left_is_loop") | (functools.reduce(lambda x, y: x + y, far) <= n - int(np.ceil(n * 0.9))))
     shifts = F.when(F.col("left_is_loop"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("best", F.array_min(F.transform(shifts, at))).where((F.col("best.median") <= C.MATCH_MEDIAN_M) & (F.col("best.p90") <= C.MATCH_P90_M))
     ratio = similarity_ratio(F.col("left_distance_m"), F.col("right_distance_m"))
@@ -149,8 +153,11 @@ def matches(found: DataFrame) -> DataFrame:
 
 
 def _lasting(rows: DataFrame) -> DataFrame:
+    """Rows checkpointed in the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one if Spark runs on this machine alone."""
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ridgeline-"))
     return rows.checkpoint()
 

@@ -166,7 +166,7 @@ FROM own LEFT JOIN (SELECT * FROM peak WHERE rn = 1) USING (track_id) LEFT JOIN
     "hr_distribution": f"SELECT track_id, CAST(bpm // 10 * 10 AS INTEGER) AS bpm, {_R('sum(seconds)', 'seconds')}, (bpm // 10 * 10) || '–' || (bpm // 10 * 10 + 9) AS label FROM bins GROUP BY track_id, bpm // 10",
     "hr_cumulative": f"SELECT track_id, bpm, {_R('sum(seconds) OVER (PARTITION BY track_id ORDER BY bpm DESC)', 'seconds_at_or_above')} FROM bins",
     "hr_sectors": f""", total AS (SELECT track_id, max(cumulative_m) AS d FROM derived GROUP BY track_id)
-SELECT track_id, CAST(least(floor((d0 + d1) / 2 / d * 64), 63) AS INTEGER) AS "index", {_R('sum(dt_ms) / 1000e0', 'moving_s')}, {_R('coalesce(sum(dt_ms) FILTER (eligible), 0) / 1000e0', 'eligible_s')}, {_R('sum(area) FILTER (eligible) / (sum(dt_ms) FILTER (eligible) / 1000e0)', 'average_bpm')}, {_R('sum(speed * dt_ms) FILTER (eligible) / sum(dt_ms) FILTER (eligible) * 36e-1', 'speed_kmh')}, {_R('min(start_ms) / 1000e0', 'start_s')}, {_R('max(end_ms) / 1000e0', 'end_s')}
+SELECT track_id, CAST(least(floor(round((d0 + d1) / 2 / d * 64, 9)), 63) AS INTEGER) AS "index", {_R('sum(dt_ms) / 1000e0', 'moving_s')}, {_R('coalesce(sum(dt_ms) FILTER (eligible), 0) / 1000e0', 'eligible_s')}, {_R('sum(area) FILTER (eligible) / (sum(dt_ms) FILTER (eligible) / 1000e0)', 'average_bpm')}, {_R('sum(speed * dt_ms) FILTER (eligible) / sum(dt_ms) FILTER (eligible) * 36e-1', 'speed_kmh')}, {_R('min(start_ms) / 1000e0', 'start_s')}, {_R('max(end_ms) / 1000e0', 'end_s')}
 FROM spans JOIN total USING (track_id) WHERE moving AND start_ms >= 300000 AND d > 0 GROUP BY track_id, 2""",
     "hr_selection": f""", cl AS (SELECT track_id, hr_ok, moving, speed, a, b, h0 + (h1 - h0) * ((a - start_ms) / dt_ms) AS h0, h0 + (h1 - h0) * ((b - start_ms) / dt_ms) AS h1, (d1 - d0) * ((b - start_ms) / dt_ms) - (d1 - d0) * ((a - start_ms) / dt_ms) AS d
   FROM (SELECT *, greatest(start_ms, 63000e0) AS a, least(end_ms, 240500e0) AS b FROM spans WHERE end_ms > 63000 AND start_ms < 240500))
