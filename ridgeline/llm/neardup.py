@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .minhash import band_keys, signatures
 from .pairs import sketches
-from .search import WORTHWHILE, connected, distinct_buckets
+from .search import WORTHWHILE, connected
 from .storage import Scratch
 
 #: Words in a shingle and the similarity (percent) from which documents are linked.
@@ -89,9 +89,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, n, id`` of the different buckets that n >= 2 ids share."""
+    """``key, n, id`` of the buckets that n >= 2 ids share."""
     rows = keys.select(F.explode("keys").alias("key"), "id")
-    return scratch.write(rows.join(scratch.write(distinct_buckets(rows), "shared"), "key").select("key", "n", "id"), "members")
+    shared = scratch.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    return scratch.write(rows.join(shared, "key").select("key", "n", "id"), "members")
 
 
 def _same_id(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
