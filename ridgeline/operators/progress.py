@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.stats import percent_delta
-from .routes import by_recency
+from .routes import by_recency, eligible
 
 
 def direction(delta: Column, threshold: Column) -> Column:
@@ -84,6 +84,23 @@ def cluster_summaries(clusters: DataFrame, route_trends: DataFrame, activity: st
     return rows.orderBy(F.desc("track_count"), "name", "cluster_id")
 
 
+def cluster_details(clusters: DataFrame, memberships: DataFrame, tracks: DataFrame, cluster_id: int | None = None) -> DataFrame:
+    """One row per attempt of a route (of all, without ``cluster_id``): the route's columns, then ``track_id, started_at, similarity, representative, avg_speed_mps, first_attempt_at, latest_attempt_at``.
+
+    ``memberships``: ``cluster_id, track_id, similarity, representative``.
+    """
+    clusters = clusters if cluster_id is None else clusters.where(F.col("cluster_id") == cluster_id)
+    rows = clusters.join(memberships.select("cluster_id", "track_id", "similarity", "representative"), "cluster_id").join(tracks.select("track_id", "started_at", "avg_speed_mps"), "track_id")
+    whole = Window.partitionBy("cluster_id")
+    return rows.withColumns({"first_attempt_at": F.min("started_at").over(whole), "latest_attempt_at": F.max("started_at").over(whole)})
+
+
+def cluster_of_track(clusters: DataFrame, memberships: DataFrame, tracks: DataFrame, track_id: int) -> DataFrame:
+    """The details of the route that a track belongs to; no rows if it is in none."""
+    own = memberships.where(F.col("track_id") == track_id).select("cluster_id")
+    return cluster_details(clusters.join(own, "cluster_id", "left_semi"), memberships, tracks)
+
+
 def weekly_volume(tracks: DataFrame, as_of: str, weeks: int = 12) -> DataFrame:
     """The last weeks to the date ``as_of``, from Monday, empty ones with zeros: ``week, distance_m, moving_s, track_count``."""
     last = F.date_trunc("week", F.to_date(F.lit(as_of))).cast("date")
@@ -136,6 +153,30 @@ def usable_sectors(sectors: DataFrame, alignments: DataFrame) -> DataFrame:
     return sectors.where(fits).join(alignments, "track_id").withColumn("index", F.pmod(F.col("index") - F.col("alignment"), F.lit(C.SECTORS))).drop("alignment")
 
 
+def heart_rate_attempts(clusters: DataFrame, memberships: DataFrame, tracks: DataFrame, summaries: DataFrame, sectors: DataFrame, alignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cluster_id, track_id, started_at`` of the attempts whose heart rates can be compared, and their usable sectors.
+
+    An attempt counts if nine tenths of it have heart rates (``summaries``: ``track_id, coverage_percent``), its
+    activity is known and that of the route's representative, it is eligible and matches the representative
+    (``alignments``: ``cluster_id, track_id, alignment`` of those that do), and a sector of it is usable.
+    """
+    activity = F.col("activity_type")
+    leads = clusters.select("cluster_id", F.col("representative_id").alias("track_id")).join(tracks.select("track_id", activity.alias("_own")), "track_id").drop("track_id")
+    held = eligible(tracks).where(activity.isNotNull()).join(memberships.select("cluster_id", "track_id"), "track_id").join(leads, "cluster_id").where(activity == F.col("_own"))
+    covered = summaries.where(F.col("coverage_percent") >= 90).select("track_id")
+    held = held.join(covered, "track_id", "left_semi").join(alignments.select("cluster_id", "track_id", "alignment"), ["cluster_id", "track_id"])
+    usable = usable_sectors(sectors, held.select("track_id", "alignment"))
+    return held.select("cluster_id", "track_id", "started_at").join(usable.select("track_id").distinct(), "track_id", "left_semi"), usable
+
+
+def routes_with_heart_rate(clusters: DataFrame, memberships: DataFrame, summaries: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Routes with an attempt that has heart rates, most attempts first: ``cluster_id, name, track_count, recorded_count, eligible_count``.  ``summaries``: ``track_id, sample_count``."""
+    recorded = memberships.join(summaries.where("sample_count > 0").select("track_id"), "track_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("recorded_count"))
+    fit = attempts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("eligible_count"))
+    rows = clusters.join(recorded, "cluster_id").join(fit, "cluster_id", "left").fillna(0, ["eligible_count"])
+    return rows.select("cluster_id", "name", "track_count", "recorded_count", "eligible_count").orderBy(F.desc("track_count"), "cluster_id")
+
+
 def _observed(attempts: DataFrame, sectors: DataFrame, key: str, last: int) -> DataFrame:
     """Medians over the sectors that all of a route's last attempts share: one row per attempt, ``r`` 1 being the latest."""
     ranked = attempts.withColumns({"r": F.row_number().over(by_recency(key)), "n": F.count(F.lit(1)).over(Window.partitionBy(key))}).where((F.col("r") <= last) & (F.col("n") >= last))

@@ -84,6 +84,18 @@ def _compatible(a: str, b: str) -> Column:
     return F.when(both, left == right).otherwise(similarity_ratio(F.col(f"{a}.avg_speed_mps"), F.col(f"{b}.avg_speed_mps")) >= 0.5)
 
 
+def _ends_meet(a: str, b: str) -> Column:
+    """Lengths within a tenth, and open routes start and end within 250 m of each other."""
+    near = lambda end: haversine(F.col(f"{a}.{end}.lat"), F.col(f"{a}.{end}.lon"), F.col(f"{b}.{end}.lat"), F.col(f"{b}.{end}.lon")) <= C.MATCH_ENDPOINT_M
+    return (similarity_ratio(F.col(f"{a}.distance_m"), F.col(f"{b}.distance_m")) >= C.MATCH_RATIO) & (F.col(f"{a}.is_loop") | (near("first") & near("last")))
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """What decides whether two routes are worth comparing."""
+    kind = F.when(F.col("is_loop"), F.col("direction")).otherwise("open")
+    return found.where("distance_m > 0").select("track_id", "activity_type", "avg_speed_mps", "distance_m", "is_loop", kind.alias("kind"), F.col("samples")[0].alias("first"), F.col("samples")[C.ROUTE_SAMPLES - 1].alias("last"), "samples")
+
+
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """``left_id, right_id`` (left below right) of all pairs that can match, and some that don't.
 
@@ -91,26 +103,18 @@ def candidate_pairs(found: DataFrame) -> DataFrame:
     the other's, so of any seven one is.  Lengths within a tenth are in the same or neighbouring classes.  Only
     ids and keys are shuffled here; nothing that could match is left out.
     """
-    small = found.where("distance_m > 0").select(
-        "track_id",
-        "activity_type",
-        "avg_speed_mps",
-        "distance_m",
-        "is_loop",
-        F.when(F.col("is_loop"), F.col("direction")).otherwise("open").alias("kind"),
-        F.col("samples")[0].alias("first"),
-        F.col("samples")[C.ROUTE_SAMPLES - 1].alias("last"),
+    small = _keys(found).select(
+        "*",
         _length_class(F.col("distance_m")).alias("class"),
         F.when(F.col("is_loop"), F.slice("samples", 1, 7)).otherwise(F.slice("samples", 1, 1)).alias("_few"),
         F.when(F.col("is_loop"), F.col("samples")).otherwise(F.slice("samples", 1, 1)).alias("_all"),
-    )
+    ).drop("samples")
     drop = ("_few", "_all")
     left = small.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform("_few", lambda p: _around(_cell(p))))))).withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))).drop(*drop)
     right = small.withColumn("cell", F.explode(F.array_distinct(F.transform("_all", _cell)))).drop(*drop)
     a, b = left.alias("a"), right.alias("b")
-    near = lambda end: haversine(F.col(f"a.{end}.lat"), F.col(f"a.{end}.lon"), F.col(f"b.{end}.lat"), F.col(f"b.{end}.lon")) <= C.MATCH_ENDPOINT_M
     pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.track_id") < F.col("b.track_id")))
-    kept = pairs.where(_compatible("a", "b") & (similarity_ratio(F.col("a.distance_m"), F.col("b.distance_m")) >= C.MATCH_RATIO) & (F.col("a.is_loop") | (near("first") & near("last"))))
+    kept = pairs.where(_compatible("a", "b") & _ends_meet("a", "b"))
     return kept.select(F.col("a.track_id").alias("left_id"), F.col("b.track_id").alias("right_id")).distinct()
 
 
@@ -152,6 +156,14 @@ def matches(found: DataFrame) -> DataFrame:
     return scored_pairs(found, candidate_pairs(found))
 
 
+def matches_of(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As ``matches``, of the given ``left_id, right_id`` alone, in that order: the alignment turns the right one onto the left.  A route matches itself."""
+    keys = _keys(found).drop("samples")
+    a, b = keys.alias("a"), keys.alias("b")
+    rows = pairs.join(a, F.col("left_id") == F.col("a.track_id")).join(b, F.col("right_id") == F.col("b.track_id"))
+    return scored_pairs(found, rows.where((F.col("a.kind") == F.col("b.kind")) & _compatible("a", "b") & _ends_meet("a", "b")).select("left_id", "right_id"))
+
+
 def _lasting(rows: DataFrame) -> DataFrame:
     """Rows checkpointed in the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one if Spark runs on this machine alone."""
     context = rows.sparkSession.sparkContext

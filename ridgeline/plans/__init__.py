@@ -105,7 +105,7 @@ def _segment_summary(spark, folder):
 
 
 def _hr_summary(spark, folder):
-    prepared = _prepared(spark, folder).withColumn("hr_cadence_lock", F.lit(False))
+    prepared = heart_rate.prepare_heart_rate(_derived(spark, folder))
     return _plain(heart_rate.heart_rate_summary(prepared, heart_rate.spans(prepared)), "track_id", "sample_count", "minimum_bpm", "maximum_bpm", "peak_position", "covered_s", "moving_covered_s", "average_bpm", "moving_average_bpm", "coverage_percent")
 
 
@@ -115,8 +115,16 @@ def _hr_sectors(spark, folder):
     return _plain(heart_rate.sectors(heart_rate.spans(heart_rate.with_heart_rate(derived).withColumn("hr_cadence_lock", F.lit(False))), totals))
 
 
+def _rides(spark: SparkSession, folder: str) -> DataFrame:
+    return heart_rate.prepare_heart_rate(points.derive_points(view(spark, folder, "rides")))
+
+
 def _cadence_lock(spark, folder):
-    return _plain(heart_rate.lock_summary(heart_rate.prepare_heart_rate(_derived(spark, folder).withColumn("heart_rate_bpm", F.when(F.col("position").between(10, 45), F.col("cadence_rpm") + 1).otherwise(F.col("heart_rate_bpm"))))))
+    return _plain(heart_rate.lock_summary(_rides(spark, folder)))
+
+
+def _drift(spark, folder):
+    return _plain(heart_rate.drift(heart_rate.spans(_rides(spark, folder))))
 
 
 def _renderings(spark, folder):
@@ -194,7 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "track_summary": _of_points(summary.track_summary, "track_id", "point_count", "segment_count", "distance_m", "elapsed_s", "moving_s", "stopped_s", "avg_speed_mps", "elevation_gain_m", "elevation_loss_m", "min_elevation_m", "max_elevation_m", "quality_score", "invalid_spike_points", "gps_warmup_points", "displacement_m", "skip_reason"),
     "peak_speeds": _of_points(lambda d: summary.peak_speeds(d).drop("confidence_reasons")),
     "median_sample_seconds": _of_points(summary.median_sample_seconds),
-    "route_cells": _of_points(summary.route_cells),
+    "route_cells": lambda spark, folder: _plain(summary.route_cells(_derived(spark, folder)), decimals=9),
     "downsampled": lambda spark, folder: summary.downsample(_prepared(spark, folder), 20).select("track_id", "position", "hr_break"),
     "renderings": _renderings,
     "hr_summary": _hr_summary,
@@ -206,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hr_sectors": _hr_sectors,
     "hr_selection": _of_spans(lambda t: heart_rate.selection(t, 63.0, 240.5)),
     "hr_duration_curve": _of_spans(heart_rate.duration_curve),
-    "hr_drift": _of_spans(heart_rate.drift),
+    "hr_drift": _drift,
     "hr_cadence_lock": _cadence_lock,
     "hr_weekly_load": _weekly_load,
     "cadence_summary": _of_sensors(sensors.cadence_summary, "track_id", "sample_count", "maximum_rpm", "covered_s", "moving_s", "pedaling_s", "coasting_s", "average_rpm", "moving_average_rpm", "revolutions", "coasting_percent"),

@@ -7,9 +7,13 @@ starts, gaps and nulls put in.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import routes
+
 VIEWS = {
     "points": """
 SELECT track_id, 0 AS track_position, CAST(p // 50 AS INTEGER) AS segment_position, CAST(p AS INTEGER) AS position,
@@ -46,6 +50,20 @@ SELECT l_orderkey * 10 + l_linenumber AS item_id, l_orderkey AS track_id, l_supp
 FROM lineitem""",
     "archives": "SELECT s_suppkey AS archive_id, s_suppkey % 7 AS batch_id, CASE WHEN s_suppkey % 5 = 0 THEN 2000000 ELSE 0 END AS item_count, 'processing' AS status, 'Reading upload' AS stage, 10 AS progress, s_suppkey AS inserted_at FROM supplier",
     "recordings": "SELECT item_id, path, track_id, CAST(track_id % 4000 AS STRING) AS sha256 FROM (SELECT l_orderkey * 10 + l_linenumber AS item_id, concat('r/', CAST(l_orderkey * 10 + l_linenumber AS STRING)) AS path, l_orderkey AS track_id FROM lineitem) r",
+    "rides": """
+SELECT track_id, 0 AS track_position, CAST(CASE WHEN track_id % 8 = 3 THEN p // 300 ELSE 0 END AS INTEGER) AS segment_position, CAST(p AS INTEGER) AS position,
+  55e0 + s * (5e-5 - 1e-9 * s) AS latitude, 12e0 + track_id % 10 * 1e-3 AS longitude, 20e0 + p // 100 % 2 AS elevation_m, 1e0 AS hdop, CAST(NULL AS DOUBLE) AS recorded_speed_mps,
+  CASE WHEN NOT (track_id % 4 = 1 AND p = 320) THEN bpm END AS heart_rate_bpm,
+  CASE WHEN track_id % 4 = 0 AND p BETWEEN 180 AND 299 THEN bpm + CASE WHEN p % 37 = 5 THEN 9e0 ELSE 2e0 - p % 3 END WHEN track_id % 4 = 0 AND p BETWEEN 170 AND 310 THEN bpm - 6 ELSE 85e0 + p % 7 END AS cadence_rpm,
+  CAST(NULL AS DOUBLE) AS sensor_speed_mps, CAST(NULL AS DOUBLE) AS sensor_distance_m, 1704067200000 + s * 1000 AS ms
+FROM (
+  SELECT track_id, p, 4 * p - 4 * (p // 37) - CASE WHEN p % 37 >= 6 THEN 4 WHEN p % 37 = 5 THEN 2 ELSE 0 END AS s, CAST(118 + p // 40 + track_id % 3 AS DOUBLE) AS bpm
+  FROM (SELECT l_suppkey AS track_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS p FROM lineitem) n
+) r""",
+    "riders": """
+SELECT s_suppkey AS track_id, s_suppkey % 20 AS cluster_id, concat('Loop ', CAST(s_suppkey AS STRING)) AS name, 'complete' AS status, CAST(DATE '2024-01-01' + INTERVAL '1' DAY * (s_suppkey % 300) AS TIMESTAMP) AS started_at,
+  10000e0 + s_suppkey % 4 * 300 AS distance_m, 2000e0 AS moving_s, 5e0 AS avg_speed_mps, 65e0 + s_suppkey % 31 AS quality_score, CASE WHEN s_suppkey % 9 = 1 THEN 'run' WHEN s_suppkey % 9 > 0 THEN 'ride' END AS activity_type
+FROM supplier""",
     "vectors": "SELECT vec_id AS track_id, embedding, CAST(label AS STRING) AS activity_type, 10000e0 + (vec_id % 13) * 50 AS distance_m, 5e0 AS avg_speed_mps FROM embeddings",
 }
 
@@ -55,7 +73,7 @@ def view_sql(name: str) -> str:
     return VIEWS[name].strip()
 
 
-_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "vectors": "embeddings"}
+_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,7 +81,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/{table}.parquet")
     own = VIEWS[name].replace("//", "div")
     found = spark.sql(own.replace(f"FROM {table}", "FROM {source}"), source=rows)
-    return found.withColumn("recorded_at", F.timestamp_millis("ms")).drop("ms") if name == "points" else found
+    return found.withColumn("recorded_at", F.timestamp_millis("ms")).drop("ms") if "ms" in found.columns else found
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,3 +89,11 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     rows = view(spark, folder, "vectors")
     samples = F.transform("embedding", lambda x, i: F.struct((55 + x.cast("double") * 0.008).alias("lat"), (12 + i * F.lit(0.001)).alias("lon")))
     return rows.select("track_id", samples.alias("samples"), "distance_m", "avg_speed_mps", "activity_type", F.lit(False).alias("is_loop"), F.lit("counterclockwise").alias("direction"))
+
+
+def loops(spark: SparkSession, folder: str) -> DataFrame:
+    """Round routes of 64 samples about 20 centres, each starting further along the circle."""
+    angle = lambda i: (i + F.col("track_id")) % 64 * (2 * math.pi / 64)
+    at = lambda i: F.struct((55 + F.col("cluster_id") * F.lit(0.1) + F.sin(angle(i)) * 0.01 + F.col("track_id") % 3 * F.lit(1e-4)).alias("lat"), (12 + F.cos(angle(i)) * 0.02).alias("lon"))
+    samples = F.transform(F.sequence(F.lit(0), F.lit(63)), at)
+    return view(spark, folder, "riders").select("track_id", samples.alias("samples"), "distance_m", "avg_speed_mps", "activity_type", F.lit(True).alias("is_loop"), routes.direction(samples).alias("direction"))

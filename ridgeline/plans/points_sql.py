@@ -15,9 +15,14 @@ def hav(a: str, b: str, c: str, d: str) -> str:
 
 _RISE = "CASE WHEN {up} >= 3 THEN {up} ELSE 0e0 END AS gain_m, CASE WHEN {up} <= -3 THEN -({up}) ELSE 0e0 END AS loss_m"
 
-#: The derived points as a chain of common tables that ends with ``derived``; the acceptance pass is a recursion over positions.
-DERIVED = f"""
-WITH RECURSIVE points AS ({view_sql("points")}
+#: No reading follows the cadence: in the view ``points`` the two are never within 8 of each other.
+_FREE = "flagged AS (SELECT *, false AS locked FROM derived)"
+
+
+def derived_sql(source: str = "points", flagged: str = _FREE) -> str:
+    """The derived points of a view as a chain of common tables that ends with ``sensor``; the acceptance pass is a recursion over positions."""
+    return f"""
+WITH RECURSIVE points AS ({view_sql(source)}
 ), w1 AS (
   SELECT *, lag(ms) OVER s AS pms, lag(latitude) OVER s AS plat, lag(longitude) OVER s AS plon, first_value(ms) OVER s AS fms FROM points
   WINDOW s AS (PARTITION BY track_id, segment_position ORDER BY position)
@@ -66,7 +71,7 @@ WITH RECURSIVE points AS ({view_sql("points")}
     greatest(least((elevation_m - back.e) / (cumulative_m - back.c) * 100, 40e0), -40e0) + CASE WHEN elevation_m - back.e IS NULL THEN NULL ELSE 0 END AS grade_percent
   FROM (SELECT *, max({{'p': position, 'c': cumulative_m, 'e': elevation_m}}) OVER (PARTITION BY track_id, segment_position ORDER BY cumulative_m RANGE BETWEEN UNBOUNDED PRECEDING AND 100 PRECEDING) AS back FROM cum)
 ), timing AS (SELECT * FROM derived WHERE valid OR distance_source <> 'gps'
-), spans AS (
+), {flagged}, spans AS (
   SELECT *, coalesce(both_hr, false) AS hr_ok, CASE WHEN both_hr THEN (h0 + h1) / 2 * dt_ms / 1000e0 END AS area,
     coalesce(both_hr AND moving AND start_ms >= 300000 AND start_ms - since >= 60000 AND NOT jumped, false) AS eligible
   FROM (
@@ -74,12 +79,12 @@ WITH RECURSIVE points AS ({view_sql("points")}
     FROM (
       SELECT *, lag(moving) OVER (PARTITION BY track_id ORDER BY position) AS was_moving FROM (
         SELECT *, ok AND coalesce(speed >= {_SLOW}, false) AS moving FROM (
-          SELECT *, coalesce(same AND dt_ms > 0 AND dt_ms <= 30000, false) AS ok, h0 IS NOT NULL AND h1 IS NOT NULL AS both_hr, jump OR coalesce(lag(jump) OVER (PARTITION BY track_id ORDER BY position), false) AS jumped
+          SELECT *, coalesce(same AND dt_ms > 0 AND dt_ms <= 30000, false) AS ok, h0 IS NOT NULL AND h1 IS NOT NULL AND NOT locked AND NOT was_locked AS both_hr, jump OR coalesce(lag(jump) OVER (PARTITION BY track_id ORDER BY position), false) AS jumped
           FROM (
             SELECT track_id, segment_position, position, same, lag(ms) OVER o - min(ms) OVER (PARTITION BY track_id) AS start_ms, ms - min(ms) OVER (PARTITION BY track_id) AS end_ms, ms - lag(ms) OVER o AS dt_ms,
-              lag(heart_rate_bpm) OVER o AS h0, heart_rate_bpm AS h1, lag(cumulative_m) OVER o AS d0, cumulative_m AS d1, CASE WHEN sensor_speed_mps <= {_MAX} THEN sensor_speed_mps WHEN valid THEN derived_speed_mps END AS speed, grade_percent AS grade,
+              lag(heart_rate_bpm) OVER o AS h0, heart_rate_bpm AS h1, locked, coalesce(lag(locked) OVER o, false) AS was_locked, lag(cumulative_m) OVER o AS d0, cumulative_m AS d1, CASE WHEN sensor_speed_mps <= {_MAX} THEN sensor_speed_mps WHEN valid THEN derived_speed_mps END AS speed, grade_percent AS grade,
               coalesce(same AND ms - lag(ms) OVER o BETWEEN 1 AND 10000 AND abs(heart_rate_bpm - lag(heart_rate_bpm) OVER o) > 30, false) AS jump
-            FROM derived WINDOW o AS (PARTITION BY track_id ORDER BY position)
+            FROM flagged WINDOW o AS (PARTITION BY track_id ORDER BY position)
           )
         )
       )
@@ -101,6 +106,22 @@ WITH RECURSIVE points AS ({view_sql("points")}
 )
 """
 
+
+def _linked(name: str, match: str, within: str) -> str:
+    """Runs of matching points: neighbours at most 4 s apart, and all between them pedalled and ``within`` 3 s."""
+    return f"""{name}_pair AS (SELECT track_id, position, segment_position, ms, lead(position) OVER w AS nxt, lead(ms) OVER w AS nms, lead(segment_position) OVER w AS nseg FROM near WHERE {match} WINDOW w AS (PARTITION BY track_id ORDER BY position)
+), {name}_link AS (SELECT i.track_id, i.nxt FROM {name}_pair i LEFT JOIN near k ON k.track_id = i.track_id AND k.position > i.position AND k.position < i.nxt AND NOT (k.turned AND k.segment_position = i.segment_position AND {within} BETWEEN 1 AND 3000)
+  WHERE i.nseg = i.segment_position AND i.nms - i.ms BETWEEN 1 AND 4000 GROUP BY i.track_id, i.nxt HAVING count(k.position) = 0
+), {name} AS (SELECT *, min(position) OVER (PARTITION BY track_id, run) AS a, max(position) OVER (PARTITION BY track_id, run) AS b FROM (
+  SELECT p.track_id, p.position, p.ms, sum(CASE WHEN l.nxt IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.track_id ORDER BY p.position) AS run FROM {name}_pair p LEFT JOIN {name}_link l ON l.track_id = p.track_id AND l.nxt = p.position))"""
+
+
+_LOCKED = f"""near AS (SELECT track_id, position, segment_position, ms, coalesce(cadence_rpm > 0 AND heart_rate_bpm IS NOT NULL, false) AS turned, coalesce(cadence_rpm > 0, false) AND coalesce(abs(heart_rate_bpm - cadence_rpm), 99) <= 3 AS tight, coalesce(cadence_rpm > 0, false) AND coalesce(abs(heart_rate_bpm - cadence_rpm), 99) <= 8 AS loose FROM derived
+), {_linked("core", "tight", "k.ms - i.ms")}, {_linked("ahead", "loose", "k.ms - i.ms")}, {_linked("behind", "loose", "i.nms - k.ms")}
+, reach AS (SELECT c.track_id, x.a, y.b FROM (SELECT track_id, min(position) AS p, max(position) AS q FROM core GROUP BY track_id, run HAVING max(ms) - min(ms) >= 60000) c JOIN behind x ON x.track_id = c.track_id AND x.position = c.p JOIN ahead y ON y.track_id = c.track_id AND y.position = c.q
+), flagged AS (SELECT *, EXISTS (SELECT 1 FROM reach r WHERE r.track_id = derived.track_id AND derived.position BETWEEN r.a AND r.b) AS locked FROM derived)"""
+RIDES = derived_sql("rides", _LOCKED)
+
 _GAIN = """
 climbed AS (SELECT *, sum(rise) OVER (PARTITION BY track_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS up FROM (
   SELECT *, greatest(coalesce(elevation_m - lag(elevation_m) OVER (PARTITION BY track_id ORDER BY position), 0e0), 0e0) AS rise FROM timing))
@@ -183,4 +204,46 @@ FROM (SELECT *, coalesce(grade >= coalesce(low, -1000) AND grade < coalesce(high
 SELECT track_id, {_R('covered_s', 'covered_s')}, {_R('coalesce(moving_s, 0e0)', 'moving_s')}, CASE WHEN by_odo THEN 'device' ELSE 'integrated' END AS distance_source, {_R('CASE WHEN by_odo THEN odo ELSE integ END', 'distance_m')}, {_R('CASE WHEN by_odo THEN odo_gps ELSE gps END', 'gps_distance_m')}, {_R('diff', 'median_difference_kmh')}, {_R('coalesce(gap, 0e0)', 'gps_gap_s')} FROM c""",
 }
 
-POINTS = {name: DERIVED + sql for name, sql in POINTS.items()}
+_BITS = "CAST(floor((longitude + 180) / 360 * 262144) AS BIGINT) AS x, CAST(floor((latitude + 90) / 180 * 131072) AS BIGINT) AS y"
+_DIGITS = "'0123456789bcdefghjkmnpqrstuvwxyz'"
+_HASH = " || ".join("substr(" + _DIGITS + ", CAST(1 + " + " + ".join(f"(({'y' if i % 2 else 'x'} >> {(16 if i % 2 else 17) - i // 2}) & 1) * {16 >> j}" for j, i in enumerate(range(5 * k, 5 * k + 5))) + " AS BIGINT), 1)" for k in range(7))
+
+
+def _number(x: str) -> str:
+    """A signed number of a polyline."""
+    z = f"(CASE WHEN {x} < 0 THEN -2 * ({x}) - 1 ELSE 2 * ({x}) END)"
+    return f"array_to_string(list_transform(list_filter(range(0, 7), lambda k: k = 0 OR ({z} >> CAST(5 * k AS INTEGER)) > 0), lambda k: chr(CAST(63 + (({z} >> CAST(5 * k AS INTEGER)) & 31) + CASE WHEN ({z} >> CAST(5 * k + 5 AS INTEGER)) > 0 THEN 32 ELSE 0 END AS INTEGER))), '')"
+
+
+def _rendering(level: str, most: int) -> str:
+    return f"""SELECT track_id, '{level}' AS level, CAST(count(*) AS INTEGER) AS point_count, string_agg({_number("x - px")} || {_number("y - py")}, '' ORDER BY position) AS encoded_polyline, CAST(count(*) AS INTEGER) AS n_series
+FROM (SELECT *, coalesce(lag(x) OVER o, 0) AS px, coalesce(lag(y) OVER o, 0) AS py FROM (SELECT track_id, position, CAST(round(latitude * 100000) AS BIGINT) AS x, CAST(round(longitude * 100000) AS BIGINT) AS y, count(*) OVER (PARTITION BY track_id) AS n FROM derived)
+  WHERE position % CAST(ceil(n / {most}e0) AS BIGINT) = 0 OR position = n - 1 WINDOW o AS (PARTITION BY track_id ORDER BY position)) GROUP BY track_id"""
+
+
+POINTS |= {
+    "route_cells": f"SELECT track_id, cell, round(avg(latitude), 9) AS latitude, round(avg(longitude), 9) AS longitude, count(*) AS point_count, 7 AS precision FROM (SELECT track_id, latitude, longitude, {_HASH} AS cell FROM (SELECT *, {_BITS} FROM derived WHERE valid)) GROUP BY track_id, cell",
+    "renderings": _rendering("overview", 600) + " UNION ALL " + _rendering("detail", 2500),
+    "pedaling_overview": POINTS["cadence_summary"].replace("SELECT track_id, sample_count", ", per AS (SELECT track_id, coalesce(pedaling_s, 0e0) AS pedaling_s, coalesce(moving_s, 0e0) AS moving_s, a, coalesce(revolutions, 0e0) AS revolutions FROM own LEFT JOIN c USING (track_id)), ignored AS (SELECT track_id, sample_count", 1)
+    + f") SELECT count(*) AS tracks, {_R('sum(pedaling_s)', 'pedaling_s')}, {_R('sum(a * pedaling_s) / nullif(sum(pedaling_s), 0)', 'average_rpm')}, {_R('sum(moving_s - pedaling_s) / nullif(sum(moving_s), 0) * 100', 'coasting_percent')}, {_R('sum(revolutions)', 'revolutions')} FROM per",
+    "hr_weekly_load": f""", z AS (SELECT track_id, sum(seconds) AS covered, coalesce(sum(seconds / 60 * zone), 0) AS load FROM bins LEFT JOIN (VALUES (1, 30, 114), (2, 114, 133), (3, 133, 152), (4, 152, 171), (5, 171, 241)) z(zone, lower, upper) ON bpm >= lower AND bpm < upper GROUP BY track_id
+), t AS (SELECT track_id, CAST(date_trunc('week', DATE '1970-01-01' + CAST(min(ms) // 86400000 AS INTEGER) + CAST(track_id % 60 AS INTEGER)) AS DATE) AS week FROM derived GROUP BY track_id
+), w AS (SELECT week, count(*) AS tracks, sum(covered) AS covered, sum(load) AS load FROM t JOIN z USING (track_id) GROUP BY week
+), c AS (SELECT CAST(unnest(generate_series(greatest((SELECT min(week) FROM w), DATE '2024-04-01' - 721), DATE '2024-04-01', INTERVAL 7 DAY)) AS DATE) AS week)
+SELECT CAST(c.week AS STRING) AS week, tracks, {_R('covered', 'covered_s')}, {_R('load', 'load')} FROM c LEFT JOIN w USING (week)""",
+}
+POINTS = {name: derived_sql() + sql for name, sql in POINTS.items()}
+
+POINTS |= {
+    "hr_cadence_lock": f"""{RIDES}, l AS (SELECT *, ms - min(ms) OVER (PARTITION BY track_id) AS t FROM flagged), runs AS (SELECT *, position - row_number() OVER (PARTITION BY track_id ORDER BY position) AS g FROM l WHERE locked)
+SELECT track_id, {_R('arg_min(t, position) / 1000e0', 'start_s')}, {_R('arg_max(t, position) / 1000e0', 'end_s')}, {_R('arg_min(cumulative_m, position)', 'start_distance_m')}, {_R('arg_max(cumulative_m, position)', 'end_distance_m')}, {_R('avg(heart_rate_bpm)', 'average_bpm')}, {_R('avg(cadence_rpm)', 'average_rpm')}, count(*) AS samples FROM runs GROUP BY track_id, g""",
+    "hr_drift": f"""{RIDES}, joined AS (SELECT *, CASE WHEN lag(end_ms) OVER o = start_ms AND lag(segment_position) OVER o = segment_position THEN 0 ELSE 1 END AS opens FROM spans WHERE eligible WINDOW o AS (PARTITION BY track_id ORDER BY position)
+), runs AS (SELECT *, sum(opens) OVER (PARTITION BY track_id ORDER BY position) AS run FROM joined
+), even AS (SELECT *, sum(dt_ms) OVER r AS took, sum(speed * dt_ms) OVER r / sum(dt_ms) OVER r AS pace FROM runs WINDOW r AS (PARTITION BY track_id, run)
+), judged AS (SELECT track_id, run, max(took) AS took, sqrt(sum(pow(speed - pace, 2) * dt_ms) / max(took)) / max(pace) AS cv, coalesce(sum(dt_ms) FILTER (abs(grade) <= 2), 0) / max(took) AS flat, min(start_ms) AS f, max(end_ms) AS t FROM even GROUP BY track_id, run
+), best AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY took DESC, f, run) AS rn FROM judged WHERE took >= 1800000 AND cv <= 15e-2 AND flat >= 9e-1
+), half AS (SELECT track_id, run, f, t, 1 AS half, f * 1e0 AS lo, (f + t) / 2e0 AS hi FROM best WHERE rn = 1 UNION ALL SELECT track_id, run, f, t, 2, (f + t) / 2e0, t * 1e0 FROM best WHERE rn = 1
+), cl AS (SELECT *, h0 + (h1 - h0) * (a - start_ms) / dt_ms AS p, h0 + (h1 - h0) * (b - start_ms) / dt_ms AS q FROM (SELECT *, greatest(start_ms, lo) AS a, least(end_ms, hi) AS b FROM runs JOIN half USING (track_id, run) WHERE end_ms > lo AND start_ms < hi)
+), part AS (SELECT track_id, half, max(f) AS f, max(t) AS t, sum((p + q) / 2 * (b - a)) / sum(b - a) AS bpm, sum(speed * (b - a)) / sum(b - a) * 36e-1 AS kmh FROM cl GROUP BY track_id, half)
+SELECT track_id, {_R('(x.kmh / x.bpm - y.kmh / y.bpm) / (x.kmh / x.bpm) * 100', 'percent')}, {_R('x.f / 1000e0', 'start_s')}, {_R('x.t / 1000e0', 'end_s')}, {_R('x.bpm', 'first_bpm')}, {_R('y.bpm', 'second_bpm')} FROM (SELECT * FROM part WHERE half = 1) x JOIN (SELECT * FROM part WHERE half = 2) y USING (track_id)""",
+}

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
-FAST = ["speed_history", "speed_history_year", "records", "recent_delta", "portfolio_summary", "share_summary", "weekly_volume", "effort_trends", "import_counters", "route_trends", "heatmap", "points_derived", "kilometre_splits", "best_efforts", "stops", "peak_speeds", "hr_summary", "hr_zones", "hr_sectors", "hr_selection", "cadence_summary", "terrain", "speed_sensor", "route_matches", "geo_functions"]
+FAST = ["speed_history", "speed_history_year", "records", "recent_delta", "portfolio_summary", "share_summary", "weekly_volume", "effort_trends", "import_counters", "route_trends", "heatmap", "points_derived", "kilometre_splits", "best_efforts", "stops", "peak_speeds", "hr_summary", "hr_zones", "hr_sectors", "hr_selection", "cadence_summary", "terrain", "speed_sensor", "route_matches", "geo_functions", "route_cells", "renderings", "pedaling_overview", "hr_weekly_load", "hr_cadence_lock", "hr_drift"]
 
 
 @pytest.fixture(scope="module")
