@@ -162,7 +162,7 @@ def heart_rate_attempts(clusters: DataFrame, memberships: DataFrame, tracks: Dat
     """
     activity = F.col("activity_type")
     leads = clusters.select("cluster_id", F.col("representative_id").alias("track_id")).join(tracks.select("track_id", activity.alias("_own")), "track_id").drop("track_id")
-    held = eligible(tracks).where(activity.isNotNull()).join(memberships.select("cluster_id", "track_id"), "track_id").join(leads, "cluster_id").where(activity == F.col("_own"))
+    held = eligible(tracks).where(activity.isNotNull()).select("track_id", "started_at", "activity_type").join(memberships.select("cluster_id", "track_id"), "track_id").join(leads, "cluster_id").where(activity == F.col("_own"))
     covered = summaries.where(F.col("coverage_percent") >= 90).select("track_id")
     held = held.join(covered, "track_id", "left_semi").join(alignments.select("cluster_id", "track_id", "alignment"), ["cluster_id", "track_id"])
     usable = usable_sectors(sectors, held.select("track_id", "alignment"))

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import heart_rate_edges
 from ..functions import geo, scalars
 from ..operators import heart_rate, imports, points, portfolio, progress, routes, segments, sensors, summary
-from .adapters import features, view
+from .adapters import features, loops, view
 from .library_sql import LIBRARY
 from .points_sql import POINTS
+from .routes_sql import ROUTES
 
 AS_OF = "2001-08-01"
 #: The zones of a maximum heart rate of 190.
@@ -141,6 +142,58 @@ def _route_groups(spark, folder):
     return _plain(routes.memberships(routes.groups(pairs), pairs))
 
 
+def _loop_matches(spark, folder):
+    return _plain(routes.matches(loops(spark, folder)), "left_id", "right_id", "similarity", "median_distance_m", "p90_distance_m", "alignment")
+
+
+def _clusters(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes as stored: the tracks of one ``cluster_id``, led by the lowest; (clusters, memberships)."""
+    activity = F.when(F.count_distinct("activity_type") == 1, F.max("activity_type")).alias("activity_type")
+    clusters = tracks.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("track_count"), F.min("name").alias("name"), F.min("track_id").alias("representative_id"), activity)
+    lead = F.col("track_id") == F.min("track_id").over(Window.partitionBy("cluster_id"))
+    return clusters, tracks.select("cluster_id", "track_id", F.when(lead, 1.0).otherwise(0.9).alias("similarity"), lead.alias("representative"))
+
+
+def _route_list(spark, folder):
+    attempts = _attempts(view(spark, folder, "tracks"))
+    found = progress.cluster_summaries(_clusters(attempts)[0], progress.trends(attempts), trend="faster", least_attempts=3)
+    return _plain(found, "cluster_id", "name", "track_count", "representative_id", "delta_percent", "direction")
+
+
+def _route_details(spark, folder):
+    attempts = _attempts(view(spark, folder, "tracks"))
+    found = progress.cluster_details(*_clusters(attempts), attempts)
+    return _plain(found, "cluster_id", "track_id", "track_count", "similarity", "representative", "avg_speed_mps", "started_at", "first_attempt_at", "latest_attempt_at")
+
+
+def _route_of_track(spark, folder):
+    attempts = _attempts(view(spark, folder, "tracks"))
+    found = progress.cluster_of_track(*_clusters(attempts), attempts, 1)
+    return _plain(found, "cluster_id", "track_id", "track_count", "representative", "started_at")
+
+
+def _ridden(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    """(clusters, memberships, summaries, attempts, sectors) of the rides on the round routes."""
+    riders, prepared = view(spark, folder, "riders"), _rides(spark, folder)
+    clusters, members = _clusters(riders)
+    timeline = heart_rate.spans(prepared)
+    totals = prepared.groupBy("track_id").agg(F.max("cumulative_m").alias("distance_m"))
+    pairs = members.join(clusters.select("cluster_id", "representative_id"), "cluster_id").select("cluster_id", F.col("representative_id").alias("left_id"), F.col("track_id").alias("right_id"))
+    matched = routes.matches_of(loops(spark, folder), pairs.select("left_id", "right_id")).select("left_id", "right_id", "alignment")
+    turned = pairs.join(matched, ["left_id", "right_id"]).select("cluster_id", F.col("right_id").alias("track_id"), "alignment")
+    summaries = heart_rate.heart_rate_summary(prepared, timeline)
+    return clusters, members, summaries, *progress.heart_rate_attempts(clusters, members, riders, summaries, heart_rate.sectors(timeline, totals), turned)
+
+
+def _hr_routes(spark, folder):
+    clusters, members, summaries, attempts, _ = _ridden(spark, folder)
+    return progress.routes_with_heart_rate(clusters, members, summaries, attempts)
+
+
+def _hr_route_pairs(spark, folder):
+    return _plain(progress.effort_pairs(*_ridden(spark, folder)[3:]))
+
+
 def _weekly_load(spark, folder):
     timeline = _timeline(spark, folder)
     tracks = _derived(spark, folder).groupBy("track_id").agg(F.date_add(F.min("recorded_at").cast("date"), (F.col("track_id") % 60).cast("int")).cast("timestamp").alias("started_at"))
@@ -193,6 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_history": _tracks(lambda t: portfolio.route_history(_attempts(t))),
     "route_matches": _route_matches,
     "route_groups": _route_groups,
+    "loop_matches": _loop_matches,
+    "route_list": _route_list,
+    "route_details": _route_details,
+    "route_of_track": _route_of_track,
+    "hr_routes": _hr_routes,
+    "hr_route_pairs": _hr_route_pairs,
     "points_derived": _of_points(lambda d: d, "track_id", "position", "valid", "gps_warmup", "derived_speed_mps", "delta_m", "delta_ms", "cumulative_m", "moving_ms", "grade_percent", "distance_source", "speed_source", "gain_m", "loss_m", "speed_mps"),
     "kilometre_splits": _of_points(segments.kilometre_splits),
     "best_efforts": _of_points(segments.best_efforts),
@@ -227,4 +286,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_ids": _activity_ids,
 }
 
-ORACLES: dict[str, str] = {**LIBRARY, **POINTS}
+ORACLES: dict[str, str] = {**LIBRARY, **POINTS, **ROUTES}
