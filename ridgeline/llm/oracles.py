@@ -149,4 +149,78 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES = {"op3_neardup": NEARDUP, "op4_rules": _rules(), "op5_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_warc": WARC}
+_SPLIT = "regexp_split_to_array(" + _FOLD.format(text="text") + r", '[.,;:!?\x0A-\x0D]')"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest({_SPLIT}) AS piece FROM documents)
+), f1 AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(w) AS phrase FROM pieces) GROUP BY ALL
+), f2 AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM pieces) GROUP BY ALL
+), f3 AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM pieces) GROUP BY ALL
+), total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang
+), cut AS (
+  SELECT lang, phrase, f, split_part(phrase, ' ', 1) AS x, split_part(phrase, ' ', 2) AS y, 1 AS k FROM f2 WHERE f >= 10
+  UNION ALL SELECT lang, phrase, f, split_part(phrase, ' ', 1), split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3), 1 FROM f3 WHERE f >= 10
+  UNION ALL SELECT lang, phrase, f, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3), 2 FROM f3 WHERE f >= 10
+), parts AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.f AS a, l.f AS l, r.f AS r, k, (1000000::HUGEINT * cut.f * cut.f) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN parts l ON l.lang = cut.lang AND l.phrase = x JOIN parts r ON r.lang = cut.lang AND r.phrase = y
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) AS phrase FROM f3 WHERE f >= 10
+    UNION ALL SELECT lang, f, split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3) FROM f3 WHERE f >= 10) GROUP BY ALL
+), kept AS (
+  SELECT lowest.*, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank
+  FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def _crc_of_nibble(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+#: The crc32 of a string, four bits at a time.
+_CRC = f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen({{text}}) * 2), lambda j: (strpos('0123456789ABCDEF', hex(encode({{text}}))[xor(j, 1) + 1]) - 1)::BIGINT)),
+  lambda c, b: xor(c >> 4, {[_crc_of_nibble(i) for i in range(16)]}[(xor(c, b) & 15) + 1])), 4294967295)"""
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6
+), counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS times FROM runs GROUP BY ALL
+), hashed AS (SELECT run, times, {_CRC.format(text="named")} AS h FROM counted
+), cut AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed
+), words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), variants AS (SELECT word, i, substring(word, 1, i::INT) || substring(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), shorter AS (SELECT DISTINCT v.word AS a, w.word AS b FROM variants v JOIN words w ON v.rest = w.word
+), near AS (
+  SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+  UNION SELECT x.word, y.word FROM variants x JOIN variants y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+), best AS (
+  SELECT a AS word, b AS form, n AS form_n, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN words ON words.word = b
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1
+), found AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS at, form AS next FROM found UNION ALL SELECT chain.word, found.word, found.form FROM chain JOIN found ON found.word = chain.next
+)
+SELECT found.word, found.form, chain.at AS root, found.n, found.n_near, found.form_n FROM found JOIN chain ON chain.word = found.word AND chain.next IS NULL
+"""
+
+SUBSTRINGS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)
+), earliest AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s HAVING count(*) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN earliest USING (s) WHERE m < doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_neardup": NEARDUP, "op4_rules": _rules(), "op5_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_warc": WARC, "op11_collocations": COLLOCATIONS, "op12_spelling": SPELLING, "op13_substrings": SUBSTRINGS}

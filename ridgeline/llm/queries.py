@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, linededup, neardup, packing, quality, rules, secrets, warc
+from . import collocations, decontamination, language, licenses, linededup, neardup, packing, quality, rules, secrets, spelling, substrings, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -100,4 +100,17 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_neardup, op4_rules, op5_decontamination, op6_language, op7_linededup, op8_licenses, op9_warc, op10_packing)}
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    done = substrings.drop_repeats(_table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_neardup, op4_rules, op5_decontamination, op6_language, op7_linededup, op8_licenses, op9_warc, op10_packing, op11_collocations, op12_spelling, op13_substrings)}
