@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.geo import PATH, haversine
 from ..functions.scalars import cluster_fingerprint, similarity_ratio
+from .written import forget, written
 
 
 def eligible(tracks: DataFrame, least_moving_s: float = 1.0) -> DataFrame:
@@ -96,35 +98,88 @@ def _keys(found: DataFrame) -> DataFrame:
     return found.where("distance_m > 0").select("track_id", "activity_type", "avg_speed_mps", "distance_m", "is_loop", kind.alias("kind"), F.col("samples")[0].alias("first"), F.col("samples")[C.ROUTE_SAMPLES - 1].alias("last"), "samples")
 
 
-def candidate_pairs(found: DataFrame) -> DataFrame:
+#: Any so many samples of a route hold one that is near a matching route's, as at most six of 64 are further apart than the 90th percentile may be.
+FEW = C.ROUTE_SAMPLES - int(np.ceil(C.ROUTE_SAMPLES * 0.9)) + 1
+#: Routes of one place and length that are compared in one square of a join.
+SQUARE = 1_024
+
+
+def _token(kind: Column, place: Column, cell: Column) -> Column:
+    """A place on a route: the cube, and for open routes the number of the sample; equal hashes of others only add candidates."""
+    return F.xxhash64(kind, F.when(kind == "open", place), cell["x"], cell["y"], cell["z"])
+
+
+def candidate_pairs(found: DataFrame, square: int = SQUARE) -> DataFrame:
     """``left_id, right_id`` (left below right) of all pairs that can match, and some that don't.
 
-    Open routes must start within 250 m of each other.  Of loops, all but six samples are within 250 m of one of
-    the other's, so of any seven one is.  Lengths within a tenth are in the same or neighbouring classes.  Only
-    ids and keys are shuffled here; nothing that could match is left out.
+    A prefix filter over tokens: routes are indexed by the cubes of all their samples, an open route's with the
+    sample's number.  A route looks up its seven rarest samples, in their cubes and the 26 around each, and routes
+    whose length is in the same or a neighbouring class.  Where many routes share a place and length, they are dealt
+    into squares.  Only ids and keys are shuffled; nothing that could match is left out.
     """
-    small = _keys(found).select(
-        "*",
-        _length_class(F.col("distance_m")).alias("class"),
-        F.when(F.col("is_loop"), F.slice("samples", 1, 7)).otherwise(F.slice("samples", 1, 1)).alias("_few"),
-        F.when(F.col("is_loop"), F.col("samples")).otherwise(F.slice("samples", 1, 1)).alias("_all"),
-    ).drop("samples")
-    drop = ("_few", "_all")
-    left = small.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform("_few", lambda p: _around(_cell(p))))))).withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))).drop(*drop)
-    right = small.withColumn("cell", F.explode(F.array_distinct(F.transform("_all", _cell)))).drop(*drop)
+    keys = _keys(found)
+    small = keys.drop("samples").withColumn("class", _length_class(F.col("distance_m")))
+    cells = keys.select("track_id", "kind", F.posexplode("samples").alias("place", "sample")).select("track_id", "kind", "place", _cell(F.col("sample")).alias("cell"))
+    tokens = cells.withColumn("token", _token(F.col("kind"), F.col("place"), F.col("cell")))
+    often = tokens.groupBy("token").agg(F.count_distinct("track_id").alias("often"))
+    rare = tokens.join(often, "token").groupBy("track_id", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "place", "cell"))), 1, FEW).alias("few"))
+    parts = F.ceil(F.col("often") / square).cast("int")
+    around = F.explode(F.array_distinct(F.flatten(F.transform("few", lambda f: F.transform(_around(f["cell"]), lambda c: F.struct(f["place"].alias("place"), c.alias("cell")))))))
+    probes = rare.select("track_id", "kind", around.alias("at")).select("track_id", _token(F.col("kind"), F.col("at.place"), F.col("at.cell")).alias("token")).distinct().join(often, "token")
+    part = lambda seed: F.pmod(F.xxhash64("track_id", F.lit(seed)), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = probes.select("track_id", "token", parts.alias("parts")).select("track_id", "token", part(1).alias("p"), every.alias("q")).join(small, "track_id").withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    index = tokens.select("track_id", "token").distinct().join(often, "token").select("track_id", "token", parts.alias("parts"))
+    right = index.select("track_id", "token", every.alias("p"), part(2).alias("q")).join(small, "track_id")
     a, b = left.alias("a"), right.alias("b")
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.track_id") < F.col("b.track_id")))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "p", "q", "class", "kind")]
+    pairs = a.join(b, functools.reduce(lambda x, y: x & y, same) & (F.col("a.track_id") < F.col("b.track_id")))
     kept = pairs.where(_compatible("a", "b") & _ends_meet("a", "b"))
     return kept.select(F.col("a.track_id").alias("left_id"), F.col("b.track_id").alias("right_id")).distinct()
 
 
-def _apart(left: Column, right: Column) -> Column:
-    return F.array_sort(F.zip_with(left, right, lambda p, q: haversine(p["lat"], p["lon"], q["lat"], q["lon"])))
+#: The places of the median and the 90th percentile among a pair's sorted distances, from 1.
+_RANKS = [int(np.ceil(C.ROUTE_SAMPLES * share)) for share in (0.5, 0.9)]
+#: Pairs whose shifts are counted together.
+_VOTED = 128
 
 
-def _ranks(distances: Column) -> list[Column]:
-    n = C.ROUTE_SAMPLES
-    return [F.element_at(distances, int(np.ceil(n * share))) for share in (0.5, 0.9)]
+def _votes(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndarray:
+    """For each pair and shift the samples in touching cubes of ``reach`` metres; positions are (pair, sample, lat or lon) in radians."""
+
+    def cubes(p):
+        lat, lon = p[..., 0], p[..., 1]
+        return np.floor(np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1) * (C.EARTH_RADIUS_M / reach)).astype(np.int32)
+
+    a, b = cubes(left), cubes(right)
+    touching = (np.abs(a[:, :, None, :] - b[:, None, :, :]) <= 1).all(axis=-1)
+    n = left.shape[1]
+    turned = (np.arange(n)[:, None] + np.arange(n)[None, :]) % n
+    return touching[:, np.arange(n)[:, None], turned].sum(axis=1)
+
+
+@F.pandas_udf(T.StructType([T.StructField("median", T.DoubleType()), T.StructField("p90", T.DoubleType()), T.StructField("shift", T.IntegerType())]))
+def _best_turn(left_lat: pd.Series, left_lon: pd.Series, right_lat: pd.Series, right_lon: pd.Series) -> pd.DataFrame:
+    """The rotation of the right loop of least median, 90th percentile and shift; not a number if no median can be near enough.
+
+    Samples vote: a shift whose median is within 120 m has half of its samples in touching cubes of that size.  Only
+    shifts with as many votes are measured.
+    """
+    out = np.full((len(left_lat), 2), np.nan)
+    turn = np.zeros(len(left_lat), dtype=np.int32)
+    for low in range(0, len(left_lat), _VOTED):
+        path = lambda lat, lon, low=low: np.radians(np.stack([np.stack(c.iloc[low : low + _VOTED].to_list()) for c in (lat, lon)], axis=-1))
+        a, b = path(left_lat, left_lon), path(right_lat, right_lon)
+        pair, shift = np.nonzero(_votes(a, b, C.MATCH_MEDIAN_M) >= _RANKS[0])
+        x, y = a[pair], b[pair[:, None], (np.arange(a.shape[1])[None, :] + shift[:, None]) % a.shape[1]]
+        h = np.sin((y[..., 0] - x[..., 0]) / 2) ** 2 + np.cos(x[..., 0]) * np.cos(y[..., 0]) * np.sin((y[..., 1] - x[..., 1]) / 2) ** 2
+        apart = np.sort(2 * C.EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h)), axis=1)
+        median, p90 = (apart[:, k - 1] for k in _RANKS)
+        order = np.lexsort((shift, p90, median, pair))
+        first = order[np.diff(pair[order], prepend=-1) > 0]
+        out[low + pair[first]] = np.stack([median[first], p90[first]], axis=1)
+        turn[low + pair[first]] = shift[first]
+    return pd.DataFrame({"median": out[:, 0], "p90": out[:, 1], "shift": turn})
 
 
 def scored_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,17 +190,13 @@ def scored_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     n = C.ROUTE_SAMPLES
     side = lambda p: found.select(F.col("track_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("samples", "distance_m", "is_loop")])
     rows = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-
-    def at(shift: Column) -> Column:
-        turned = F.concat(F.slice("right_samples", shift + 1, F.lit(n)), F.slice("right_samples", F.lit(1), shift))
-        ranks = _ranks(_apart(F.col("left_samples"), turned))
-        return F.struct(ranks[0].alias("median"), ranks[1].alias("p90"), shift.alias("shift"))
-
     # of any samples, too many apart by more than the 90th percentile may be rule an unrotated pair out
     far = [F.when(haversine(F.col("left_samples")[i]["lat"], F.col("left_samples")[i]["lon"], F.col("right_samples")[i]["lat"], F.col("right_samples")[i]["lon"]) > C.MATCH_P90_M, 1).otherwise(0) for i in range(0, n, 5)]
-    rows = rows.where(F.col("left_is_loop") | (functools.reduce(lambda x, y: x + y, far) <= n - int(np.ceil(n * 0.9))))
-    shifts = F.when(F.col("left_is_loop"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("best", F.array_min(F.transform(shifts, at))).where((F.col("best.median") <= C.MATCH_MEDIAN_M) & (F.col("best.p90") <= C.MATCH_P90_M))
+    straight = rows.where(~F.col("left_is_loop") & (functools.reduce(lambda x, y: x + y, far) < FEW))
+    apart = F.sort_array(F.zip_with("left_samples", "right_samples", lambda p, q: haversine(p["lat"], p["lon"], q["lat"], q["lon"])))
+    straight = straight.withColumn("apart", apart).withColumn("best", F.struct(F.element_at("apart", _RANKS[0]).alias("median"), F.element_at("apart", _RANKS[1]).alias("p90"), F.lit(0).alias("shift"))).drop("apart")
+    turned = rows.where("left_is_loop").withColumn("best", _best_turn("left_samples.lat", "left_samples.lon", "right_samples.lat", "right_samples.lon"))
+    rows = straight.unionByName(turned).where((F.col("best.median") <= C.MATCH_MEDIAN_M) & (F.col("best.p90") <= C.MATCH_P90_M))
     ratio = similarity_ratio(F.col("left_distance_m"), F.col("right_distance_m"))
     a, b, c = C.MATCH_WEIGHTS
     score = a * ratio + b * F.greatest(F.lit(0.0), 1 - F.col("best.median") / C.MATCH_MEDIAN_M) + c * F.greatest(F.lit(0.0), 1 - F.col("best.p90") / C.MATCH_P90_M)
@@ -164,68 +215,59 @@ def matches_of(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored_pairs(found, rows.where((F.col("a.kind") == F.col("b.kind")) & _compatible("a", "b") & _ends_meet("a", "b")).select("left_id", "right_id"))
 
 
-def _lasting(rows: DataFrame) -> DataFrame:
-    """Rows checkpointed in the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one if Spark runs on this machine alone."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ridgeline-"))
-    return rows.checkpoint()
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (its smallest node) of a graph: labels spread and are followed to their own label until none changes."""
-    edges = _lasting(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
+    edges = written(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
     labels = edges.groupBy(F.col("s").alias("node")).agg(F.least(F.min("t"), F.col("s")).alias("component"))
     while True:
         spread = edges.join(labels, F.col("t") == F.col("node")).groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(spread, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         via = labels.select(F.col("node").alias("new"), F.col("component").alias("via"))
-        new = _lasting(new.join(via, "new", "left").select("node", F.least("new", F.coalesce("via", "new")).alias("component"), "old"))
+        new = written(new.join(via, "new", "left").select("node", F.least("new", F.coalesce("via", "new")).alias("component"), "old"))
         labels = new.select("node", "component")
         if new.where(F.col("component") < F.col("old")).isEmpty():
             return labels
 
 
+def _settled(guess: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``key, choice`` once no choice changes any more: every round decides all keys anew from the choices of the last one.
+
+    A choice may depend on those of lower keys alone.  So each round settles at least the lowest key that isn't yet,
+    and all keys whose lower ones are, and what doesn't change is what taking the keys in order gives.
+    """
+    held = written(guess)
+    while True:
+        new = written(decide(held).select("key", "choice").join(held.select("key", F.col("choice").alias("before")), "key"))
+        forget(held)
+        if new.where(F.col("choice") != F.col("before")).isEmpty():
+            return new.select("key", "choice")
+        held = new
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """Complete-link groups: ``track_id, group_id``, a group's id being its smallest track; groups of one are left out.
 
-    Tracks are taken by rising id; each joins the group all of whose members it matches that has the highest mean
-    similarity, the earliest on ties, else starts one.  A group lies within a connected component of the match
-    graph, so components are dealt out and grouped apart.
+    Tracks count by rising id; each joins the group all of whose members it matches that has the highest mean
+    similarity, the earliest on ties, else starts one.  Means are taken of whole billionths, so equal ones are equal
+    in any order of addition.  All tracks decide at once, again and again, from what the lower ones decided last:
+    joins of matches with members and counts by track and group, in as many rounds as decisions depend on each other.
     """
-    kind = dict(pairs.dtypes)["left_id"]
-    of = components(pairs, "left_id", "right_id")
-    rows = pairs.join(of, pairs["left_id"] == of["node"]).select("component", "left_id", "right_id", "similarity")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, s in pdf[["left_id", "right_id", "similarity"]].itertuples(index=False):
-            near.setdefault(a, {})[b] = s
-            near.setdefault(b, {})[a] = s
-        made: list[list] = []
-        of: dict = {}
-        for track in sorted(near):
-            sums: dict[int, list] = {}
-            for other, s in near[track].items():
-                if other in of:
-                    sums.setdefault(of[other], []).append((other, s))
-            best = None
-            for g, found in sums.items():
-                if len(found) == len(made[g]):
-                    by_joining = dict(found)
-                    mean = sum(by_joining[m] for m in made[g]) / len(found)
-                    if best is None or (mean, -g) > best:
-                        best = (mean, -g)
-            if best is None:
-                made.append([])
-            g = len(made) - 1 if best is None else -best[1]
-            made[g].append(track)
-            of[track] = g
-        return pd.DataFrame([(t, m[0]) for m in made if len(m) > 1 for t in m], columns=["track_id", "group_id"])
-
-    return rows.groupBy("component").applyInPandas(greedy, f"track_id {kind}, group_id {kind}")
+    links = written(pairs.select(F.col("left_id").alias("other"), F.col("right_id").alias("key"), F.round(F.col("similarity") * 1e9).cast("bigint").alias("units")))
+    tracks = written(links.select("key").union(links.select("other")).distinct())
+    in_order = Window.partitionBy("choice").orderBy("key")
+
+    def decide(held: DataFrame) -> DataFrame:
+        members = held.select(F.col("key").alias("other"), F.col("choice").alias("group"), F.row_number().over(in_order).alias("place"), F.lead("key").over(in_order).alias("next"))
+        seen = links.join(members, "other").groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"), F.max(F.struct("other", "place", "next")).alias("last"))
+        # all members up to the last one that it matches are matched, and none stands between that one and the track
+        whole = seen.where((F.col("n") == F.col("last.place")) & F.coalesce(F.col("last.next") >= F.col("key"), F.lit(True)))
+        best = whole.groupBy("key").agg(F.min(F.struct((-F.col("units") / F.col("n")).alias("below"), "group")).alias("best"))
+        return tracks.join(best, "key", "left").select("key", F.coalesce("best.group", "key").alias("choice"))
+
+    first = links.groupBy("key").agg(F.min("other").alias("other"))
+    found = _settled(tracks.join(first, "key", "left").select("key", F.coalesce("other", "key").alias("choice")), decide)
+    shared = found.groupBy("choice").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice")
+    return found.join(shared, "choice").select(F.col("key").alias("track_id"), F.col("choice").alias("group_id"))
 
 
 def _within(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,33 +312,28 @@ def clusters(members: DataFrame, pairs: DataFrame, tracks: DataFrame) -> DataFra
 def reconcile(members: DataFrame, existing: DataFrame) -> DataFrame:
     """``group_id, cluster_id``: which existing cluster each new group carries on, null if none.
 
-    ``existing``: ``cluster_id, track_id``.  Groups are taken by rising id; each takes the unused cluster that it
-    shares most tracks with, the lowest id on ties.  Groups and clusters that share nothing don't affect each
-    other, so the components of what they share are dealt out.
+    ``existing``: ``cluster_id, track_id``.  Groups count by rising id; each takes the cluster that no lower one takes
+    and that it shares most tracks with, the lowest id on ties.
     """
-    shared = members.join(existing, "track_id").groupBy("group_id", "cluster_id").agg(F.count(F.lit(1)).alias("overlap"))
-    names = shared.withColumns({"a": F.concat(F.lit("g"), F.col("group_id").cast("string")), "b": F.concat(F.lit("c"), F.col("cluster_id").cast("string"))})
-    of = components(names, "a", "b")
-    kinds = dict(shared.dtypes)
+    shared = written(members.join(existing, "track_id").groupBy(F.col("group_id").alias("key"), "cluster_id").agg(F.count(F.lit(1)).alias("overlap")))
+
+    def choose(free: DataFrame) -> DataFrame:
+        best = free.groupBy("key").agg(F.min(F.struct((-F.col("overlap")).alias("below"), "cluster_id")).alias("best"))
+        return shared.select("key").distinct().join(best, "key", "left").select("key", F.struct(F.col("best.cluster_id").isNull().alias("none"), F.col("best.cluster_id").alias("cluster_id")).alias("choice"))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, found = set(), []
-        for group, own in pdf.groupby("group_id", sort=True):
-            free = own[~own.cluster_id.isin(used)].sort_values(["overlap", "cluster_id"], ascending=[False, True])
-            if len(free):
-                used.add(free.cluster_id.iloc[0])
-                found.append((group, free.cluster_id.iloc[0]))
-        return pd.DataFrame(found, columns=["group_id", "cluster_id"])
+    def decide(held: DataFrame) -> DataFrame:
+        taken = held.where(~F.col("choice.none")).groupBy(F.col("choice.cluster_id").alias("cluster_id")).agg(F.min("key").alias("by"))
+        return choose(shared.join(taken, "cluster_id", "left").where(F.col("by").isNull() | (F.col("by") >= F.col("key"))))
 
-    taken = names.join(of, names["a"] == of["node"]).select("component", "group_id", "cluster_id", "overlap").groupBy("component").applyInPandas(assign, f"group_id {kinds['group_id']}, cluster_id {kinds['cluster_id']}")
-    return members.select("group_id").distinct().join(taken, "group_id", "left")
+    found = _settled(choose(shared), decide).select(F.col("key").alias("group_id"), F.col("choice.cluster_id").alias("cluster_id"))
+    return members.select("group_id").distinct().join(found, "group_id", "left")
 
 
 def rebuild(tracks: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
     """From eligible tracks and their paths: ``features``, ``pairs``, ``memberships`` and ``clusters``."""
-    found = _lasting(features(eligible(tracks), paths))
-    pairs = _lasting(matches(found))
-    members = _lasting(groups(pairs))
+    found = written(features(eligible(tracks), paths))
+    pairs = written(matches(found))
+    members = written(groups(pairs))
     return {"features": found, "pairs": pairs, "memberships": memberships(members, pairs), "clusters": clusters(members, pairs, tracks)}
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import heart_rate_edges
 from ..functions import geo, scalars
 from ..operators import heart_rate, imports, points, portfolio, progress, routes, segments, sensors, summary
+from ..operators.written import written
 from .adapters import features, loops, view
 from .library_sql import LIBRARY
 from .points_sql import POINTS
@@ -138,7 +139,7 @@ def _route_matches(spark, folder):
 
 
 def _route_groups(spark, folder):
-    pairs = routes.matches(features(spark, folder))
+    pairs = written(routes.matches(features(spark, folder)))
     return _plain(routes.memberships(routes.groups(pairs), pairs))
 
 
