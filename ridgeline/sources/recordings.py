@@ -8,6 +8,7 @@ once, then take ``recordings`` and ``points`` from it.  Spark's source doesn't l
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from . import fit, gpx, osf
+from . import archives, fit, gpx, osf
 from .errors import Unreadable
 
 CHUNK = 10_000
@@ -58,26 +59,55 @@ def _rows(path: str, entry: str | None, kind: str, content: bytes | None, error:
 _COLUMNS = [part.split(" ")[0] for part in _SCHEMA.split(", ")][:12] + ["points"]
 
 
+def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    for row in rows:
+        yield pd.DataFrame([row]).reindex(columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
+
+
+def _of_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, kind, content in frame.itertuples(index=False):
+            if content is None:
+                yield from _frames(_rows(path, None, kind, None, "file too large"))
+            elif kind == "osf":
+                yield from _frames(row for entry, body, error in osf.entries(content) for row in _rows(path, entry, "gpx", body, error))
+            else:
+                yield from _frames(_rows(path, None, kind, content))
+
+
+def _of_entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, entry, content, error in frame.itertuples(index=False):
+            yield from _frames(_rows(path, entry, "gpx", content, error))
+
+
 def read(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Header and point rows of all recordings below a folder; archives give one recording an entry."""
+    """Header and point rows of all recordings below a folder; archives give one recording an entry.
+
+    Archives are read entry by entry, whatever their size, in stores that ``archives`` opens; in others as one value
+    each.  Files beyond their kind's limit, or beyond what Spark holds as one value, are error rows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     files = files.withColumn("kind", format_of(F.col("path"))).where("kind IS NOT NULL")
-    limit = F.when(F.col("kind") == "fit", C.MAX_FIT_BYTES).when(F.col("kind") == "gpx", C.MAX_FILE_BYTES).otherwise(C.MAX_EXPANDED_BYTES)
-    files = files.select("path", "kind", (F.col("length") > limit).alias("long"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, kind, long, content in frame.itertuples(index=False):
-                if long:
-                    found = _rows(path, None, kind, None, "file too large")
-                elif kind == "osf":
-                    found = (row for entry, body, error in osf.entries(content) for row in _rows(path, entry, "gpx", body, error))
-                else:
-                    found = _rows(path, None, kind, content)
-                for row in found:
-                    yield pd.DataFrame([row]).reindex(columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
-
-    return files.mapInPandas(work, _SCHEMA)
+    apart = archives.opens(folder)
+    if apart:
+        files = files.where("kind <> 'osf'")
+    held = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    limit = F.least(F.lit(held), F.when(F.col("kind") == "fit", C.MAX_FIT_BYTES).when(F.col("kind") == "gpx", C.MAX_FILE_BYTES).otherwise(C.MAX_EXPANDED_BYTES))
+    # a filter on the length alone reaches the source, which then doesn't open what is longer
+    small = files.where((F.col("length") <= held) & (F.col("length") <= limit)).select("path", "kind", "content")
+    large = files.where(F.col("length") > limit).select("path", "kind", F.lit(None).cast("binary").alias("content"))
+    found = small.unionAll(large).mapInPandas(_of_files, _SCHEMA)
+    if not apart:
+        return found
+    entries = archives.read(spark, folder).where(_like(F.col("path"), glob)).select("path", "entry", "content", "error")
+    return found.unionAll(entries.mapInPandas(_of_entries, _SCHEMA))
+
+
+def _like(path, glob: str):
+    """Whether the file name matches a pattern of ``*`` and ``?``, as ``pathGlobFilter`` would have it."""
+    own = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
+    return F.regexp_extract(path, r"([^/]*)$", 1).rlike(f"^{own}$")
 
 
 def recordings(read_rows: DataFrame) -> DataFrame:
