@@ -131,7 +131,8 @@ def repeated_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str
     First pass: every task counts the anchors of its windows, and the merged sketch tells which anchors may occur in
     a second document.  Second pass: only their windows are grouped, by the 64-bit hashes of anchor and window
     together.  The windows of an anchor go together, as an extent: equal extents are one row before windows are
-    compared, so neither copies nor shared passages multiply rows.
+    compared, so neither copies nor shared passages multiply rows, and where an anchor has but one extent its windows
+    need no comparison.
     """
     spark = documents.sparkSession
     kind, scratch = dict(documents.dtypes)[id_col], Scratch(spark, "substrings")
@@ -141,19 +142,28 @@ def repeated_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("id", K.arrow_type(documents, id_col)), ("digest", pa.int64()), ("anchor", pa.int64()), ("extent", pa.int64()), ("first", pa.int64()), ("windows", pa.list_(pa.int64()))])
     ddl = f"id {kind}, digest bigint, anchor bigint, extent bigint, first bigint, windows array<bigint>"
     held = scratch.write(texts.mapInArrow(_repeated(filled, window, gram, schema), ddl), "held")
-    extents = scratch.write(held.groupBy("anchor", "extent").agg(F.min("id").alias("least"), F.any_value("windows").alias("windows")), "extents")
-    each = extents.select("anchor", "extent", "least", F.posexplode("windows").alias("k", "window"))
-    earliest = each.groupBy("anchor", "window").agg(F.min("least").alias("earliest"))
-    known = each.drop("least").join(earliest, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.sort_array(F.collect_list(F.struct("k", "earliest"))).alias("known"))
-    known = scratch.write(known, "known")
+    extents = scratch.write(held.groupBy("anchor", "extent").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("windows").alias("windows")), "extents")
+    places = scratch.write(held.drop("windows"), "places")
+    scratch.drop(held)
+    several = extents.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    judged = scratch.write(extents.join(several, "anchor").where("several or least < most"), "judged")
     scratch.drop(extents)
-    found = held.drop("windows").join(known, ["anchor", "extent"])
+    alone = judged.where("not several").select("anchor", "extent", F.transform("windows", lambda _, k: F.struct(k.alias("k"), F.col("least").alias("earliest"))).alias("known"))
+    each = judged.where("several").select("anchor", "extent", "least", "most", F.posexplode("windows").alias("k", "window"))
+    shared = scratch.write(each.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    known = each.join(shared, ["anchor", "window"], "left").withColumn("earliest", F.coalesce("first", "least"))
+    known = known.groupBy("anchor", "extent").agg(F.sort_array(F.collect_list(F.struct("k", "earliest"))).alias("known"), F.min("earliest").alias("earliest"), F.max("most").alias("most"))
+    known = scratch.write(known.where("earliest < most").select("anchor", "extent", "known").unionByName(alone), "known")
+    scratch.drop(judged, shared)
+    found = places.join(known, ["anchor", "extent"])
     ks = F.transform(F.filter("known", lambda x: x["earliest"] < F.col("id")), lambda x: F.col("first") + x["k"])
     found = found.select("id", "digest", ks.alias("ks")).where(F.size("ks") > 0)
     whole = F.element_at("ks", -1) - F.element_at("ks", 1) + 1 == F.size("ks")
     span = lambda a, b: F.struct(a.alias("first"), b.alias("end"))
     ranges = F.when(whole, F.array(span(F.element_at("ks", 1), F.element_at("ks", -1) + 1))).otherwise(F.transform("ks", lambda k: span(k, k + 1)))
-    return found.select("id", "digest", F.explode(ranges).alias("range")).groupBy("id", "digest").agg(F.collect_set("range").alias("ranges"))
+    found = scratch.write(found.select("id", "digest", F.explode(ranges).alias("range")).groupBy("id", "digest").agg(F.collect_set("range").alias("ranges")), "ranges")
+    scratch.keep(found)
+    return found
 
 
 def _kept(window: int, schema: pa.Schema):
