@@ -73,19 +73,25 @@ def _distance(lat1, lon1, lat2, lon2):
 _PASS = [("valid", pa.bool_(), "boolean"), ("derived_speed_mps", pa.float64(), "double"), ("gps_delta_m", pa.float64(), "double"), ("gps_delta_ms", pa.int64(), "bigint"), ("gain_m", pa.float64(), "double"), ("loss_m", pa.float64(), "double")]
 
 
-def _accept_fixes(batches):
-    """The acceptance pass over rows sorted by track and position; a track may span batches.
+class Acceptance:
+    """The acceptance pass over rows in order of track and position, batch by batch; a track may span batches.
 
     Runs of fixes that each follow plausibly from the one before are judged together; only where one doesn't
     is the anchor (the last accepted fix) and the pending fix (rejected, but maybe the new place) followed singly.
+    Both are ``(key, latitude, longitude, milliseconds, elevation)`` or None, and are all that lasts between batches.
     """
-    anchor = pending = None  # (key, latitude, longitude, milliseconds, elevation)
-    for batch in batches:
+
+    def __init__(self, anchor: tuple | None = None, pending: tuple | None = None):
+        self.anchor, self.pending = anchor, pending
+
+    def run(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        """The batch without ``_ms`` and with the new columns; None if it has no rows."""
+        anchor, pending = self.anchor, self.pending
         n = batch.num_rows
         if not n:
-            continue
-        column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-        number = lambda c: column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            return None
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        number = lambda c: column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
         keys = list(zip(*(column(c).to_pylist() for c in SEGMENT), strict=True))
         lat, lon, ele, ms = number("latitude"), number("longitude"), number("elevation_m"), number("_ms")
         warm = column("gps_warmup").to_numpy(zero_copy_only=False).astype(bool)
@@ -100,12 +106,12 @@ def _accept_fixes(batches):
         out_speed, out_dist, out_ms, out_climb = np.where(same, speed, np.nan), np.where(same, dist, 0.0), np.where(same, dt, np.nan), np.where(same, climb, np.nan)
 
         def step(start, i):
-            d = float(_distance(start[1], start[2], lat[i], lon[i]))  # noqa: B023
-            seconds = (ms[i] - start[3]) / 1000  # noqa: B023
+            d = float(_distance(start[1], start[2], lat[i], lon[i]))
+            seconds = (ms[i] - start[3]) / 1000
             return d, seconds, d / seconds if seconds > 0 else math.nan
 
         def put(i, accepted, v=math.nan, d=0.0, seconds=math.nan, up=math.nan):
-            valid[i], out_speed[i], out_dist[i], out_ms[i], out_climb[i] = accepted, v, d, seconds * 1000, up  # noqa: B023
+            valid[i], out_speed[i], out_dist[i], out_ms[i], out_climb[i] = accepted, v, d, seconds * 1000, up
 
         irregular = np.flatnonzero(warm | (same & ~ok))
         i = 0
@@ -148,7 +154,16 @@ def _accept_fixes(batches):
         whole = pa.array(np.where(np.isnan(out_ms), 0, np.round(out_ms)).astype(np.int64), pa.int64(), mask=np.isnan(out_ms))
         new = [pa.array(valid), maybe(out_speed), pa.array(out_dist, pa.float64()), whole, pa.array(gain, pa.float64()), pa.array(loss, pa.float64())]
         kept = [c for c in batch.schema.names if c != "_ms"]
-        yield pa.RecordBatch.from_arrays([*(column(c) for c in kept), *new], names=[*kept, *(x[0] for x in _PASS)])
+        self.anchor, self.pending = anchor, pending
+        return pa.RecordBatch.from_arrays([*(column(c) for c in kept), *new], names=[*kept, *(x[0] for x in _PASS)])
+
+
+def _accept_fixes(batches):
+    held = Acceptance()
+    for batch in batches:
+        found = held.run(batch)
+        if found is not None:
+            yield found
 
 
 def accept_fixes(points: DataFrame) -> DataFrame:
