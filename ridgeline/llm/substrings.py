@@ -145,15 +145,18 @@ def repeated_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str
     extents = scratch.write(held.groupBy("anchor", "extent").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.any_value("windows").alias("windows")), "extents")
     places = scratch.write(held.drop("windows"), "places")
     scratch.drop(held)
-    several = extents.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
-    judged = scratch.write(extents.join(several, "anchor").where("several or least < most"), "judged")
+    count = extents.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    judged = scratch.write(extents.join(count, "anchor").where("several or least < most"), "judged")
     scratch.drop(extents)
-    alone = judged.where("not several").select("anchor", "extent", F.transform("windows", lambda _, k: F.struct(k.alias("k"), F.col("least").alias("earliest"))).alias("known"))
-    each = judged.where("several").select("anchor", "extent", "least", "most", F.posexplode("windows").alias("k", "window"))
-    shared = scratch.write(each.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
-    known = each.join(shared, ["anchor", "window"], "left").withColumn("earliest", F.coalesce("first", "least"))
-    known = known.groupBy("anchor", "extent").agg(F.sort_array(F.collect_list(F.struct("k", "earliest"))).alias("known"), F.min("earliest").alias("earliest"), F.max("most").alias("most"))
-    known = scratch.write(known.where("earliest < most").select("anchor", "extent", "known").unionByName(alone), "known")
+    several = judged.where("several")
+    windows = several.select("anchor", "least", F.explode("windows").alias("window"))
+    shared = scratch.write(windows.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    places_of = several.select("anchor", "extent", F.posexplode("windows").alias("k", "window"))
+    met = places_of.join(shared, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.map_from_entries(F.collect_list(F.struct("k", "first"))).alias("firsts"))
+    own = judged.select("anchor", "extent", "least", "most", F.size("windows").alias("n"))
+    earliest = lambda k: F.coalesce(F.try_element_at("firsts", k), F.col("least"))
+    known = own.join(met, ["anchor", "extent"], "left").withColumn("known", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(k.alias("k"), earliest(k).alias("earliest"))))
+    known = scratch.write(known.where(F.exists("known", lambda x: x["earliest"] < F.col("most"))).select("anchor", "extent", "known"), "known")
     scratch.drop(judged, shared)
     found = places.join(known, ["anchor", "extent"])
     ks = F.transform(F.filter("known", lambda x: x["earliest"] < F.col("id")), lambda x: F.col("first") + x["k"])
