@@ -109,13 +109,15 @@ def _token(kind: Column, place: Column, cell: Column) -> Column:
     return F.xxhash64(kind, F.when(kind == "open", place), cell["x"], cell["y"], cell["z"])
 
 
-def candidate_pairs(found: DataFrame, square: int = SQUARE) -> DataFrame:
+def candidate_pairs(found: DataFrame, probing: DataFrame | None = None, square: int = SQUARE) -> DataFrame:
     """``left_id, right_id`` (left below right) of all pairs that can match, and some that don't.
 
     A prefix filter over tokens: routes are indexed by the cubes of all their samples, an open route's with the
     sample's number.  A route looks up its seven rarest samples, in their cubes and the 26 around each, and routes
     whose length is in the same or a neighbouring class.  Where many routes share a place and length, they are dealt
     into squares.  Only ids and keys are shuffled; nothing that could match is left out.
+
+    With ``probing`` (``track_id``), only routes of these ids look others up: the pairs with at least one of them.
     """
     keys = _keys(found)
     small = keys.drop("samples").withColumn("class", _length_class(F.col("distance_m")))
@@ -123,6 +125,7 @@ def candidate_pairs(found: DataFrame, square: int = SQUARE) -> DataFrame:
     tokens = cells.withColumn("token", _token(F.col("kind"), F.col("place"), F.col("cell")))
     often = tokens.groupBy("token").agg(F.count_distinct("track_id").alias("often"))
     rare = tokens.join(often, "token").groupBy("track_id", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "place", "cell"))), 1, FEW).alias("few"))
+    rare = rare if probing is None else rare.join(probing, "track_id", "left_semi")
     parts = F.ceil(F.col("often") / square).cast("int")
     around = F.explode(F.array_distinct(F.flatten(F.transform("few", lambda f: F.transform(_around(f["cell"]), lambda c: F.struct(f["place"].alias("place"), c.alias("cell")))))))
     probes = rare.select("track_id", "kind", around.alias("at")).select("track_id", _token(F.col("kind"), F.col("at.place"), F.col("at.cell")).alias("token")).distinct().join(often, "token")
@@ -133,9 +136,10 @@ def candidate_pairs(found: DataFrame, square: int = SQUARE) -> DataFrame:
     right = index.select("track_id", "token", every.alias("p"), part(2).alias("q")).join(small, "track_id")
     a, b = left.alias("a"), right.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "p", "q", "class", "kind")]
-    pairs = a.join(b, functools.reduce(lambda x, y: x & y, same) & (F.col("a.track_id") < F.col("b.track_id")))
+    x, y = F.col("a.track_id"), F.col("b.track_id")
+    pairs = a.join(b, functools.reduce(lambda c, d: c & d, same) & (x < y if probing is None else x != y))
     kept = pairs.where(_compatible("a", "b") & _ends_meet("a", "b"))
-    return kept.select(F.col("a.track_id").alias("left_id"), F.col("b.track_id").alias("right_id")).distinct()
+    return kept.select(F.least(x, y).alias("left_id"), F.greatest(x, y).alias("right_id")).distinct()
 
 
 #: The places of the median and the 90th percentile among a pair's sorted distances, from 1.
@@ -203,8 +207,9 @@ def scored_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.where(ratio >= C.MATCH_RATIO).select("left_id", "right_id", score.alias("similarity"), ratio.alias("distance_ratio"), F.col("best.median").alias("median_distance_m"), F.col("best.p90").alias("p90_distance_m"), F.col("best.shift").alias("alignment"))
 
 
-def matches(found: DataFrame) -> DataFrame:
-    return scored_pairs(found, candidate_pairs(found))
+def matches(found: DataFrame, probing: DataFrame | None = None) -> DataFrame:
+    """The pairs of routes that match; with ``probing``, those with at least one of these ids."""
+    return scored_pairs(found, candidate_pairs(found, probing))
 
 
 def matches_of(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -330,11 +335,53 @@ def reconcile(members: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def rebuild(tracks: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
-    """From eligible tracks and their paths: ``features``, ``pairs``, ``memberships`` and ``clusters``."""
+    """From tracks and their paths: ``features``, ``pairs``, ``memberships`` and ``clusters``, all written."""
     found = written(features(eligible(tracks), paths))
     pairs = written(matches(found))
     members = written(groups(pairs))
-    return {"features": found, "pairs": pairs, "memberships": memberships(members, pairs), "clusters": clusters(members, pairs, tracks)}
+    return {"features": found, "pairs": pairs, "memberships": written(memberships(members, pairs)), "clusters": written(clusters(members, pairs, tracks))}
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``track_id, other_id`` both ways."""
+    return pairs.select(F.col("left_id").alias("track_id"), F.col("right_id").alias("other_id")).unionAll(pairs.select("right_id", "left_id"))
+
+
+def _reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The tracks that the seeds reach over pairs, themselves included; only the last round's finds are followed."""
+    ends = _ends(pairs)
+    reached = frontier = written(seeds.select("track_id").distinct())
+    while True:
+        frontier = written(ends.join(frontier, "track_id").select(F.col("other_id").alias("track_id")).distinct().join(reached, "track_id", "left_anti"))
+        if frontier.isEmpty():
+            return reached
+        reached = written(reached.unionAll(frontier))
+
+
+def update(stored: dict[str, DataFrame], tracks: DataFrame, paths: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
+    """What ``rebuild`` would give, from its last tables and the ids (``track_id``) of tracks that came, changed or went.
+
+    ``tracks`` and ``paths`` are as they are now.  Only changed routes look others up; pairs of unchanged ones stay.
+    Groups are formed anew where a changed track is, or was, connected; all others stay, with their rows.
+    """
+    changed = written(changed.select("track_id").distinct())
+    without = lambda rows, *by: functools.reduce(lambda left, c: left.join(changed.withColumnRenamed("track_id", c), c, "left_anti"), by, rows)
+    new = features(eligible(tracks.join(changed, "track_id", "left_semi")), paths.join(changed, "track_id", "left_semi"))
+    found = written(without(stored["features"], "track_id").unionByName(new))
+    fresh = written(matches(found, changed))
+    pairs = written(without(stored["pairs"], "left_id", "right_id").unionByName(fresh))
+    near = _ends(stored["pairs"]).unionAll(_ends(fresh)).join(changed, "track_id", "left_semi").select(F.col("other_id").alias("track_id"))
+    touched = _reached(changed.unionAll(near), pairs)
+    apart = pairs.join(touched.withColumnRenamed("track_id", "left_id"), "left_id", "left_semi")
+    members = written(groups(apart))
+    gone = written(stored["memberships"].join(touched, "track_id", "left_semi").select("group_id").distinct())
+    keep = lambda rows: rows.join(gone, "group_id", "left_anti")
+    return {
+        "features": found,
+        "pairs": pairs,
+        "memberships": written(keep(stored["memberships"]).unionByName(memberships(members, apart))),
+        "clusters": written(keep(stored["clusters"]).unionByName(clusters(members, apart, tracks))),
+    }
 
 
 def by_recency(*keys: str):
