@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -174,7 +175,8 @@ def template_matches(text: str | None, templates: dict[str, str], threshold: flo
 def without_hits(text: str | None, items: list[tuple[str, str]], size: int = 10, drop_share: float = 0.5) -> tuple[bool, str | None]:
     """(kept, text without the spans of words that lie in windows of the items)."""
     places = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text or ""))]
-    words = [fold(text)[a:b] for a, b in places] if text else []
+    lowered = fold(text or "")
+    words = [lowered[a:b] for a, b in places]
     hit = set()
     for _, own in items:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(own or ""))
@@ -191,3 +193,80 @@ def without_hits(text: str | None, items: list[tuple[str, str]], size: int = 10,
         out.append(text[at:a] if a > at else "")
         at = places[i][1]
     return len(hit) <= drop_share * len(words), "".join(out) + text[at:]
+
+
+def collocation_rows(rows: list[tuple[str | None, str | None]], longest: int = 3, least: int = 10, absorbed: int = 50, top: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from rows (lang, text)."""
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", fold(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for size in range(1, longest + 1):
+                counts.update((lang, tuple(words[i : i + size])) for i in range(len(words) - size + 1))
+    candidates = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= least}
+    gone = {(lang, p[i : i + size]) for (lang, p), f in candidates.items() for size in range(2, len(p)) for i in range(len(p) - size + 1) if 100 * f >= absorbed * counts[lang, p[i : i + size]]}
+    out = []
+    for lang in totals:
+        scored = []
+        for (of, p), a in candidates.items():
+            if of == lang and (of, p) not in gone:
+                score, k = min((1000000 * a * a // (counts[lang, p[:k]] * counts[lang, p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, totals[lang], -score) for i, (score, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
+    return out
+
+
+def one_edit_apart(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling_words(rows: list[tuple], least_length: int = 6, least: int = 5, one_in: int = 199) -> dict[str, int]:
+    found = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = fold(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += len(run) >= least_length
+    return {w: n for w, n in found.items() if n >= least and len(w) >= least_length}
+
+
+def spelling_rows(words: dict[str, int], ratio: int = 5) -> dict[str, tuple]:
+    """word -> (n, n_near, form, form_n, root); every pair of words is compared."""
+    near = {w: [x for x in words if one_edit_apart(w, x)] for w in words}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (n, len(near[w]), form[w], words.get(form[w]), root(w)) for w, n in words.items()}
+
+
+def kept_words(rows: list[tuple], window: int = 50) -> list[tuple[int, int, str]]:
+    """(words, words removed, text left) of each row (id, text)."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    first: dict = {}
+    for (i, _), words in zip(rows, split):
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            w = tuple(words[k : k + window])
+            first[w] = min(i, first.get(w, i))
+    out = []
+    for (i, _), words in zip(rows, split):
+        gone = set()
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            if first[tuple(words[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        out.append((len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    return out
