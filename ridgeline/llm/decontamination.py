@@ -76,13 +76,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
                     columns = [pa.array(np.full(len(texts), size, np.int32)), pa.array(hashes[fits].view(np.int64)), pa.array(texts, pa.binary()), batch.column(0).take(pa.array(of[fits] + first))]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     return rows.mapInArrow(task, "size int, hash bigint, words binary, item string").distinct()
 
 
 def _parts(windows: DataFrame, part_bytes: int) -> tuple[int, Callable[[int], WindowSet]]:
     """The number of parts that hold about ``part_bytes`` each, and a function that fetches one of them."""
-    total = windows.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 24), F.lit(0)).alias("n")).first().n
+    total = windows.agg(F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 24), F.lit(0)).alias("n")).first().n
     parts = -(-total // part_bytes)
     return parts, lambda p: WindowSet(windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(parts)) == p).toArrow())
 
@@ -94,7 +94,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     occurrence, the items (distinct, sorted as strings) and the hit ranges as byte offsets
     ``array<struct<start,end>>`` of the UTF-8 text, merged where they touch.  Null and empty texts have no
     words.  Items with fewer words than a window form one window of their own; items without words never
-    hit.  Repeated item rows count once, rows without an item_id don't count, repeated documents give a row each.
+    hit.  Repeated item rows count once; the windows of rows without an item_id hit words but name no item; repeated
+    documents give a row each.
 
     The driver holds and broadcasts one part of about ``part_bytes`` of windows at a time; with several parts, the
     documents are written between parts with the hits so far.
@@ -138,10 +139,10 @@ def _scan(index_of, carry: bool):
         for d, (i, j, own) in zip(of.tolist(), found):
             marked[i] += 1
             marked[j] -= 1
-            items.setdefault(d, set()).update(own)
+            items.setdefault(d, set()).update(own - {None})
         hit = np.cumsum(marked[:-1]) > 0
         ranges: dict[int, list[tuple[int, int]]] = {}
-        for d in items:
+        for d in np.unique(words.documents()[hit]).tolist():
             a, b = words.bounds[d], words.bounds[d + 1]
             own = np.flatnonzero(hit[a:b])
             cut = np.flatnonzero(np.diff(own) > 1)
