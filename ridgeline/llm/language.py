@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import within_bytes
+from .storage import Scratch
 
 #: A sentencepiece model file whose pieces are the vocabulary.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -274,18 +274,27 @@ def train(samples: dict[str, list[str]], pieces: Pieces, rounds: int = ROUNDS, s
 
 
 def training_texts(documents: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCUMENTS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
-    """Texts of each language from the eligible rows with a language: an expected ``most`` rows each, chosen by id hash,
-    and of these as many, by hash of the text, as ``most_bytes`` hold."""
+    """Distinct texts of each language from the eligible rows with a language: an expected ``most`` rows each, chosen by id hash.
+
+    The languages share ``SAMPLE_TOTAL`` rows and ``most_bytes`` equally.  A language's texts are taken by hash of the
+    text; the one that passes its share of the bytes is cut there, and every language keeps the start of one at least.
+    """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(eligible)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not counts:
-        return {}
-    most = max(1, min(most, SAMPLE_TOTAL // len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, most / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 24)) < F.try_element_at(share, "lang") * (1 << 24)).select("lang", "text")
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 24)))
+    scratch = Scratch(documents.sparkSession, "languages")
+    counts = scratch.write(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")), "counts")
+    languages = counts.count()
+    share = max(1, min(most, SAMPLE_TOTAL // max(languages, 1)))
+    room = max(1, most_bytes // max(languages, 1))
+    chosen = rows.join(counts, "lang").where((F.col("place") * F.col("n") < share * (1 << 24)) | (F.col("place") == F.col("least")))
+    own = F.octet_length("text")
+    held = scratch.write(chosen.select("lang", "text").distinct().withColumn("h", F.xxhash64("text")), "texts")
+    before = F.sum(own).over(Window.partitionBy("lang").orderBy("h", "text")) - own
+    kept = held.withColumn("left", room - before).where("left > 0").select("lang", F.expr("substring(text, 1, cast(left as int))").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(within_bytes(chosen, "text", most_bytes), key=lambda r: (r.lang, r.text)):
+    for r in sorted(kept.collect()):
         out.setdefault(r.lang, []).append(r.text)
+    scratch.close()
     return out
 
 
