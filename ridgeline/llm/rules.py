@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -152,7 +154,7 @@ def verdicts(measured: DataFrame, fences: DataFrame, groups: tuple[str, ...] = (
     """
     right = fences.select(*[F.col(g).alias(f"_{g}") for g in groups], *[c for c in fences.columns if c not in groups])
     on = [measured[g].eqNullSafe(right[f"_{g}"]) for g in groups]
-    joined = measured.join(right, on[0] & on[1], "left")
+    joined = measured.join(right, functools.reduce(lambda a, b: a & b, on), "left")
     broken = [F.when((F.col(m) > F.col(f"high_{m}")) | ((F.col(m) < F.col(f"low_{m}")) if m == "mean_word" else F.lit(False)), F.lit(m)) for m in MEASURES]
     judged = joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.filter(F.array(*broken), lambda x: x.isNotNull()))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
