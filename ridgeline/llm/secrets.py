@@ -45,8 +45,6 @@ LEAST_RATIO, LEAST_TOTAL = 0.7, 12.0
 RUN = 0.7
 #: A state's unseen symbols share this probability.
 UNSEEN = 1e-3
-#: Credentials of a kind that it takes to learn an automaton.
-LEAST_LABELLED = 10
 
 _HEX = K.byte_class((0x30, 0x39), (0x61, 0x66))
 _TOKEN = K.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), *[(ord(c),) * 2 for c in "+/_.=-"])
@@ -224,7 +222,7 @@ class Formats:
     """An automaton for each kind with enough labelled credentials, one for ordinary tokens, and plain runs."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = {kind: Automaton([symbols(s) for s in found]) for kind, found in sorted(labelled.items()) if len(found) >= LEAST_LABELLED}
+        self.kinds = {kind: Automaton([symbols(s) for s in found]) for kind, found in sorted(labelled.items()) if found}
         n = len(SYMBOLS)
         same, other = math.log(RUN), math.log((1 - RUN) / (n - 1))
         run = (np.array([[same if s == c else other for c in range(n)] for s in range(n)] + [[-math.log(n)] * n]), np.tile(np.arange(n), (n + 1, 1)), np.full(n + 1, 0.0), n)
@@ -317,8 +315,9 @@ def _base(data: np.ndarray, offsets: np.ndarray, tokens: tuple) -> tuple[dict[in
             before = np.r_[0, np.cumsum(K.starts_of_characters(data[offsets[d] : offsets[d + 1]]))]
             i, j = np.searchsorted(of, [d, d + 1]).tolist()
             a, b = before[starts[i:j] - offsets[d]], before[ends[i:j] - offsets[d]]
-            for start, end, _, _ in own:
-                free[i:j] &= (b <= start) | (a >= end)
+            spans = np.array(sorted((start, end) for start, end, _, _ in own))
+            reach = np.r_[0, np.maximum.accumulate(spans[:, 1])]  # by number of spans that start before: how far they go
+            free[i:j] = reach[np.searchsorted(spans[:, 0], b)] <= a
     return found, free
 
 
@@ -404,12 +403,13 @@ def secret_scan(documents: DataFrame, formats: Formats, id_col: str = "doc_id",
         _, first, back = np.unique(K.span_hashes_any(data, starts, ends, K.EXACT), return_index=True, return_inverse=True)
         ratio = formats.scores(data, starts[first], ends[first])[back]
         good = np.flatnonzero((ratio >= LEAST_TOTAL) & (ratio >= LEAST_RATIO * (ends - starts)))
-        taken: dict[int, list[tuple[int, int]]] = {}
+        taken = np.zeros(len(data), dtype=bool)
+        characters = np.r_[0, np.cumsum(K.starts_of_characters(data))]
         for k in good[np.lexsort((starts[good], -ratio[good]))].tolist():
             d, i, j = int(of[k]), int(starts[k]), int(ends[k])
-            if not any(a < j and i < b for a, b in taken.get(d, ())):
-                taken.setdefault(d, []).append((i, j))
-                start = int(np.count_nonzero(K.starts_of_characters(data[offsets[d] : i])))
+            if not taken[i:j].any():
+                taken[i:j] = True
+                start = int(characters[i] - characters[offsets[d]])
                 out[d].append({"kind": LEARNT, "start": start, "end": start + j - i, "score": float(ratio[k]) / (j - i)})
         return ([sorted(own, key=lambda x: (x["start"], order[x["kind"]])) for own in out],)
 
