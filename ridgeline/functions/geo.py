@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +71,21 @@ def polyline_encode(points: Column, precision: int = 5) -> Column:
     return F.array_join(steps, "")
 
 
+def encode_polyline(points: list[tuple[float, float]], precision: int = 5) -> str:
+    """``polyline_encode`` of a list of (lat, lon), for SQL."""
+    out, before = [], (0, 0)
+    for point in points:
+        scaled = tuple(int(math.copysign(math.floor(abs(x) * 10**precision + 0.5), x)) for x in point)
+        for a, b in zip(before, scaled, strict=True):
+            value = (b - a) * 2 if b >= a else (a - b) * 2 - 1
+            while value > 31:
+                out.append(chr((value & 31 | 32) + 63))
+                value >>= 5
+            out.append(chr(value + 63))
+        before = scaled
+    return "".join(out)
+
+
 def decode_polyline(text: str, precision: int = 5) -> list[tuple[float, float]]:
     """(lat, lon) pairs of an encoded polyline; a truncated last number is left out."""
     numbers, value, shift = [], 0, 0

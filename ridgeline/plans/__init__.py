@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import heart_rate_edges
+from .. import functions
 from ..functions import geo, scalars
-from ..operators import heart_rate, imports, points, portfolio, progress, routes, segments, sensors, summary
+from ..operators import constraints, heart_rate, imports, lifecycle, points, portfolio, progress, routes, segments, sensors, summary
+from ..operators import profiles as profiled
 from ..operators.written import written
 from .adapters import features, loops, view
 from .library_sql import LIBRARY
+from .bookkeeping_sql import BOOKKEEPING
 from .points_sql import POINTS
 from .routes_sql import ROUTES
 
@@ -211,6 +214,31 @@ def _activity_ids(spark, folder):
     return spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", scalars.activity_id(F.col("p_type")).alias("activity_type"))
 
 
+def _hr_selection_sql(spark, folder):
+    functions.register(spark)
+    return _plain(spark.sql("SELECT * FROM interval_selection(TABLE({spans}), 63, 240.5D)", spans=_timeline(spark, folder)))
+
+
+def _constraint_report(spark, folder):
+    return constraints.report({name: view(spark, folder, f"stored_{name}") for name in ("tracks", "items", "memberships")} | {"points": view(spark, folder, "points")})
+
+
+def _quarantined_rows(spark, folder):
+    rows = constraints.quarantine(view(spark, folder, "stored_memberships"), constraints.CATALOGUE["memberships"])
+    return rows.where(F.size("broken") > 0).select("cluster_id", "track_id", F.round("similarity", 4).alias("similarity"), F.array_join(F.array_sort("broken"), ";").alias("broken"))
+
+
+def _steps(spark, folder):
+    return lifecycle.steps(view(spark, folder, "item_events"))
+
+
+def _zone_revisions(spark, folder):
+    profiles = view(spark, folder, "profiles").withColumn("edges", F.lit(None).cast("array<int>"))
+    tracks = profiled.with_profile(view(spark, folder, "tracks"), profiles)
+    rows = profiled.zones(view(spark, folder, "beats"), tracks)
+    return _plain(rows.select("track_id", "zone_revision", *[F.col("zone_seconds")[i].alias(f"zone_{i + 1}") for i in range(5)]))
+
+
 def _lower(s: DataFrame) -> DataFrame:
     return s.drop("band_order", "label")
 
@@ -225,7 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_processing": _tracks(lambda t: portfolio.list_tracks(t, "processing", "ide% 1"), "track_id", "name", "status", "started_at"),
     "compare_tracks": _tracks(lambda t: portfolio.compare_payload(portfolio.compare_tracks(t, [7, 3, 1, 5, 2]))),
     "latest_track": _tracks(portfolio.latest_complete, "track_id", "started_at"),
-    "portfolio_summary": lambda spark, folder: _portfolio_summary(spark, folder).withColumnsRenamed({"earliest_ms": "earliest_ms", "latest_ms": "latest_ms"}),
+    "portfolio_summary": _portfolio_summary,
     "monthly_totals": _tracks(portfolio.monthly_totals),
     "share_summary": _tracks(lambda t: portfolio.share_summary(t, "1998-03-01", "1998-04-01")),
     "share_activity": _tracks(portfolio.share_activity),
@@ -283,8 +311,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "development": _of_sensors(lambda d, s: sensors.development(s)),
     "speed_sensor": _of_sensors(sensors.speed_sensor_summary, "track_id", "covered_s", "moving_s", "distance_source", "distance_m", "gps_distance_m", "median_difference_kmh", "gps_gap_s"),
     "pedaling_overview": _of_sensors(lambda d, s: sensors.pedaling_overview(sensors.cadence_summary(d, s))),
+    "hr_selection_sql": _hr_selection_sql,
+    "constraint_report": _constraint_report,
+    "quarantined_rows": _quarantined_rows,
+    "lifecycle_states": lambda spark, folder: _plain(lifecycle.states(_steps(spark, folder)), "item_id", "status", "progress", "error", "n_steps", "n_illegal"),
+    "lifecycle_quarantine": lambda spark, folder: lifecycle.quarantined(_steps(spark, folder)).select("event_id", "item_id", "status", "before", "reason"),
+    "zone_revisions": _zone_revisions,
     "geo_functions": _geo,
     "activity_ids": _activity_ids,
 }
 
-ORACLES: dict[str, str] = {**LIBRARY, **POINTS, **ROUTES}
+ORACLES: dict[str, str] = {**LIBRARY, **POINTS, **ROUTES, **BOOKKEEPING, "hr_selection_sql": POINTS["hr_selection"]}

@@ -64,6 +64,18 @@ FROM (
 SELECT s_suppkey AS track_id, s_suppkey % 20 AS cluster_id, concat('Loop ', CAST(s_suppkey AS STRING)) AS name, 'complete' AS status, CAST(DATE '2024-01-01' + INTERVAL '1' DAY * (s_suppkey % 300) AS TIMESTAMP) AS started_at,
   10000e0 + s_suppkey % 4 * 300 AS distance_m, 2000e0 AS moving_s, 5e0 AS avg_speed_mps, 65e0 + s_suppkey % 31 AS quality_score, CASE WHEN s_suppkey % 9 = 1 THEN 'run' WHEN s_suppkey % 9 > 0 THEN 'ride' END AS activity_type
 FROM supplier""",
+    "stored_tracks": """
+SELECT CAST(track_id % 4000 AS STRING) AS sha256, concat('r/', CAST(item_id AS STRING)) AS original_path, concat(CAST(item_id AS STRING), '.gpx') AS source_filename, CASE WHEN track_id % 31 = 0 THEN ' ' WHEN track_id % 37 <> 0 THEN 'Ride' END AS name,
+  CAST(track_id % 104 - 1 AS INTEGER) AS progress, CASE WHEN track_id % 50 = 7 THEN 'lost' WHEN track_id % 50 <> 8 THEN 'complete' END AS status, CASE WHEN track_id % 3 = 0 THEN 'gpx' WHEN track_id % 61 = 1 THEN 'tcx' ELSE 'fit' END AS source_format
+FROM (SELECT l_orderkey * 10 + l_linenumber AS item_id, l_orderkey AS track_id FROM lineitem) r""",
+    "stored_items": "SELECT l_suppkey AS archive_id, l_linenumber AS position, CASE WHEN l_orderkey % 43 <> 0 THEN concat('rides/', CAST(l_partkey AS STRING), '.gpx') END AS path, CASE WHEN l_orderkey % 29 <> 0 THEN 'GPX' END AS type, CASE l_returnflag WHEN 'A' THEN 'extracted' WHEN 'R' THEN 'gone' ELSE 'complete' END AS status FROM lineitem",
+    "stored_memberships": "SELECT o_custkey AS cluster_id, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderkey - o_orderkey % 2 END AS track_id, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 23 * 5e-2 END AS similarity FROM orders",
+    "item_events": """
+SELECT item_id, happened_at, event_id, CASE WHEN event_id % 41 = 0 THEN 'failed' WHEN event_id % 97 = 0 THEN 'lost' ELSE CASE (r + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 5 WHEN 1 THEN 'queued' WHEN 2 THEN 'parsing' WHEN 3 THEN 'analyzing' WHEN 4 THEN 'indexing' ELSE CASE WHEN event_id % 3 = 0 THEN 'insufficient_data' ELSE 'complete' END END END AS status,
+  CASE WHEN event_id % 41 = 0 THEN concat('error ', CAST(event_id % 9 AS STRING)) END AS error
+FROM (SELECT user_id AS item_id, ts AS happened_at, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) e""",
+    "profiles": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS revision, CAST(DATE '1992-03-01' + INTERVAL '1' DAY * (n_nationkey * 90) AS TIMESTAMP) AS valid_from, CASE WHEN n_nationkey % 7 = 3 THEN 'none' ELSE 'maximum' END AS mode, CAST(160 + n_nationkey * 3 AS INTEGER) AS maximum FROM nation",
+    "beats": "SELECT l_orderkey AS track_id, CAST(25 + l_partkey % 220 AS INTEGER) AS bpm, l_quantity * 1e0 AS seconds FROM lineitem",
     "vectors": "SELECT vec_id AS track_id, embedding, CAST(label AS STRING) AS activity_type, 10000e0 + (vec_id % 13) * 50 AS distance_m, 5e0 AS avg_speed_mps FROM embeddings",
 }
 
@@ -73,7 +85,7 @@ def view_sql(name: str) -> str:
     return VIEWS[name].strip()
 
 
-_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings"}
+_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings", "stored_tracks": "lineitem", "stored_items": "lineitem", "stored_memberships": "orders", "item_events": "events", "profiles": "nation", "beats": "lineitem"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
