@@ -232,6 +232,22 @@ POINTS |= {
 ), c AS (SELECT CAST(unnest(generate_series(greatest((SELECT min(week) FROM w), DATE '2024-04-01' - 721), DATE '2024-04-01', INTERVAL 7 DAY)) AS DATE) AS week)
 SELECT CAST(c.week AS STRING) AS week, tracks, {_R('covered', 'covered_s')}, {_R('load', 'load')} FROM c LEFT JOIN w USING (week)""",
 }
+#: A rolling integral peaks at a sample's edge or where its slope, linear in between, is zero; places are found by as-of joins.
+POINTS["hr_duration_curve"] = f""", joined AS (SELECT track_id, segment_position, position, start_ms / 1000e0 AS s, end_ms / 1000e0 AS e, h0, h1, CASE WHEN lag(end_ms) OVER o = start_ms AND lag(segment_position) OVER o = segment_position THEN 0 ELSE 1 END AS opens FROM spans WHERE hr_ok WINDOW o AS (PARTITION BY track_id ORDER BY position)
+), runs AS (SELECT *, sum(opens) OVER (PARTITION BY track_id ORDER BY position) AS run FROM joined
+), pre AS MATERIALIZED (SELECT *, coalesce(sum((h0 + h1) / 2 * (e - s)) OVER (PARTITION BY track_id, run ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before, min(s) OVER (PARTITION BY track_id, run) AS f, max(e) OVER (PARTITION BY track_id, run) AS l FROM runs
+), d AS (SELECT unnest([60, 300, 600, 1200]) AS d
+), edges AS (SELECT DISTINCT track_id, run, d, t FROM (SELECT track_id, run, d, f, l, unnest([f, l - d, e, e - d]) AS t FROM pre CROSS JOIN d) WHERE t >= f AND t + d <= l
+), slope AS (SELECT g.track_id, g.run, g.d, t, b.h0 + (b.h1 - b.h0) * least(greatest(t + g.d - b.s, 0), b.e - b.s) / (b.e - b.s) - a.h0 - (a.h1 - a.h0) * least(greatest(t - a.s, 0), a.e - a.s) / (a.e - a.s) AS rise
+  FROM (SELECT *, t + d AS u FROM edges) g ASOF JOIN pre a ON a.track_id = g.track_id AND a.run = g.run AND g.t <= a.e ASOF JOIN pre b ON b.track_id = g.track_id AND b.run = g.run AND g.u <= b.e
+), turns AS (SELECT track_id, run, d, t + (t2 - t) * rise / (rise - rise2) AS t FROM (SELECT *, lead(t) OVER o AS t2, lead(rise) OVER o AS rise2 FROM slope WINDOW o AS (PARTITION BY track_id, run, d ORDER BY t)) WHERE rise * rise2 < 0
+), starts AS (SELECT *, t + d AS u FROM (SELECT * FROM edges UNION ALL SELECT * FROM turns)
+), area AS (SELECT g.track_id, g.run, g.d, t,
+  (b.before + b.h0 * least(greatest(u - b.s, 0), b.e - b.s) + (b.h1 - b.h0) / (b.e - b.s) * pow(least(greatest(u - b.s, 0), b.e - b.s), 2) / 2 - a.before - a.h0 * least(greatest(t - a.s, 0), a.e - a.s) - (a.h1 - a.h0) / (a.e - a.s) * pow(least(greatest(t - a.s, 0), a.e - a.s), 2) / 2) / g.d AS mean
+  FROM starts g ASOF JOIN pre a ON a.track_id = g.track_id AND a.run = g.run AND g.t <= a.e ASOF JOIN pre b ON b.track_id = g.track_id AND b.run = g.run AND g.u <= b.e
+), top AS (SELECT * FROM area QUALIFY row_number() OVER (PARTITION BY track_id, d ORDER BY mean DESC, t) = 1
+), wanted AS (SELECT DISTINCT track_id, d.d FROM pre CROSS JOIN d)
+SELECT track_id, w.d AS duration_s, {_R('mean', 'average_bpm')}, {_R('t', 'start_s')}, {_R('t + w.d', 'end_s')} FROM wanted w LEFT JOIN top USING (track_id, d)"""
 POINTS = {name: derived_sql() + sql for name, sql in POINTS.items()}
 
 POINTS |= {
