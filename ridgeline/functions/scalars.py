@@ -137,24 +137,6 @@ def default_name(filename: Column) -> Column:
     return F.replace(F.regexp_replace(F.regexp_extract(filename, r"([^/]*)$", 1), r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
 
 
-def display_distance(m: Column) -> Column:
-    return F.when(m.isNull(), "—").when(m >= 1000, F.format_string("%.1f km", m / 1000)).otherwise(F.format_string("%.0f m", m))
-
-
-def display_speed(mps: Column) -> Column:
-    return F.when(mps.isNull(), "—").otherwise(F.format_string("%.1f km/h", mps * 3.6))
-
-
-def display_duration(seconds: Column) -> Column:
-    s = F.round(seconds).cast("bigint")
-    hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(s.isNull(), "—").when(hours > 0, F.format_string("%dh %02dm", hours, minutes)).when(minutes > 0, F.format_string("%dm %02ds", minutes, s % 60)).otherwise(F.format_string("%ds", s))
-
-
-def display_percent_change(x: Column) -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.concat(F.when(x > 0, "+").otherwise(""), F.format_string("%.1f%%", x)))
-
-
 def gear_ratio(development: Column, wheel_m: float = 2.1) -> Column:
     """Metres a crank turn over metres a wheel turn."""
     return F.round(development / wheel_m, 2)

@@ -6,7 +6,7 @@ measures.  What depends on today takes it as ``as_of``.  Ties are broken by ``tr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -33,6 +33,19 @@ def list_tracks(tracks: DataFrame, status: str | None = None, term: str | None =
     return rows.orderBy(F.desc_nulls_last("started_at"), F.desc("inserted_at"), "track_id").limit(limit)
 
 
+def track_by_id(tracks: DataFrame, track_id) -> DataFrame:
+    """The track of an id, one row or none."""
+    return tracks.where(F.col("track_id") == F.lit(track_id))
+
+
+def fetch_track(tracks: DataFrame, track_id) -> Row:
+    """The track of an id.  Raises LookupError if there is none."""
+    found = track_by_id(tracks, track_id).first()
+    if found is None:
+        raise LookupError(f"no track {track_id}")
+    return found
+
+
 def compare_tracks(tracks: DataFrame, ids: list[int]) -> DataFrame:
     """Up to four analysed tracks in the order asked for."""
     wanted = ids[: C.COMPARE_LIMIT]

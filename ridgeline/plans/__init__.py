@@ -6,14 +6,15 @@ rounded to four decimals, finer than the inputs, for comparison.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import heart_rate_edges
+from ..config import MATCHER_VERSION, heart_rate_edges
 from .. import functions
-from ..functions import geo, scalars
+from ..functions import display, geo, scalars
 from ..operators import constraints, heart_rate, imports, lifecycle, points, portfolio, progress, routes, segments, sensors, summary
 from ..operators import profiles as profiled
 from ..operators.written import written
@@ -239,6 +240,46 @@ def _zone_revisions(spark, folder):
     return _plain(rows.select("track_id", "zone_revision", *[F.col("zone_seconds")[i].alias(f"zone_{i + 1}") for i in range(5)]))
 
 
+def _display_formats(tracks):
+    c = F.col
+    shown = {
+        "distance": display.distance(c("distance_m")), "elevation": display.elevation(c("elevation_gain_m")), "speed": display.speed(c("best_5km_speed_mps")), "bpm": display.bpm(c("quality_score") * 2), "rpm": display.rpm(c("quality_score")),
+        "change": display.percent_change((c("elevation_gain_m") - 350) / 7), "elapsed": display.elapsed_time(c("moving_s")), "duration": display.duration(c("moving_s") - 300), "compact": display.compact_number(c("distance_m") * 37), "percent": display.percent(c("quality_score")),
+        "local_date": display.local_date(c("started_at")), "short_date": display.short_date(c("started_at")), "label": display.status_label(F.when(c("track_id") % 2 == 0, "insufficient_data").otherwise(c("status"))),
+    }
+    return tracks.select("track_id", *[text.alias(name) for name, text in shown.items()])
+
+
+def _marked_items(spark, folder):
+    return imports.mark_items(view(spark, folder, "items"), view(spark, folder, "tracks").where("track_id % 3 > 0")).groupBy("archive_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _route_status(spark, folder):
+    eligible = routes.eligible(view(spark, folder, "tracks"))
+    built = eligible.agg(F.count(F.lit(1)).alias("eligible_count"), F.lit(MATCHER_VERSION).alias("matcher_version"), F.to_timestamp(F.lit("1998-08-02 10:00:00")).alias("built_at"))
+    now = eligible.count()
+    cases = [("ready", built, now, "1998-08-03 09:59:59"), ("old", built, now, "1998-08-03 10:00:00"), ("grown", built, now + 1, "1998-08-02 11:00:00"), ("none", built.where("false"), now, "1998-08-02 11:00:00")]
+    found = [progress.staleness(rows, n, as_of).select(F.lit(name).alias("case"), "status", F.lit(n).cast("bigint").alias("eligible_count")) for name, rows, n, as_of in cases]
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def _sector_comparison(spark, folder):
+    return _plain(progress.sector_comparison(view(spark, folder, "riders"), view(spark, folder, "sector_speeds")))
+
+
+def _focus_window(spark, folder):
+    rows = _derived(spark, folder).where("valid").withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("position")) - 1)
+    return _plain(portfolio.focus_window(rows.select("track_id", "i", (F.col("cumulative_m") / 1000).alias("distance_km")), 2.0).drop("nearest"))
+
+
+def _route_features(spark, folder):
+    points = view(spark, folder, "points")
+    paths = points.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "latitude", "longitude"))), lambda p: F.struct(p["latitude"].alias("lat"), p["longitude"].alias("lon"))).alias("path"))
+    tracks = points.groupBy("track_id").agg(F.lit(5000.0).alias("distance_m"), F.lit(5.0).alias("avg_speed_mps"), F.lit("ride").alias("activity_type"), (F.lit(0.9) + F.col("track_id") % 10 / 100).alias("loop_score"))
+    found = routes.features(tracks, paths).select("track_id", "is_loop", "direction", F.posexplode("samples").alias("i", "p"))
+    return _plain(found.select("track_id", "is_loop", "direction", "i", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude")), decimals=7)
+
+
 def _lower(s: DataFrame) -> DataFrame:
     return s.drop("band_order", "label")
 
@@ -317,6 +358,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lifecycle_states": lambda spark, folder: _plain(lifecycle.states(_steps(spark, folder)), "item_id", "status", "progress", "error", "n_steps", "n_illegal"),
     "lifecycle_quarantine": lambda spark, folder: lifecycle.quarantined(_steps(spark, folder)).select("event_id", "item_id", "status", "before", "reason"),
     "zone_revisions": _zone_revisions,
+    "display_formats": _tracks(_display_formats),
+    "track_lookup": _tracks(lambda t: portfolio.track_by_id(t, 7), "track_id", "name", "status", "distance_m"),
+    "marked_items": _marked_items,
+    "route_status": _route_status,
+    "speed_chart": _tracks(lambda t: portfolio.speed_chart(portfolio.speed_history(t))),
+    "sector_comparison": _sector_comparison,
+    "focus_window": _focus_window,
+    "route_features": _route_features,
     "geo_functions": _geo,
     "activity_ids": _activity_ids,
 }

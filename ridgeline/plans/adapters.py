@@ -75,6 +75,7 @@ SELECT item_id, happened_at, event_id, CASE WHEN event_id % 41 = 0 THEN 'failed'
   CASE WHEN event_id % 41 = 0 THEN concat('error ', CAST(event_id % 9 AS STRING)) END AS error
 FROM (SELECT user_id AS item_id, ts AS happened_at, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) e""",
     "profiles": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS revision, CAST(DATE '1992-03-01' + INTERVAL '1' DAY * (n_nationkey * 90) AS TIMESTAMP) AS valid_from, CASE WHEN n_nationkey % 7 = 3 THEN 'none' ELSE 'maximum' END AS mode, CAST(160 + n_nationkey * 3 AS INTEGER) AS maximum FROM nation",
+    "sector_speeds": "SELECT l_suppkey AS track_id, l_linenumber AS number, avg(l_quantity) / 5 AS speed_mps FROM lineitem GROUP BY l_suppkey, l_linenumber",
     "beats": "SELECT l_orderkey AS track_id, CAST(25 + l_partkey % 220 AS INTEGER) AS bpm, l_quantity * 1e0 AS seconds FROM lineitem",
     "vectors": "SELECT vec_id AS track_id, embedding, CAST(label AS STRING) AS activity_type, 10000e0 + (vec_id % 13) * 50 AS distance_m, 5e0 AS avg_speed_mps FROM embeddings",
 }
@@ -85,7 +86,7 @@ def view_sql(name: str) -> str:
     return VIEWS[name].strip()
 
 
-_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings", "stored_tracks": "lineitem", "stored_items": "lineitem", "stored_memberships": "orders", "item_events": "events", "profiles": "nation", "beats": "lineitem"}
+_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings", "stored_tracks": "lineitem", "stored_items": "lineitem", "stored_memberships": "orders", "item_events": "events", "profiles": "nation", "beats": "lineitem", "sector_speeds": "lineitem"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

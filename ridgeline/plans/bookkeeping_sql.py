@@ -1,8 +1,9 @@
-"""DuckDB SQL of validation, lifecycles and zones by revision."""
+"""DuckDB SQL of validation, lifecycles, zones by revision, display and smaller lookups."""
 
 from __future__ import annotations
 
 from .adapters import view_sql
+from .points_sql import derived_sql, hav
 
 _STORED = f"tracks AS ({view_sql('stored_tracks')}), items AS ({view_sql('stored_items')}), memberships AS ({view_sql('stored_memberships')}), points AS ({view_sql('points')})"
 
@@ -61,3 +62,41 @@ SELECT n.item_id, status, CASE status WHEN 'queued' THEN 0 WHEN 'parsing' THEN 1
 ), zoned AS (SELECT track_id, revision AS zone_revision, seconds, CASE WHEN bpm < 30 OR bpm >= 241 THEN 0 ELSE 1 + (bpm >= floor(maximum * 6 / 10 + 5e-1))::INT + (bpm >= floor(maximum * 7 / 10 + 5e-1))::INT + (bpm >= floor(maximum * 8 / 10 + 5e-1))::INT + (bpm >= floor(maximum * 9 / 10 + 5e-1))::INT END AS zone FROM beats JOIN held USING (track_id))
 SELECT track_id, zone_revision, {', '.join(f"round(coalesce(sum(seconds) FILTER (zone = {z}), 0e0), 4) AS zone_{z}" for z in range(1, 6))} FROM zoned GROUP BY track_id, zone_revision""",
 }
+
+_TRACKS = f"WITH tracks AS ({view_sql('tracks')})"
+_DONE = f"{_TRACKS}, dated AS (SELECT * FROM tracks WHERE status = 'complete' AND started_at IS NOT NULL)"
+
+
+def _number(value: str, decimals: int, unit: str) -> str:
+    return f"coalesce(printf('%.{decimals}f', round(({value})::DOUBLE, {decimals})) || '{unit}', '—')"
+
+
+_MOVED, _TOOK, _MANY, _CHANGE = "greatest(round(moving_s), 0)::BIGINT", "greatest(round(moving_s - 300), 0)::BIGINT", "distance_m * 37", "(elevation_gain_m - 350) / 7"
+_ELIGIBLE = f"{_TRACKS}, e AS (SELECT count(*) AS n FROM tracks WHERE status = 'complete' AND started_at IS NOT NULL AND distance_m >= 500 AND moving_s >= 1 AND quality_score >= 70)"
+
+BOOKKEEPING |= {
+    "display_formats": f"""{_TRACKS} SELECT track_id, CASE WHEN distance_m >= 1000 THEN {_number("distance_m / 1000", 1, " km")} ELSE {_number("distance_m", 0, " m")} END AS distance, {_number("elevation_gain_m", 0, " m")} AS elevation, {_number("best_5km_speed_mps * 36e-1", 1, " km/h")} AS speed, {_number("quality_score * 2", 0, " bpm")} AS bpm, {_number("quality_score", 0, " rpm")} AS rpm,
+  CASE WHEN abs({_CHANGE}) < 5e-2 THEN '0%' ELSE CASE WHEN {_CHANGE} > 0 THEN '+' ELSE '−' END || printf('%.1f', round(abs({_CHANGE}), 1)) || '%' END AS change, printf('%d:%02d', {_MOVED} // 60, {_MOVED} % 60) AS elapsed,
+  CASE WHEN {_TOOK} >= 3600 THEN printf('%dh %02dm', {_TOOK} // 3600, {_TOOK} % 3600 // 60) WHEN {_TOOK} >= 60 THEN printf('%dm', {_TOOK} // 60) ELSE printf('%ds', {_TOOK}) END AS duration,
+  CASE WHEN {_MANY} >= 1000000 THEN {_number(f"{_MANY} / 1000000", 1, "m")} WHEN {_MANY} >= 1000 THEN {_number(f"{_MANY} / 1000", 1, "k")} ELSE {_number(_MANY, 0, "")} END AS compact, {_number("quality_score", 0, "%")} AS percent,
+  coalesce(strftime(started_at, '%b %-d, %Y · %-I:%M %p'), 'No timestamp') AS local_date, coalesce(strftime(started_at, '%b %-d, %Y'), 'Undated') AS short_date, CASE WHEN track_id % 2 = 0 THEN 'Needs data' WHEN status = 'complete' THEN 'Complete' ELSE 'Analyzing' END AS label FROM tracks""",
+    "track_lookup": f"{_TRACKS} SELECT track_id, name, status, round(distance_m, 4) AS distance_m FROM tracks WHERE track_id = 7",
+    "marked_items": f"{_TRACKS}, items AS ({view_sql('items')}) SELECT archive_id, coalesce(t.status, i.status) AS status, count(*) AS n FROM items i LEFT JOIN (SELECT * FROM tracks WHERE track_id % 3 > 0) t ON t.track_id = i.track_id GROUP BY ALL",
+    "route_status": f"""{_ELIGIBLE} SELECT 'ready' AS "case", 'ready' AS status, n AS eligible_count FROM e UNION ALL SELECT 'old', 'stale', n FROM e UNION ALL SELECT 'grown', 'stale', n + 1 FROM e UNION ALL SELECT 'none', 'missing', n FROM e""",
+    "speed_chart": f"""{_DONE} SELECT track_id, epoch_ms(started_at) AS started_ms, round(best_1km_speed_mps * 36e-1, 2) AS speed_kmh, round(median(best_1km_speed_mps) OVER (ORDER BY started_at, track_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) * 36e-1, 2) AS median_kmh,
+  round(max(best_1km_speed_mps) OVER (ORDER BY started_at, track_id ROWS UNBOUNDED PRECEDING) * 36e-1, 2) AS record_kmh FROM dated""",
+    "sector_comparison": f"""WITH riders AS ({view_sql('riders')}), speeds AS ({view_sql('sector_speeds')}), ranked AS (SELECT cluster_id, track_id, row_number() OVER (PARTITION BY cluster_id ORDER BY started_at DESC, track_id DESC) AS r FROM riders
+), both_of AS (SELECT cluster_id, number, max(speed_mps) FILTER (r = 1) AS x, median(speed_mps) FILTER (r > 1) AS y FROM ranked JOIN speeds USING (track_id) WHERE r <= 6 GROUP BY ALL
+), d AS (SELECT *, CASE WHEN y > 0 THEN (x - y) / y * 100 END AS p FROM both_of)
+SELECT cluster_id, number, round(x, 4) AS latest_speed_mps, round(y, 4) AS baseline_speed_mps, round(p, 4) AS delta_percent, CASE WHEN p IS NULL THEN 'building' WHEN p > 2 THEN 'faster' WHEN p < -2 THEN 'slower' ELSE 'steady' END AS direction FROM d""",
+    "focus_window": f"""{derived_sql()}, s AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY position) - 1 AS i, cumulative_m / 1000 AS km FROM derived WHERE valid
+), n AS (SELECT *, first_value(i) OVER (PARTITION BY track_id ORDER BY abs(km - 2), i) AS nearest FROM s)
+SELECT track_id, i::INTEGER AS i, round(km, 4) AS distance_km FROM n WHERE abs(km - 2) <= 1e-1 OR abs(i - nearest) <= 1""",
+    "route_features": f"""WITH points AS ({view_sql('points')}), step AS (SELECT track_id, position, latitude AS lat, longitude AS lon, coalesce({hav('lag(latitude) OVER o', 'lag(longitude) OVER o', 'latitude', 'longitude')}, 0e0) AS m FROM points WINDOW o AS (PARTITION BY track_id ORDER BY position)
+), along AS (SELECT *, sum(m) OVER (PARTITION BY track_id ORDER BY position) AS a FROM step
+), kept AS MATERIALIZED (SELECT track_id, lat, lon, a, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(a) OVER w AS a2 FROM (SELECT * FROM along QUALIFY row_number() OVER (PARTITION BY track_id, a ORDER BY position) = 1) WINDOW w AS (PARTITION BY track_id ORDER BY a)
+), wanted AS (SELECT track_id, i, total * i / 63 AS t FROM (SELECT track_id, max(a) AS total FROM along GROUP BY track_id HAVING max(a) > 0) CROSS JOIN generate_series(0, 63) g(i)
+), sample AS (SELECT w.track_id, i, CASE WHEN a2 IS NULL THEN lat ELSE lat + (lat2 - lat) * (t - a) / (a2 - a) END AS lat, CASE WHEN a2 IS NULL THEN lon ELSE lon + (lon2 - lon) * (t - a) / (a2 - a) END AS lon FROM wanted w ASOF JOIN kept k ON k.track_id = w.track_id AND w.t >= k.a
+), turn AS (SELECT a.track_id, sum(a.lon * b.lat - b.lon * a.lat) AS area FROM sample a JOIN sample b ON b.track_id = a.track_id AND b.i = (a.i + 1) % 64 GROUP BY a.track_id)
+SELECT track_id, 9e-1 + track_id % 10 / 1e2 >= 95e-2 AS is_loop, CASE WHEN area >= 0 THEN 'counterclockwise' ELSE 'clockwise' END AS direction, i::INTEGER AS i, round(lat, 7) AS latitude, round(lon, 7) AS longitude FROM sample JOIN turn USING (track_id)""",
+}

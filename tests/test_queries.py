@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 FOLDER, LARGER_FOLDER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-FAST = ["speed_history", "speed_history_year", "records", "recent_delta", "portfolio_summary", "share_summary", "weekly_volume", "effort_trends", "import_counters", "route_trends", "heatmap", "points_derived", "kilometre_splits", "best_efforts", "stops", "peak_speeds", "hr_summary", "hr_zones", "hr_sectors", "hr_selection", "cadence_summary", "terrain", "speed_sensor", "route_matches", "geo_functions", "route_cells", "renderings", "pedaling_overview", "hr_weekly_load", "hr_cadence_lock", "hr_drift", "route_list", "route_details", "route_of_track"]
+FAST = ["speed_history", "speed_history_year", "records", "recent_delta", "portfolio_summary", "share_summary", "weekly_volume", "effort_trends", "import_counters", "route_trends", "heatmap", "points_derived", "kilometre_splits", "best_efforts", "stops", "peak_speeds", "hr_summary", "hr_zones", "hr_sectors", "hr_selection", "cadence_summary", "terrain", "speed_sensor", "route_matches", "geo_functions", "route_cells", "renderings", "pedaling_overview", "hr_weekly_load", "hr_cadence_lock", "hr_drift", "route_list", "route_details", "route_of_track", "route_groups", "route_features", "hr_duration_curve", "hr_selection_sql", "constraint_report", "quarantined_rows", "lifecycle_states", "lifecycle_quarantine", "zone_revisions", "display_formats", "track_lookup", "marked_items", "route_status", "speed_chart", "sector_comparison", "focus_window"]
 #: Those whose cases need more rows.
 LARGER = ["hr_sectors", "loop_matches", "hr_route_pairs"]
 
