@@ -10,6 +10,7 @@ come later in the order than that word (positional filter).  What passes is veri
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -114,7 +115,7 @@ class PrefixIndex:
             self.templates.append((label, place, len(numbers), need, math.ceil(stretch * vocabulary.sizes[label] - 1e-9)))
 
     def matches(self, at: np.ndarray, number: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, float]]:
-        """(word, label, containment) of each template's best block (ties: the first) in each document that it matches.
+        """(word, label, containment) of the blocks that match a template: the best (ties: the first), then the best that overlaps none taken, and so on.
 
         ``at``, ``number``: the vocabulary words of some documents, ascending by place; ``bounds``: the documents' first words.
         """
@@ -127,7 +128,7 @@ class PrefixIndex:
             of = np.searchsorted(bounds, words[rare], "right") - 1
             low = np.searchsorted(words, np.maximum(words[rare] - width + 1, bounds[of]))
             high = np.searchsorted(words, np.minimum(words[rare] + width, bounds[of + 1]))
-            best: dict[int, tuple[float, int]] = {}
+            blocks: list[tuple[float, int, int]] = []  # (containment below zero, first word, document)
             tried: set[int] = set()
             for q, d, a, b in zip(rare.tolist(), of.tolist(), low.tolist(), high.tolist()):
                 if b - a < need or len(set(own[a:b][own[a:b] >= own[q]].tolist())) < need:  # blocks with a rarer word are met at that word
@@ -137,8 +138,14 @@ class PrefixIndex:
                         tried.add(s)
                         common = len(set(own[s : s + int(np.searchsorted(words[s:b], words[s] + width))].tolist()))
                         if common >= need:
-                            best[d] = max(best.get(d, (0.0, 0)), (common / size, -int(words[s])))
-            out += [(-w, label, containment) for containment, w in best.values()]
+                            blocks.append((-common / size, int(words[s]), d))
+            taken: dict[int, list[int]] = {}  # by document the first words of the blocks taken, ascending
+            for below, word, d in sorted(blocks):
+                own = taken.setdefault(d, [])
+                k = bisect.bisect(own, word)
+                if (k == 0 or own[k - 1] + width <= word) and (k == len(own) or word + width <= own[k]):
+                    own.insert(k, word)
+                    out.append((word, label, -below))
         return out
 
 
@@ -147,8 +154,8 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Returns ``id_col, n_words, n_base, first_word, last_word, base_labels, template_labels, matches, score``:
     all places of phrases, the smallest and largest start (in words from 0, null without a place), distinct
-    sorted labels, the best block of each matching template ``array<struct<label,word,containment>>`` (``word``: its
-    first word of the template, in words from 0) and the best containment (1 for a phrase; 0 without any match).
+    sorted labels, the matching blocks of each template, best first, none overlapping a better one of its template,
+    ``array<struct<label,word,containment>>`` (``word``: its first word of the template, in words from 0) and the best containment (1 for a phrase; 0 without any match).
     Null and empty texts have no words; repeated rows each get theirs.
     """
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases

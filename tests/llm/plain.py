@@ -156,8 +156,8 @@ def rule_fences(rows: list[tuple], measures: dict, prior: int, fence: float, rea
     return out
 
 
-def template_matches(text: str | None, templates: dict[str, str], threshold: float, stretch: float) -> dict[str, tuple[int, float]]:
-    """label -> (first word, containment) of the best window of each template; every window that starts with one of its words is tried."""
+def template_matches(text: str | None, templates: dict[str, str], threshold: float, stretch: float) -> dict[str, list[tuple[int, float]]]:
+    """label -> (first word, containment) of its blocks, the best first, none overlapping a better one; every window that starts with one of its words is tried."""
     import math
 
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text or ""))
@@ -165,10 +165,14 @@ def template_matches(text: str | None, templates: dict[str, str], threshold: flo
     for label, template in templates.items():
         own = set(template.split())
         width = math.ceil(stretch * len(template.split()) - 1e-9)
+        found = []
         for i, w in enumerate(words):
             common = len(own & set(words[i : i + width])) if w in own else 0
-            if common and common >= math.ceil(threshold * len(own) - 1e-9) and common / len(own) > out.get(label, (0, 0.0))[1]:
-                out[label] = (i, common / len(own))
+            if common and common >= math.ceil(threshold * len(own) - 1e-9):
+                found.append((-common / len(own), i))
+        for below, i in sorted(found):
+            if all(abs(i - k) >= width for k, _ in out.get(label, ())):
+                out.setdefault(label, []).append((i, -below))
     return out
 
 
