@@ -220,20 +220,6 @@ def matches_of(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return scored_pairs(found, rows.where((F.col("a.kind") == F.col("b.kind")) & _compatible("a", "b") & _ends_meet("a", "b")).select("left_id", "right_id"))
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``node, component`` (its smallest node) of a graph: labels spread and are followed to their own label until none changes."""
-    edges = written(links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t"))).distinct())
-    labels = edges.groupBy(F.col("s").alias("node")).agg(F.least(F.min("t"), F.col("s")).alias("component"))
-    while True:
-        spread = edges.join(labels, F.col("t") == F.col("node")).groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(spread, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
-        via = labels.select(F.col("node").alias("new"), F.col("component").alias("via"))
-        new = written(new.join(via, "new", "left").select("node", F.least("new", F.coalesce("via", "new")).alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where(F.col("component") < F.col("old")).isEmpty():
-            return labels
-
-
 def _settled(guess: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``key, choice`` once no choice changes any more: every round decides all keys anew from the choices of the last one.
 
@@ -271,6 +257,7 @@ def groups(pairs: DataFrame) -> DataFrame:
 
     first = links.groupBy("key").agg(F.min("other").alias("other"))
     found = _settled(tracks.join(first, "key", "left").select("key", F.coalesce("other", "key").alias("choice")), decide)
+    forget(links, tracks)
     shared = found.groupBy("choice").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("choice")
     return found.join(shared, "choice").select(F.col("key").alias("track_id"), F.col("choice").alias("group_id"))
 
@@ -331,6 +318,7 @@ def reconcile(members: DataFrame, existing: DataFrame) -> DataFrame:
         return choose(shared.join(taken, "cluster_id", "left").where(F.col("by").isNull() | (F.col("by") >= F.col("key"))))
 
     found = _settled(choose(shared), decide).select(F.col("key").alias("group_id"), F.col("choice.cluster_id").alias("cluster_id"))
+    forget(shared)
     return members.select("group_id").distinct().join(found, "group_id", "left")
 
 
@@ -352,10 +340,14 @@ def _reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = _ends(pairs)
     reached = frontier = written(seeds.select("track_id").distinct())
     while True:
-        frontier = written(ends.join(frontier, "track_id").select(F.col("other_id").alias("track_id")).distinct().join(reached, "track_id", "left_anti"))
-        if frontier.isEmpty():
+        found = written(ends.join(frontier, "track_id").select(F.col("other_id").alias("track_id")).distinct().join(reached, "track_id", "left_anti"))
+        if frontier is not reached:
+            forget(frontier)
+        if found.isEmpty():
+            forget(found)
             return reached
-        reached = written(reached.unionAll(frontier))
+        before, reached, frontier = reached, written(reached.unionAll(found)), found
+        forget(before)
 
 
 def update(stored: dict[str, DataFrame], tracks: DataFrame, paths: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
