@@ -280,6 +280,25 @@ def _route_features(spark, folder):
     return _plain(found.select("track_id", "is_loop", "direction", "i", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude")), decimals=7)
 
 
+def _scalar_functions(spark, folder):
+    c, rows = F.col, view(spark, folder, "odd_texts")
+    at = scalars.parse_instant(c("instant"))
+    return _plain(rows.select("k", scalars.parse_number(c("number")).alias("number"), at.alias("read_at"), scalars.normal_cadence(c("x")).alias("cadence"), scalars.normal_odometer(c("x") * 90_000).alias("odometer"), scalars.seconds_between(F.lit("2024-01-01T00:00:30Z").cast("timestamp"), at).alias("seconds"), scalars.duration_between(F.lit("2024-01-01T00:00:30Z").cast("timestamp"), at).alias("duration"),
+        scalars.loop_score(c("x"), c("y")).alias("loop_score"), scalars.sinuosity(c("x"), c("y")).alias("sinuosity"), scalars.default_name(c("file")).alias("name"), scalars.calibration_hint(c("x") / 10 - 12).alias("hint"), scalars.gear_ratio(c("y") / 50).alias("gear"), scalars.week_key(at).cast("string").alias("week")))
+
+
+def _feature_fingerprints(spark, folder):
+    return features(spark, folder).select("track_id", scalars.feature_fingerprint(F.col("samples")).alias("fingerprint"))
+
+
+def _route_clusters(spark, folder):
+    found = features(spark, folder)
+    pairs = written(routes.matches(found))
+    tracks = found.select("track_id", (F.lit(70.0) + F.col("track_id") % 31).alias("quality_score"), "activity_type", F.when(F.col("track_id") % 4 > 0, F.concat(F.lit(" Ride "), "track_id")).alias("name"))
+    rows = routes.clusters(written(routes.groups(pairs)), pairs, tracks)
+    return _plain(rows, "group_id", "track_count", "representative_id", "least_quality", "activity_type", "fingerprint", "average_similarity", "name", "matcher_version", "confidence")
+
+
 def _lower(s: DataFrame) -> DataFrame:
     return s.drop("band_order", "label")
 
@@ -366,6 +385,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sector_comparison": _sector_comparison,
     "focus_window": _focus_window,
     "route_features": _route_features,
+    "scalar_functions": _scalar_functions,
+    "feature_fingerprints": _feature_fingerprints,
+    "route_clusters": _route_clusters,
     "geo_functions": _geo,
     "activity_ids": _activity_ids,
 }

@@ -76,6 +76,11 @@ SELECT item_id, happened_at, event_id, CASE WHEN event_id % 41 = 0 THEN 'failed'
 FROM (SELECT user_id AS item_id, ts AS happened_at, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) e""",
     "profiles": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS revision, CAST(DATE '1992-03-01' + INTERVAL '1' DAY * (n_nationkey * 90) AS TIMESTAMP) AS valid_from, CASE WHEN n_nationkey % 7 = 3 THEN 'none' ELSE 'maximum' END AS mode, CAST(160 + n_nationkey * 3 AS INTEGER) AS maximum FROM nation",
     "sector_speeds": "SELECT l_suppkey AS track_id, l_linenumber AS number, avg(l_quantity) / 5 AS speed_mps FROM lineitem GROUP BY l_suppkey, l_linenumber",
+    "odd_texts": """
+SELECT c_custkey AS k, c_custkey % 270 * 1e0 AS x, c_custkey % 190 * 1e0 AS y, CASE c_custkey % 7 WHEN 0 THEN concat(' ', CAST(c_custkey AS STRING), ' ') WHEN 1 THEN concat('-', CAST(c_custkey AS STRING), '.5') WHEN 2 THEN '1e3' WHEN 3 THEN '12 km' WHEN 4 THEN '' WHEN 5 THEN '.5' END AS number,
+  CASE c_custkey % 5 WHEN 0 THEN concat('2024-01-01T00:00:', CAST(10 + c_custkey % 50 AS STRING), 'Z') WHEN 1 THEN concat('2024-03-0', CAST(1 + c_custkey % 9 AS STRING), 'T10:00:00.250+02:00') WHEN 2 THEN '2024-01-01 00:00:00' WHEN 3 THEN '2024-13-01T00:00:00Z' END AS instant,
+  CASE c_custkey % 3 WHEN 0 THEN concat('a/b_', CAST(c_custkey AS STRING), '_c.d.gpx') WHEN 1 THEN 'plain' ELSE concat('x_', c_mktsegment, '.FIT') END AS file
+FROM customer""",
     "beats": "SELECT l_orderkey AS track_id, CAST(25 + l_partkey % 220 AS INTEGER) AS bpm, l_quantity * 1e0 AS seconds FROM lineitem",
     "vectors": "SELECT vec_id AS track_id, embedding, CAST(label AS STRING) AS activity_type, 10000e0 + (vec_id % 13) * 50 AS distance_m, 5e0 AS avg_speed_mps FROM embeddings",
 }
@@ -86,7 +91,7 @@ def view_sql(name: str) -> str:
     return VIEWS[name].strip()
 
 
-_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings", "stored_tracks": "lineitem", "stored_items": "lineitem", "stored_memberships": "orders", "item_events": "events", "profiles": "nation", "beats": "lineitem", "sector_speeds": "lineitem"}
+_FROM = {"points": "events", "tracks": "orders", "cells": "lineitem", "items": "lineitem", "archives": "supplier", "recordings": "lineitem", "rides": "lineitem", "riders": "supplier", "vectors": "embeddings", "stored_tracks": "lineitem", "stored_items": "lineitem", "stored_memberships": "orders", "item_events": "events", "profiles": "nation", "beats": "lineitem", "odd_texts": "customer", "sector_speeds": "lineitem"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .adapters import view_sql
+from .library_sql import GROUPS
 from .points_sql import derived_sql, hav
 
 _STORED = f"tracks AS ({view_sql('stored_tracks')}), items AS ({view_sql('stored_items')}), memberships AS ({view_sql('stored_memberships')}), points AS ({view_sql('points')})"
@@ -100,3 +101,16 @@ SELECT track_id, i::INTEGER AS i, round(km, 4) AS distance_km FROM n WHERE abs(k
 ), turn AS (SELECT a.track_id, sum(a.lon * b.lat - b.lon * a.lat) AS area FROM sample a JOIN sample b ON b.track_id = a.track_id AND b.i = (a.i + 1) % 64 GROUP BY a.track_id)
 SELECT track_id, 9e-1 + track_id % 10 / 1e2 >= 95e-2 AS is_loop, CASE WHEN area >= 0 THEN 'counterclockwise' ELSE 'clockwise' END AS direction, i::INTEGER AS i, round(lat, 7) AS latitude, round(lon, 7) AS longitude FROM sample JOIN turn USING (track_id)""",
 }
+
+BOOKKEEPING |= {
+    "scalar_functions": f"""WITH o AS ({view_sql('odd_texts')}), p AS (SELECT *, CASE WHEN regexp_full_match(trim(number), '[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN try_cast(trim(number) AS DOUBLE) END AS value, CASE WHEN regexp_full_match(instant, '.*T.*(Z|[+-][0-9:]+)') THEN epoch_ms(try_cast(instant AS TIMESTAMPTZ)) END AS ms FROM o)
+SELECT k, round(value, 4) AS number, ms AS read_ms, round((ms - 1704067230000) / 1e3, 4) AS seconds, CASE WHEN ms >= 1704067230000 THEN round((ms - 1704067230000) / 1e3, 4) END AS duration, CASE WHEN x <= 250 THEN x END AS cadence, CASE WHEN x * 90000 < 10000000 THEN x * 90000 END AS odometer,
+  round(CASE WHEN y > 0 THEN greatest(0e0, 1 - least(x / y, 1e0)) ELSE 0e0 END, 4) AS loop_score, round(CASE WHEN x > 50 THEN y / x END, 4) AS sinuosity, replace(regexp_replace(regexp_extract(file, '[^/]*$'), '[.][^.]*$', ''), '_', ' ') AS name,
+  CASE WHEN abs(x / 10 - 12) < 1 THEN 'agrees with GPS' WHEN x / 10 > 12 THEN printf('reads %.1f %% long', x / 10 - 12) ELSE printf('reads %.1f %% short', 12 - x / 10) END AS hint, round(y / 50 / 21e-1, 2) AS gear, CAST(CAST(date_trunc('week', epoch_ms(ms)) AS DATE) AS STRING) AS week FROM p""",
+    "feature_fingerprints": f"""WITH v AS ({view_sql('vectors')}) SELECT track_id, sha256(array_to_string(list_transform(range(1, 65), lambda i: printf('%.3f', 55 + embedding[i]::DOUBLE * 8e-3) || ':' || printf('%.3f', 12 + (i - 1) * 1e-3)), ',')) AS fingerprint FROM v""",
+    "route_clusters": f"""{GROUPS}, lone AS (SELECT group_id, count(*) AS track_count, min(70e0 + track_id % 31) AS least_quality, sha256('v1:' || string_agg(track_id::VARCHAR, ',' ORDER BY track_id::VARCHAR)) AS fingerprint FROM member WHERE size > 1 GROUP BY group_id
+), mean AS (SELECT group_id, avg(similarity) AS average_similarity FROM near WHERE track_id < other_id GROUP BY group_id
+), kind AS (SELECT group_id, CASE WHEN count(DISTINCT activity_type) = 1 THEN max(activity_type) END AS activity_type FROM member JOIN v USING (track_id) GROUP BY group_id)
+SELECT group_id, track_count, representative_id, least_quality, activity_type, fingerprint, round(average_similarity, 4) AS average_similarity, CASE WHEN representative_id % 4 > 0 THEN 'Ride ' || representative_id ELSE 'Matched route ' || group_id END AS name, 1 AS matcher_version,
+  CASE WHEN track_count >= 10 AND average_similarity >= 85e-2 AND least_quality >= 85 THEN 'high' WHEN track_count >= 6 AND average_similarity >= 78e-2 AND least_quality >= 75 THEN 'medium' ELSE 'low' END AS confidence FROM lone JOIN lead USING (group_id) JOIN mean USING (group_id) JOIN kind USING (group_id)""",
+}

@@ -35,7 +35,7 @@ _PAIRS = f"""{_FEATURES}, p AS (
 ), m AS (SELECT *, d[32] AS med, d[58] AS p90 FROM p WHERE ratio >= 9e-1 AND e1 <= 250 AND e2 <= 250)"""
 
 #: Tracks are taken one after the other; the list has the group of each so far.  Means are of whole billionths.
-_GROUPS = f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}
+GROUPS = f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}
 , link AS MATERIALIZED (SELECT left_id, right_id, 4e-1 * ratio + 35e-2 * (1 - med / 120) + 25e-2 * (1 - p90 / 250) AS similarity FROM m WHERE med <= 120 AND p90 <= 250
 ), node AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT left_id AS id FROM link UNION SELECT right_id FROM link)
 ), edge AS MATERIALIZED (SELECT a.k AS u, b.k AS t, CAST(round(similarity * 1e9) AS BIGINT) AS units FROM link JOIN node a ON a.id = left_id JOIN node b ON b.id = right_id
@@ -81,7 +81,7 @@ LIBRARY = {
 ), t AS (SELECT cluster_id, n AS attempt_count, CASE WHEN n >= 6 THEN a3 WHEN n >= 2 THEN last END AS x, CASE WHEN n >= 6 THEN b3 WHEN n >= 2 THEN earlier END AS y, greatest(2e-2, 14826e-4 * mad / m) * 100 AS f FROM s)
 SELECT cluster_id, attempt_count, round(x, 4) AS recent_speed_mps, round(y, 4) AS baseline_speed_mps, round(f, 4) AS noise_floor_percent, round((x - y) / y * 100, 4) AS delta_percent, CASE WHEN x IS NULL THEN 'building' WHEN (x - y) / y * 100 > f THEN 'faster' WHEN (x - y) / y * 100 < -f THEN 'slower' ELSE 'steady' END AS direction FROM t""",
     "route_history": f"{_TRACKS} SELECT cluster_id, track_id, epoch_ms(started_at) AS started_ms, round(avg_speed_mps * 36e-1, 2) AS speed_kmh, round(distance_m / 1000, 2) AS distance_km, row_number() OVER (PARTITION BY cluster_id ORDER BY avg_speed_mps DESC, started_at, track_id) = 1 AS fastest FROM dated",
-    "route_groups": f"{_GROUPS} SELECT member.group_id, member.track_id, representative_id, member.track_id = representative_id AS representative, round(CASE WHEN member.track_id = representative_id THEN 1e0 ELSE similarity END, 4) AS similarity FROM member JOIN lead ON lead.group_id = member.group_id LEFT JOIN near ON near.group_id = member.group_id AND near.track_id = member.track_id AND other_id = representative_id WHERE size > 1",
+    "route_groups": f"{GROUPS} SELECT member.group_id, member.track_id, representative_id, member.track_id = representative_id AS representative, round(CASE WHEN member.track_id = representative_id THEN 1e0 ELSE similarity END, 4) AS similarity FROM member JOIN lead ON lead.group_id = member.group_id LEFT JOIN near ON near.group_id = member.group_id AND near.track_id = member.track_id AND other_id = representative_id WHERE size > 1",
     "route_matches": f"{_PAIRS} SELECT left_id, right_id, round(4e-1 * ratio + 35e-2 * (1 - med / 120) + 25e-2 * (1 - p90 / 250), 4) AS similarity, round(med, 4) AS median_distance_m, round(p90, 4) AS p90_distance_m, 0 AS alignment FROM m WHERE med <= 120 AND p90 <= 250",
     "geo_functions": f"SELECT c_custkey, round({hav('c_custkey % 90 * 1e0', 'c_custkey % 180 * 1e0', 'c_nationkey * 1e0', 'c_nationkey * 2e0')}, 4) AS distance_m, round(fmod(fmod(degrees(atan2(sin(radians(c_nationkey * 2e0 - c_custkey % 180)) * cos(radians(c_nationkey * 1e0)), cos(radians(c_custkey % 90 * 1e0)) * sin(radians(c_nationkey * 1e0)) - sin(radians(c_custkey % 90 * 1e0)) * cos(radians(c_nationkey * 1e0)) * cos(radians(c_nationkey * 2e0 - c_custkey % 180)))) + 360, 360) + 360, 360), 4) AS bearing_degrees FROM customer",
     "activity_ids": "SELECT p_partkey, nullif(trim(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '_'), '') AS activity_type FROM part",
