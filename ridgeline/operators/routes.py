@@ -104,16 +104,20 @@ FEW = C.ROUTE_SAMPLES - int(np.ceil(C.ROUTE_SAMPLES * 0.9)) + 1
 SQUARE = 1_024
 
 
-def _token(kind: Column, place: Column, cell: Column) -> Column:
-    """A place on a route: the cube, and for open routes the number of the sample; equal hashes of others only add candidates."""
-    return F.xxhash64(kind, F.when(kind == "open", place), cell["x"], cell["y"], cell["z"])
+#: Stand for an unknown activity, and for any.
+_UNKNOWN, _ANY = "?", "*"
+
+
+def _token(kind: Column, label: Column, place: Column, cell: Column) -> Column:
+    """A place on a route: the cube, for open routes the number of the sample, and the activity; equal hashes of others only add candidates."""
+    return F.xxhash64(kind, label, F.when(kind == "open", place), cell["x"], cell["y"], cell["z"])
 
 
 def candidate_pairs(found: DataFrame, probing: DataFrame | None = None, square: int = SQUARE) -> DataFrame:
     """``left_id, right_id`` (left below right) of all pairs that can match, and some that don't.
 
     A prefix filter over tokens: routes are indexed by the cubes of all their samples, an open route's with the
-    sample's number.  A route looks up its seven rarest samples, in their cubes and the 26 around each, and routes
+    sample's number, under their activity and under any.  A route looks up its seven rarest samples, in their cubes and the 26 around each, and routes
     whose length is in the same or a neighbouring class.  Where many routes share a place and length, they are dealt
     into squares.  Only ids and keys are shuffled; nothing that could match is left out.
 
@@ -121,19 +125,22 @@ def candidate_pairs(found: DataFrame, probing: DataFrame | None = None, square:
     """
     keys = _keys(found)
     small = keys.drop("samples").withColumn("class", _length_class(F.col("distance_m")))
-    cells = keys.select("track_id", "kind", F.posexplode("samples").alias("place", "sample")).select("track_id", "kind", "place", _cell(F.col("sample")).alias("cell"))
-    tokens = cells.withColumn("token", _token(F.col("kind"), F.col("place"), F.col("cell")))
-    often = tokens.groupBy("token").agg(F.count_distinct("track_id").alias("often"))
-    rare = tokens.join(often, "token").groupBy("track_id", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "place", "cell"))), 1, FEW).alias("few"))
+    own = F.coalesce("activity_type", F.lit(_UNKNOWN))
+    cells = keys.select("track_id", "kind", own.alias("own"), F.posexplode("samples").alias("place", "sample")).select("track_id", "kind", "own", "place", _cell(F.col("sample")).alias("cell"))
+    labelled = cells.withColumn("label", F.explode(F.array("own", F.lit(_ANY))))
+    tokens = labelled.withColumn("token", _token(F.col("kind"), F.col("label"), F.col("place"), F.col("cell")))
+    index = tokens.select("track_id", "token").distinct()
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    rare = tokens.where(F.col("label") == F.col("own")).join(often, "token").groupBy("track_id", "kind", "own").agg(F.slice(F.sort_array(F.collect_list(F.struct("often", "place", "cell"))), 1, FEW).alias("few"))
     rare = rare if probing is None else rare.join(probing, "track_id", "left_semi")
     parts = F.ceil(F.col("often") / square).cast("int")
-    around = F.explode(F.array_distinct(F.flatten(F.transform("few", lambda f: F.transform(_around(f["cell"]), lambda c: F.struct(f["place"].alias("place"), c.alias("cell")))))))
-    probes = rare.select("track_id", "kind", around.alias("at")).select("track_id", _token(F.col("kind"), F.col("at.place"), F.col("at.cell")).alias("token")).distinct().join(often, "token")
+    looks = F.explode(F.when(F.col("own") == _UNKNOWN, F.array(F.lit(_ANY))).otherwise(F.array("own", F.lit(_UNKNOWN))))
+    places = rare.select("track_id", "kind", "own", F.explode("few").alias("at")).select("track_id", "kind", "own", "at.place", F.explode(_around(F.col("at.cell"))).alias("cell")).select("track_id", "kind", "place", "cell", looks.alias("label"))
+    probes = places.select("track_id", _token(F.col("kind"), F.col("label"), F.col("place"), F.col("cell")).alias("token")).distinct().join(often, "token")
     part = lambda seed: F.pmod(F.xxhash64("track_id", F.lit(seed)), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     left = probes.select("track_id", "token", parts.alias("parts")).select("track_id", "token", part(1).alias("p"), every.alias("q")).join(small, "track_id").withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
-    index = tokens.select("track_id", "token").distinct().join(often, "token").select("track_id", "token", parts.alias("parts"))
-    right = index.select("track_id", "token", every.alias("p"), part(2).alias("q")).join(small, "track_id")
+    right = index.join(often, "token").select("track_id", "token", parts.alias("parts")).select("track_id", "token", every.alias("p"), part(2).alias("q")).join(small, "track_id")
     a, b = left.alias("a"), right.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "p", "q", "class", "kind")]
     x, y = F.col("a.track_id"), F.col("b.track_id")
@@ -162,7 +169,30 @@ def _votes(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndarray:
     return touching[:, np.arange(n)[:, None], turned].sum(axis=1)
 
 
-@F.pandas_udf(T.StructType([T.StructField("median", T.DoubleType()), T.StructField("p90", T.DoubleType()), T.StructField("shift", T.IntegerType())]))
+_BEST = T.StructType([T.StructField("median", T.DoubleType()), T.StructField("p90", T.DoubleType()), T.StructField("shift", T.IntegerType())])
+
+
+def _paths(lat: pd.Series, lon: pd.Series) -> np.ndarray:
+    """Paths as (pair, sample, lat or lon) in radians."""
+    return np.radians(np.stack([np.stack(c.to_list()) for c in (lat, lon)], axis=-1))
+
+
+def _median_and_p90(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    h = np.sin((y[..., 0] - x[..., 0]) / 2) ** 2 + np.cos(x[..., 0]) * np.cos(y[..., 0]) * np.sin((y[..., 1] - x[..., 1]) / 2) ** 2
+    apart = np.sort(2 * C.EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h)), axis=1)
+    return [apart[:, k - 1] for k in _RANKS]
+
+
+@F.pandas_udf(_BEST)
+def _unturned(left_lat: pd.Series, left_lon: pd.Series, right_lat: pd.Series, right_lon: pd.Series) -> pd.DataFrame:
+    """Median and 90th percentile of the samples as they are."""
+    if not len(left_lat):
+        return pd.DataFrame({"median": [], "p90": [], "shift": []})
+    median, p90 = _median_and_p90(_paths(left_lat, left_lon), _paths(right_lat, right_lon))
+    return pd.DataFrame({"median": median, "p90": p90, "shift": np.zeros(len(median), dtype=np.int32)})
+
+
+@F.pandas_udf(_BEST)
 def _best_turn(left_lat: pd.Series, left_lon: pd.Series, right_lat: pd.Series, right_lon: pd.Series) -> pd.DataFrame:
     """The rotation of the right loop of least median, 90th percentile and shift; not a number if no median can be near enough.
 
@@ -172,13 +202,10 @@ def _best_turn(left_lat: pd.Series, left_lon: pd.Series, right_lat: pd.Series, r
     out = np.full((len(left_lat), 2), np.nan)
     turn = np.zeros(len(left_lat), dtype=np.int32)
     for low in range(0, len(left_lat), _VOTED):
-        path = lambda lat, lon, low=low: np.radians(np.stack([np.stack(c.iloc[low : low + _VOTED].to_list()) for c in (lat, lon)], axis=-1))
-        a, b = path(left_lat, left_lon), path(right_lat, right_lon)
+        cut = slice(low, low + _VOTED)
+        a, b = _paths(left_lat.iloc[cut], left_lon.iloc[cut]), _paths(right_lat.iloc[cut], right_lon.iloc[cut])
         pair, shift = np.nonzero(_votes(a, b, C.MATCH_MEDIAN_M) >= _RANKS[0])
-        x, y = a[pair], b[pair[:, None], (np.arange(a.shape[1])[None, :] + shift[:, None]) % a.shape[1]]
-        h = np.sin((y[..., 0] - x[..., 0]) / 2) ** 2 + np.cos(x[..., 0]) * np.cos(y[..., 0]) * np.sin((y[..., 1] - x[..., 1]) / 2) ** 2
-        apart = np.sort(2 * C.EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h)), axis=1)
-        median, p90 = (apart[:, k - 1] for k in _RANKS)
+        median, p90 = _median_and_p90(a[pair], b[pair[:, None], (np.arange(a.shape[1])[None, :] + shift[:, None]) % a.shape[1]])
         order = np.lexsort((shift, p90, median, pair))
         first = order[np.diff(pair[order], prepend=-1) > 0]
         out[low + pair[first]] = np.stack([median[first], p90[first]], axis=1)
@@ -193,13 +220,15 @@ def scored_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     n = C.ROUTE_SAMPLES
     side = lambda p: found.select(F.col("track_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("samples", "distance_m", "is_loop")])
-    rows = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    context = found.sparkSession.sparkContext
+    spread = pairs.repartition(max(context.defaultParallelism, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "left_id", "right_id")  # few bytes a pair, but much work
+    rows = spread.join(side("left"), "left_id").join(side("right"), "right_id")
     # of any samples, too many apart by more than the 90th percentile may be rule an unrotated pair out
     far = [F.when(haversine(F.col("left_samples")[i]["lat"], F.col("left_samples")[i]["lon"], F.col("right_samples")[i]["lat"], F.col("right_samples")[i]["lon"]) > C.MATCH_P90_M, 1).otherwise(0) for i in range(0, n, 5)]
     straight = rows.where(~F.col("left_is_loop") & (functools.reduce(lambda x, y: x + y, far) < FEW))
-    apart = F.sort_array(F.zip_with("left_samples", "right_samples", lambda p, q: haversine(p["lat"], p["lon"], q["lat"], q["lon"])))
-    straight = straight.withColumn("apart", apart).withColumn("best", F.struct(F.element_at("apart", _RANKS[0]).alias("median"), F.element_at("apart", _RANKS[1]).alias("p90"), F.lit(0).alias("shift"))).drop("apart")
-    turned = rows.where("left_is_loop").withColumn("best", _best_turn("left_samples.lat", "left_samples.lon", "right_samples.lat", "right_samples.lon"))
+    columns = ("left_samples.lat", "left_samples.lon", "right_samples.lat", "right_samples.lon")
+    straight = straight.withColumn("best", _unturned(*columns))
+    turned = rows.where("left_is_loop").withColumn("best", _best_turn(*columns))
     rows = straight.unionByName(turned).where((F.col("best.median") <= C.MATCH_MEDIAN_M) & (F.col("best.p90") <= C.MATCH_P90_M))
     ratio = similarity_ratio(F.col("left_distance_m"), F.col("right_distance_m"))
     a, b, c = C.MATCH_WEIGHTS
