@@ -35,6 +35,11 @@ def written(rows: DataFrame) -> DataFrame:
     return table
 
 
+def read_all(tables: list[DataFrame]) -> DataFrame:
+    """The rows of written tables of one schema, read as one table."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[table._written_path for table in tables])
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more; others are passed over."""
     for table in tables:
