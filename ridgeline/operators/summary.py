@@ -163,29 +163,44 @@ def downsample(derived: DataFrame, most: int) -> DataFrame:
 
 
 def renderings(derived: DataFrame) -> DataFrame:
-    """``track_id, level, point_count, encoded_polyline, series``: at most 601 or 2,501 points a row, so its arrays are bounded."""
-    levels = []
-    for level, most in C.RENDERING_SIZES.items():
-        optional = {c: (F.col(c) if c in derived.columns else F.lit(None).cast("boolean")) for c in ("hr_jump", "hr_break")}
-        point = F.struct(
-            "position",
-            F.round(F.col("cumulative_m") / 1000, 3).alias("distance_km"),
-            F.round("elevation_m", 1).alias("elevation_m"),
-            F.round(F.col("speed_mps") * 3.6, 1).alias("speed_kmh"),
-            F.round("grade_percent", 1).alias("grade_percent"),
-            "heart_rate_bpm",
-            *[v.alias(c) for c, v in optional.items()],
-            F.round("cadence_rpm", 0).alias("cadence_rpm"),
-            F.round(F.col("sensor_speed_mps") * 3.6, 1).alias("sensor_speed_kmh"),
-            F.col("recorded_at").alias("time"),
-            "latitude",
-            "longitude",
-        )
-        rows = downsample(derived, most).groupBy("track_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
-        at = F.transform("points", lambda p: F.struct(p["latitude"].alias("lat"), p["longitude"].alias("lon")))
-        series = F.transform("points", lambda p: p.dropFields("latitude", "longitude"))
-        levels.append(rows.select("track_id", F.lit(level).alias("level"), F.size("points").alias("point_count"), polyline_encode(at).alias("encoded_polyline"), series.alias("series"), at.alias("path")))
-    return levels[0].unionByName(levels[1])
+    """``track_id, level, point_count, encoded_polyline, series``: at most 601 or 2,501 points a row, so its arrays are bounded.
+
+    Points are derived once for both levels and kept as in ``downsample``.  Only kept points, with the columns of a
+    series, go on to be gathered, in tasks of their own; flags of points left out come with them as running counts.
+    """
+    w = by_track()
+    flags = [c for c in ("hr_jump", "hr_break") if c in derived.columns]
+    running = {f"_{c}": F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in flags}
+    rows = derived.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("track_id")), **running})
+    kept = [F.when((F.col("_i") % F.ceil(F.col("_n") / most) == 0) | (F.col("_i") == F.col("_n") - 1), level) for level, most in C.RENDERING_SIZES.items()]
+    point = F.struct(
+        "position",
+        F.round(F.col("cumulative_m") / 1000, 3).alias("distance_km"),
+        F.round("elevation_m", 1).alias("elevation_m"),
+        F.round(F.col("speed_mps") * 3.6, 1).alias("speed_kmh"),
+        F.round("grade_percent", 1).alias("grade_percent"),
+        "heart_rate_bpm",
+        *[F.col(f"_{c}").alias(c) if c in flags else F.lit(None).cast("boolean").alias(c) for c in ("hr_jump", "hr_break")],
+        F.round("cadence_rpm", 0).alias("cadence_rpm"),
+        F.round(F.col("sensor_speed_mps") * 3.6, 1).alias("sensor_speed_kmh"),
+        F.col("recorded_at").alias("time"),
+        "latitude",
+        "longitude",
+    )
+    levels = rows.select("track_id", F.array_compact(F.array(*kept)).alias("levels"), point.alias("point")).where(F.size("levels") > 0).select("track_id", F.explode("levels").alias("level"), "point")
+    found = levels.repartition("track_id", "level").groupBy("track_id", "level").agg(F.array_sort(F.collect_list("point")).alias("points"))
+    if flags:
+        before = F.concat(F.slice("points", 1, 1), F.slice("points", F.lit(1), F.size("points") - 1))
+
+        def own(p, q, c):
+            """Whether a flag was set since the point before; the first point has its own alone."""
+            return F.when(p["position"] == q["position"], p[c] > 0).otherwise(p[c] > q[c]).alias(c)
+
+        fields = [f.name for f in found.schema["points"].dataType.elementType.fields]
+        found = found.withColumn("points", F.zip_with("points", before, lambda p, q: F.struct(*[own(p, q, c) if c in flags else p[c].alias(c) for c in fields])))
+    at = F.transform("points", lambda p: F.struct(p["latitude"].alias("lat"), p["longitude"].alias("lon")))
+    series = F.transform("points", lambda p: p.dropFields("latitude", "longitude"))
+    return found.select("track_id", "level", F.size("points").alias("point_count"), polyline_encode(at).alias("encoded_polyline"), series.alias("series"), at.alias("path"))
 
 
 def sample_seconds_of(values: Column) -> Column:

@@ -96,6 +96,18 @@ def test_downsampling_keeps_breaks(spark):
     assert kept[102] and not kept[99] and 1200 in kept and len(kept) == 401
 
 
+def test_renderings_keep_flags_and_derive_points_once(spark):
+    derived = P.derive_points(H.with_heart_rate(ride(spark, 1201, hr=lambda i: None if i == 101 else 140.0 + 50 * (i == 500))))
+    found = summary.renderings(derived)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # not once a level
+    for level, most in summary.C.RENDERING_SIZES.items():
+        kept = [(r.position, r.hr_jump, r.hr_break) for r in summary.downsample(derived, most).orderBy("position").collect()]
+        assert [(p.position, p.hr_jump, p.hr_break) for p in found.where(F.col("level") == level).first().series] == kept
+        assert any(jump for _, jump, _ in kept)
+    plain = summary.renderings(derived.drop("hr_jump", "hr_break")).where("level = 'overview'").first()
+    assert plain.point_count == 401 and {(p.hr_jump, p.hr_break) for p in plain.series} == {(None, None)}
+
+
 def prepared(rows):
     return H.prepare_heart_rate(P.derive_points(rows))
 
