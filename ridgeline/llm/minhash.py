@@ -50,10 +50,8 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     """n x bands keys (int64): each mixes the band's number with its rows of the signature."""
     n, bins = signature.shape
     rows = bins // bands
-    keys = np.empty((n, bands), dtype=np.uint64)
-    for b in range(bands):
-        total = np.full(n, b + 1, dtype=np.uint64)
-        for r in range(rows):
-            total = K.mix(total * np.uint64(0x9E3779B97F4A7C15) + signature[:, b * rows + r])
-        keys[:, b] = total
+    parts = signature.reshape(n, bands, rows)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
+    for r in range(rows):
+        keys = K.mix(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return keys.view(np.int64)

@@ -260,6 +260,39 @@ def test_hot_line_buckets_give_the_same_rows(spark, monkeypatch):
     assert {(r.id, *r.removed) for r in linededup.repeated_lines(documents).collect()} == whole and len(whole) > 200
 
 
+def test_band_keys_travel_in_arrays(spark):
+    rng = random.Random(20)
+    rows = [(rng.randrange(400), [rng.randrange(-(1 << 62), 1 << 62) if rng.random() < 0.8 else h for h in (5, -7, 1 << 60)]) for _ in range(600)]
+    rows += [(c, [rng.choice(k) for _, k in rows[:200]][:3]) for c in range(400, 500)] + [(1, [])] + rows[:50]
+    lines = spark.createDataFrame(rows, "cls long, keys array<long>").repartition(3)
+    pairs = [(k, c) for c, keys in rows for k in keys]
+    for hot, parts in (([], 1), ([], 7), ([5, -7], 7)):
+        dealt = linededup._dealt(lines, hot, parts)
+        held = [(r.part, k, c) for r in dealt.collect() for k, c in zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["classes"], np.int64).tolist())]
+        assert sorted((k, c) for _, k, c in held) == sorted(pairs) and dealt.count() <= 3 * 2 * parts  # one row a part and task, not one a pair
+        assert all(len({p for p, k, _ in held if k == h}) > 3 for h in hot) and len({p for p, k, _ in held if k == 1 << 60}) == 1
+        many = {k for k in {k for k, _ in pairs} if len({c for x, c in pairs if x == k}) > 1}
+        assert sorted((r.key, r.cls) for r in linededup._shared(dealt, parts).collect()) == sorted({(k, c) for k, c in pairs if k in many})
+
+
+def test_a_text_of_many_edges_is_compared_once_and_right(spark):
+    rng = random.Random(21)
+    hub = sentence(rng, 30)
+    texts = [hub] + [" ".join([*hub.split()[i % 12 :], sentence(rng, 1 + i % 9)]) for i in range(40)] + [sentence(rng, 30) for _ in range(5)] + ["abcdefgh", "abcdefgi"]
+    edges = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if a == 0 or b % 7 == 0 or a > 40]
+    found = linededup._confirmed(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 8, 80)
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    want = [(a, b) for a, b in edges if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sorted((r.a, r.b) for r in found.collect()) == want and 3 < len(want) < len(edges) - 3
+
+
+def test_line_counts(spark):
+    rows = [(0, "a\n\nb\n"), (1, ""), (2, None), (3, "a"), (4, "é\r\n字\x0b")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    done = linededup.drop_repeated_lines(documents, linededup.repeated_lines(documents))
+    assert {r.doc_id: r.n_lines for r in done.collect()} == {i: len(t.split("\n")) if t is not None else 0 for i, t in rows}
+
+
 def test_lines_of_texts_that_share_an_id(spark):
     rng = random.Random(19)
     a, b, c = (sentence(rng, 12) for _ in range(3))
