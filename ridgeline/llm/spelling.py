@@ -57,7 +57,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     Words one edit apart share one of their three rarest bigrams at positions at most one apart, and the edit lies on
     one side of it: the other side, bigram included, is equal, which fixes the positions.  The side with the edit is
     halved at the middle of the shorter word's, and the half without it is equal too.  All this is the key of a join;
-    every pair found is verified.
+    every pair found is verified.  Spark counts an exploded row once, so it would broadcast the keys of many words: the
+    join is a merge join.
     """
     before = F.struct(F.lit("before").alias("side"), F.expr("substring(word, 1, pos + 2)").alias("part"), F.expr("substring(word, pos + 3)").alias("rest"))
     behind = F.struct(F.lit("behind").alias("side"), F.expr("substring(word, pos + 1)").alias("part"), F.expr("substring(word, 1, pos)").alias("rest"))
@@ -72,7 +73,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     own = F.char_length("rest")
     shorter = keyed(index, F.col("size"), own)
     other = shorter.union(keyed(index, F.col("size") - 1, own - 1)).select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key")
-    met = shorter.join(other, "key").where((F.char_length("word") < F.char_length("other")) | (F.col("word") < F.col("other")))
+    met = shorter.join(other.hint("merge"), "key").where((F.char_length("word") < F.char_length("other")) | (F.col("word") < F.col("other")))
     pairs = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
     both = F.explode(F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))))
     return pairs.select(both.alias("pair")).select("pair.*")
@@ -97,11 +98,11 @@ def group_variants(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     moved = True
     while moved:  # each round doubles the steps taken; n grows by the ratio with each step, so there are at most 63 / log2(ratio) steps
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = scratch.write(roots.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        further = scratch.write(roots.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         scratch.drop(roots)
         moved = bool(further.where("moved").take(1))
         roots = further.drop("moved")
         roots._scratch_path = further._scratch_path
     scratch.keep(words, near, roots)
-    found = words.join(near, "word", "left").join(roots, "word", "left")
+    found = words.join(near.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")  # their files are much smaller than their rows
     return found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))

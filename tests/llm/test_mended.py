@@ -1,7 +1,9 @@
-"""Cases that earlier versions missed: items without an id, shared budgets of bytes, groups of rules, many spans in a text."""
+"""Cases that earlier versions missed: items without an id, shared budgets of bytes, groups of rules, many spans in a text,
+tables that Spark sizes too low."""
 
 import os
 import random
+import re
 import sys
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain  # noqa: E402
 
-from ridgeline.llm import decontamination, language, rules, secrets  # noqa: E402
+from ridgeline.llm import decontamination, language, rules, secrets, spelling  # noqa: E402
 
 
 def sentence(rng, n):
@@ -79,3 +81,14 @@ def test_a_kind_with_one_credential_is_learnt():
     rng = random.Random(5)
     formats = secrets.Formats({"few": ["kx-4f9Q2z81LmPq07"]}, [sentence(rng, 2).replace(" ", "") for _ in range(50)])
     assert set(formats.kinds) == {"few"}
+
+
+def test_spelling_broadcasts_bigram_counts_alone(spark):
+    rng = random.Random(4)
+    text = sentence(rng, 60) + " gardening gardeninq gardenin"
+    documents = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    joins = lambda rows: re.findall(r"(\w+Join) \[(?:\w+\.)?(\w+)#", rows._jdf.queryExecution().executedPlan().toString())
+    found = spelling.group_variants(documents)
+    assert set(joins(spelling.near_pairs(spelling.word_counts(documents)))) == {("BroadcastHashJoin", "gram"), ("SortMergeJoin", "key")}
+    assert set(joins(found)) == {("SortMergeJoin", "word")}
+    assert {r.word: r.n_near for r in found.collect()}["gardening"] == 2
