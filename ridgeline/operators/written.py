@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes an execution's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
 
 
@@ -27,9 +30,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def written(rows: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet and read from there."""
+    """The rows, written once as Parquet and read from there; shuffle files are deleted with the write that needed them."""
     path = f"{shared_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    before = rows.sparkSession.conf.get(_CLEANUP, "false")
+    rows.sparkSession.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        rows.sparkSession.conf.set(_CLEANUP, before)
     table = rows.sparkSession.read.schema(rows.schema).parquet(path)
     table._written_path = path
     return table
